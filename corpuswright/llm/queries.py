@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm_bloom, simhash
+from . import bpe, lm_bloom, quality_rules, simhash
 from ._common import table
 
 
@@ -23,8 +23,60 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=2, shingle=3)
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text rules and host verdicts (host: source) of all documents."""
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+def tokenizer_path() -> str:
+    """The vocabulary file of the registered query; bpe.encode takes any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and of their decoding, of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode(docs, tokenizer_path(), ids=False, digests=True).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op5_simhash": op5_simhash,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_bpe": op7_bpe,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: Words, and lines with a word, of each document, as the rules count them.
+_OP6_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT r, doc_id, source, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d
+), win AS (
+  SELECT r, i, w[i] || ' ' || w[i+1] || ' ' || w[i+2] AS s FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)
+), rep AS (
+  SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY r, s) > 1
+), cov AS (
+  SELECT r, count(DISTINCT p) AS n FROM (SELECT r, i + unnest([0, 1, 2]) AS p FROM rep) GROUP BY r
+), f AS (
+  SELECT doc_id, source, len(w)::BIGINT AS n_words,
+         length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN cov USING (r)
+), g AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f
+), h AS (
+  SELECT source, count(*) AS n, sum(base_failed::INT)::DOUBLE AS k, k / n AS rate FROM g GROUP BY source
+), p AS (
+  SELECT avg(rate) AS mu, CASE WHEN var_samp(rate) > 0 THEN greatest(avg(rate) * (1 - avg(rate)) / var_samp(rate) - 1, 0) ELSE avg(n) END AS m FROM h
+), v AS (
+  SELECT source, (k + mu * m) / (n + m) <= 0.6 AS ok FROM h, p
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND ok AS kept
+FROM g JOIN v ON g.source IS NOT DISTINCT FROM v.source
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_quality_rules": _OP6_SQL}
