@@ -24,7 +24,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while True:
         e = _star(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), large=True)
         e = durable(_star(e, large=False))
-        now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(30,0)")), F.sum("v")).first()
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
         state = now
