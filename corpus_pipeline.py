@@ -3,10 +3,55 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpuswright.llm._common import shared_folder
+from corpuswright.llm import bpe, kneser_ney, mixing, secrets, simhash
+from corpuswright.llm._common import durable, shared_folder
+from corpuswright.llm.queries import tokenizer_path
 
-STAGES: list = []
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents whose perplexity is within their language's threshold."""
+    fit_ids, trusted = kneser_ney.trusted_ids(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    model = kneser_ney.fit(docs.join(F.broadcast(fit_ids), "doc_id", "left_semi"))
+    narrow = durable(kneser_ney.with_perplexity(docs.select("doc_id", "lang", "text"), model).drop("text"))
+    limits = kneser_ney.thresholds(narrow, trusted)
+    # scored again, beside the whole row, so that no text is shuffled
+    return kneser_ney.judge(kneser_ney.with_perplexity(docs, model), limits).where("kept").select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies: the one of the smallest id."""
+    return simhash.drop_near_copies(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets in the texts; n_chars follows."""
+    ratios = secrets.fit(secrets.random_samples(spark).unionByName(secrets.identifier_samples(docs)))
+    out = secrets.redact(docs.withColumn("_before", F.col("text")), ratios)
+    changed = ~F.col("text").eqNullSafe(F.col("_before"))
+    return out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or leaves out documents as the mix by source takes them.
+
+    Rows equal in id, source and size share a decision: the most that any gets.
+    """
+    key = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in ("doc_id", "source")]
+    taken = mixing.mix(docs).where("copies > 0").groupBy(key[0].alias("_id"), key[1].alias("_source"), F.col("size").alias("_size")).agg(F.max("copies").cast("int").alias("_copies"))
+    keyed = docs.withColumns({"_id": key[0], "_source": key[1], "_size": mixing.word_count(F.col("text"))})
+    out = keyed.join(taken, ["_id", "_source", "_size"])
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix's documents as token ids."""
+    return bpe.encode(docs, tokenizer_path()).select("doc_id", "lang", "source", "n_tokens", "token_ids")
+
+
+STAGES = [("quality classifier", quality), ("simhash near-dedup", near_dedup), ("secret scans", secret_scan), ("mixing", mix), ("bpe", tokens)]
+#: SQL can't express stages 1, 2, 3 and 5; tests hold each against a brute-force version.
 ORACLE_SQL = None
 
 

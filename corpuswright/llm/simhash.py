@@ -7,8 +7,9 @@ from itertools import accumulate, combinations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ._common import LOWER_BYTES, binary_column, durable
+from ._common import LOWER_BYTES, binary_column, durable, mix64
 from .components import connected_components
 
 _LANES = 64
@@ -16,43 +17,57 @@ _LANES = 64
 CHUNK = 4096
 
 
-def fingerprint(text: bytes | None, shingle: int = 3) -> int:
-    """64-bit SimHash over XXH64 (seed 42) of the text's shingles, repeats included."""
+def fingerprint(text: bytes | None, shingle: int = 3, words: int = 1) -> list[int]:
+    """SimHash of `words` x 64 bits over the text's shingles, repeats included.
+
+    The first word comes from the shingles' XXH64 (seed 42), further ones from a
+    mixing of it.
+    """
     import xxhash
 
-    words = (text or b"").translate(LOWER_BYTES).split()
-    if not words:
-        return 0
-    flat = b" ".join(words)
-    ends = list(accumulate(map(len, words), lambda a, n: a + 1 + n))
+    tokens = (text or b"").translate(LOWER_BYTES).split()
+    if not tokens:
+        return [0] * words
+    flat = b" ".join(tokens)
+    ends = list(accumulate(map(len, tokens), lambda a, n: a + 1 + n))
     starts = [0, *(e + 1 for e in ends[:-1])]
     h = xxhash.xxh64_intdigest
-    hashes = [h(flat[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :], strict=False)] or [h(flat, 42)]
-    total = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(hashes), 65536):
-        a = np.array(hashes[i : i + 65536], dtype=">u8").view(np.uint8).reshape(-1, 8)
-        total += np.unpackbits(a, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(total * 2 > len(hashes)).tobytes(), "big")
+    hashes = np.array([h(flat[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :], strict=False)] or [h(flat, 42)], dtype=np.uint64)
+    out = []
+    for w in range(words):
+        with np.errstate(over="ignore"):
+            own = mix64(hashes + np.uint64(w) * np.uint64(0x9E3779B97F4A7C15)) if w else hashes
+        total = np.zeros(64, dtype=np.int64)
+        for i in range(0, len(own), 65536):
+            a = own[i : i + 65536].astype(">u8").view(np.uint8).reshape(-1, 8)
+            total += np.unpackbits(a, axis=1).sum(axis=0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(total * 2 > len(own)).tobytes(), "big"))
+    return out
 
 
-def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp) for each row of docs; fp is the fingerprint as a signed long."""
+def with_fingerprint(docs: DataFrame, text_col: str = "text", shingle: int = 3, words: int = 1) -> DataFrame:
+    """docs with fp0 .. fpN: the words of each row's fingerprint as signed longs. No shuffle."""
     import pyarrow as pa
 
+    from .bpe import _extended
+
+    names = [f"fp{w}" for w in range(words)]
+    docs = docs.drop(*names)
+    schema = _extended(docs.schema, **dict.fromkeys(names, "long"))
+
     def make(batches):
         for b in batches:
-            fps = np.array([fingerprint(t, shingle) for t in binary_column(b, "_text")], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
+            fps = np.array([fingerprint(t, shingle, words) for t in binary_column(b, text_col)], dtype=np.uint64).reshape(-1, words)
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(np.ascontiguousarray(fps[:, w]).view(np.int64)) for w in range(words))], [f.name for f in schema])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("_text")).mapInArrow(make, f"id {kind}, fp long")
+    return docs.mapInArrow(make, schema)
 
 
 def _planes(fps: np.ndarray) -> np.ndarray:
-    """Vertical store: word [bit, block] holds that bit of the block's 64 fingerprints."""
+    """Vertical store of fingerprints (rows, words): entry [bit, block] holds that bit of the block's 64 rows."""
     pad = -len(fps) % _LANES
-    lanes = np.concatenate([fps, np.zeros(pad, np.uint64)]).reshape(-1, _LANES)
-    bits = np.unpackbits(np.ascontiguousarray(lanes).view(np.uint8).reshape(-1, _LANES, 8), axis=2, bitorder="little")  # block, lane, bit
+    lanes = np.concatenate([fps, np.zeros((pad, fps.shape[1]), np.uint64)]).reshape(-1, _LANES, fps.shape[1])
+    bits = np.unpackbits(np.ascontiguousarray(lanes).view(np.uint8).reshape(len(lanes), _LANES, -1), axis=2, bitorder="little")  # block, lane, bit
     packed = np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little")
     return np.ascontiguousarray(packed).view(np.uint64)[:, :, 0]
 
@@ -71,13 +86,16 @@ def near(queries: np.ndarray, blocks: np.ndarray, planes: np.ndarray, radius: in
     q, blk = queries, blocks
     count = [np.zeros(len(q), np.uint64) for _ in range(width)]
     past = np.zeros(len(q), np.uint64)
-    for bit in range(64):
-        carry = planes[bit][blk] ^ (np.uint64(0) - ((q >> np.uint64(bit)) & np.uint64(1)))
+    for bit in range(len(planes)):
+        own = (q[:, bit // 64] >> np.uint64(bit % 64)) & np.uint64(1)
+        carry = planes[bit][blk] ^ (np.uint64(0) - own)
         for c in range(width):
             count[c], carry = count[c] ^ carry, count[c] & carry
         past |= carry
+        if bit < radius:
+            continue
         # lanes at radius + 1 are past it for good
-        at = ~np.uint64(0) * np.ones(len(q), np.uint64)
+        at = ~np.uint64(0) ^ past
         for c in range(width):
             at &= count[c] if (radius + 1) >> c & 1 else ~count[c]
         past |= at
@@ -92,8 +110,8 @@ def near(queries: np.ndarray, blocks: np.ndarray, planes: np.ndarray, radius: in
     return out
 
 
-def _links(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links: for each fingerprint of `left`, those of `right` within the radius, reduced to a forest."""
+def _links(fps: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span the classes among rows `left` and `right` of fps: a forest, at most a link a row."""
     parent: dict[int, int] = {}
 
     def root(x):
@@ -101,13 +119,13 @@ def _links(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray
             parent[x] = x = parent[parent[x]]
         return x
 
-    planes = _planes(right)
+    planes = _planes(fps[right])
     n = planes.shape[1]
     out: list[tuple[int, int]] = []
-    step = max(1, 200_000 // n)
+    step = max(1, 100_000 // n)
     for i in range(0, len(left), step):
         some = left[i : i + step]
-        hit = near(np.repeat(some, n), np.tile(np.arange(n), len(some)), planes, radius)
+        hit = near(np.repeat(fps[some], n, axis=0), np.tile(np.arange(n), len(some)), planes, radius)
         for p in np.flatnonzero(hit):
             a = int(some[p // n])
             word, base = int(hit[p]), int(p % n) * _LANES
@@ -121,109 +139,129 @@ def _links(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray
                 if x != y:
                     parent[x] = y
                     out.append((a, b))
-    return np.array([a for a, _ in out], np.uint64), np.array([b for _, b in out], np.uint64)
+    return np.array([a for a, _ in out], np.int64), np.array([b for _, b in out], np.int64)
 
 
 def _small_links(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """All links within many groups of at most 64: each group is one block, compared together."""
+    """All links (row numbers) within many groups of at most 64: each group is one block, compared together."""
     starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     sizes = np.diff(np.concatenate([starts, [len(group)]]))
-    lanes = np.zeros((len(starts), _LANES), np.uint64)
+    lanes = np.zeros((len(starts), _LANES, fps.shape[1]), np.uint64)
     which = np.repeat(np.arange(len(starts)), sizes)
     lane = np.arange(len(fps)) - np.repeat(starts, sizes)
     lanes[which, lane] = fps
-    planes = _planes(lanes.reshape(-1))
-    hit = near(fps, which, planes, radius)
+    hit = near(fps, which, _planes(lanes.reshape(-1, fps.shape[1])), radius)
     full = np.where(sizes >= 64, ~np.uint64(0), (np.uint64(1) << np.minimum(sizes, 63).astype(np.uint64)) - np.uint64(1))
     later = ~((np.uint64(2) << np.minimum(lane, 62).astype(np.uint64)) - np.uint64(1))
     later[lane == 63] = 0
     hit &= full[which] & later
-    a, b = [], []
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     live = np.flatnonzero(hit)
     word = hit[live]
     while len(live):
         low = np.bitwise_count((word & (~word + np.uint64(1))) - np.uint64(1)).astype(np.int64)
-        a.append(fps[live])
-        b.append(lanes[which[live], low])
-        word &= word - np.uint64(1)
+        a.append(live)
+        b.append(starts[which[live]] + low)
+        word = word & (word - np.uint64(1))
         live, word = live[word != 0], word[word != 0]
-    none = np.empty(0, np.uint64)
-    return np.concatenate([none, *a]), np.concatenate([none, *b])
+    return np.concatenate(a), np.concatenate(b)
 
 
-def fingerprint_links(fps: DataFrame, radius: int = 2) -> DataFrame:
-    """Links (a, b) that span the classes of distinct long fingerprints `fp` within `radius` bits.
+def _compared(keyed: DataFrame, words: int, radius: int) -> DataFrame:
+    """Links (a, b) of nodes that share a key and lie within the radius, from (t, key, node, fp0 ..).
 
-    Pigeonhole: the 64 bits are cut into radius + 2 segments, of which two at least
-    are equal in any pair within the radius; each pair of segments is a key.
-    Fingerprints of one key are compared bit-sliced. A key with more than CHUNK of
-    them is cut into chunks by hash, and every pair of chunks is a task's group of
-    its own, so nothing is dropped and no group grows with the data.
+    A key with more than CHUNK nodes is cut into chunks by hash, and every pair of
+    chunks is a group of its own, so nothing is dropped and no group grows with the
+    data. Groups are compared bit-sliced; each returns links that span its classes.
     """
     import pyarrow as pa
 
-    n = radius + 2
-    edges = [64 * i // n for i in range(n + 1)]
-    masks = [sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in pair) for pair in combinations(range(n), 2)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("t", "key"))
+    names = [f"fp{w}" for w in range(words)]
     sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("m")).where("m > 1")
-    chunks = F.ceil(F.col("m") / CHUNK).cast("int")
-    dealt = keyed.join(sizes, ["t", "key"]).withColumn("c", chunks).withColumn("mine", F.when(F.col("c") > 1, F.pmod(F.xxhash64("fp"), F.col("c"))).otherwise(0).cast("int"))
+    dealt = keyed.join(sizes, ["t", "key"]).withColumn("c", F.ceil(F.col("m") / CHUNK).cast("int"))
+    dealt = dealt.withColumn("mine", F.when(F.col("c") > 1, F.pmod(F.xxhash64("node"), F.col("c"))).otherwise(0).cast("int"))
     other = F.when(F.col("c") > 1, F.sequence(F.lit(0), F.col("c") - 1)).otherwise(F.array(F.lit(0)))
-    dealt = dealt.withColumn("o", F.explode(other)).select("t", "key", F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j"), "mine", "fp")
-    dealt = dealt.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j", "mine", "fp")
+    dealt = dealt.withColumn("o", F.explode(other)).select("t", "key", F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j"), "mine", "node", *names)
+    dealt = dealt.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j", "mine", "node")
 
     def compare(batches):
         held: list[np.ndarray] = []
         for b in batches:
             if not b.num_rows:
                 continue
-            held.append(np.stack([b.column(k).to_numpy().astype(np.int64) for k in range(6)]))
+            held.append(np.stack([b.column(k).to_numpy().astype(np.int64) for k in range(b.num_columns)]))
+            if not (held[-1][:4, -1] != held[0][:4, 0]).any():
+                continue  # one group so far
             rows = np.concatenate(held, axis=1)
             new = np.flatnonzero((rows[:4, 1:] != rows[:4, :-1]).any(axis=0)) + 1
-            if not len(new):
-                held = [rows]
-                continue
             yield from found(rows[:, : new[-1]])
             held = [rows[:, new[-1] :]]
         if held:
             yield from found(np.concatenate(held, axis=1))
 
     def found(rows):
-        """Whole groups, sorted: links among them."""
+        """Links within whole groups, which come sorted."""
         cut = np.concatenate([[True], (rows[:4, 1:] != rows[:4, :-1]).any(axis=0)])
         group = np.cumsum(cut) - 1
-        sizes = np.bincount(group)
-        fp = np.ascontiguousarray(rows[5]).view(np.uint64)
+        size = np.bincount(group)
+        fp, node = np.ascontiguousarray(rows[6:].T).view(np.uint64), rows[5]
         one = rows[2] == rows[3]
-        small = (sizes[group] <= _LANES) & one
+        small = np.flatnonzero((size[group] <= _LANES) & one)
         a, b = [], []
-        f, g = fp[small], group[small]
+        g = group[small]
         borders = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]])) if len(g) else np.zeros(1, int)
         for k in range(0, len(borders) - 1, 2048):  # so many groups at a time, to bound memory
-            i, j = borders[k], borders[min(k + 2048, len(borders) - 1)]
-            x, y = _small_links(f[i:j], g[i:j], radius)
-            a.append(x)
-            b.append(y)
-        for g in np.unique(group[~small]):
-            at = np.flatnonzero(group == g) if len(sizes) < 2 else np.arange(*np.searchsorted(group, [g, g + 1]))
-            if one[at[0]]:
-                x, y = _links(fp[at], fp[at], radius)
-            else:
+            some = small[borders[k] : borders[min(k + 2048, len(borders) - 1)]]
+            x, y = _small_links(fp[some], group[some], radius)
+            a.append(node[some[x]])
+            b.append(node[some[y]])
+        for g in np.flatnonzero((size > _LANES) | ~one[np.flatnonzero(cut)]):
+            at = np.arange(*np.searchsorted(group, [g, g + 1]))
+            left = right = at
+            if not one[at[0]]:
                 first = rows[4, at] == rows[2, at]
-                if first.all() or not first.any():
-                    continue
-                x, y = _links(fp[at[first]], fp[at[~first]], radius)
-            a.append(x)
-            b.append(y)
+                left, right = at[first], at[~first]
+            if len(left) and len(right):
+                x, y = _links(fp, left, right, radius)
+                a.append(node[x])
+                b.append(node[y])
         if a:
-            a, b = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     return dealt.mapInArrow(compare, "a long, b long")
 
 
+def fingerprint_links(fps: DataFrame, radius: int = 2) -> DataFrame:
+    """Links (a, b) that span the classes of distinct 64-bit fingerprints fp0 within `radius` bits, all of them.
+
+    Pigeonhole: the 64 bits are cut into radius + 2 segments, of which two at least
+    are equal in any pair within the radius; each pair of segments is a key.
+    """
+    n = radius + 2
+    edges = [64 * i // n for i in range(n + 1)]
+    masks = [sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in pair) for pair in combinations(range(n), 2)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    keyed = fps.select(F.posexplode(F.array(*[F.col("fp0").bitwiseAND(F.lit(m)) for m in signed])).alias("t", "key"), F.col("fp0").alias("node"), "fp0")
+    return _compared(keyed, 1, radius)
+
+
+def similar_links(fps: DataFrame, radius: int = 26, tables: int = 40, key_bits: int = 16, words: int = 2) -> DataFrame:
+    """Links that span the classes of (node, fp0 .. ) within `radius` of 64 x words bits, by sampled bits.
+
+    A radius as wide as a similarity of 0.8 needs is beyond the pigeonhole. Each of
+    `tables` keys takes `key_bits` bits of the fingerprint, dealt by a fixed seed.
+    Of pairs whose bits agree with chance p, 1 - (1 - p^key_bits)^tables share a key.
+    """
+    bits = np.random.default_rng(20240229)
+    keys = []
+    for _ in range(tables):
+        chosen = bits.choice(64 * words, key_bits, replace=False)
+        masks = [sum(1 << int(b % 64) for b in chosen if b // 64 == w) for w in range(words)]
+        keys.append(F.xxhash64(*[F.col(f"fp{w}").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for w, m in enumerate(masks)]))
+    keyed = fps.select(F.posexplode(F.array(*keys)).alias("t", "key"), "node", *[f"fp{w}" for w in range(words)])
+    return _compared(keyed, words, radius)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, shingle: int = 3) -> DataFrame:
     """(id, fingerprint, component_id) for each row of docs.
 
@@ -235,11 +273,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comparison. A null id takes part in no minimum: its row gets its class's
     smallest id, null if there is none. Repeated rows give repeated results.
     """
-    rows = durable(with_fingerprint(docs, id_col, text_col, shingle))
-    distinct = durable(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    links = connected_components(fingerprint_links(distinct.select("fp"), radius))
+    rows = with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("_text")), "_text", shingle).drop("_text")
+    rows = durable(rows)
+    distinct = durable(rows.groupBy("fp0").agg(F.min("id").alias("least")))
+    links = connected_components(fingerprint_links(distinct.select("fp0"), radius))
     # classes are named by a fingerprint first, then by their smallest id
-    named = distinct.join(links.select(F.col("node").alias("fp"), F.col("component").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = distinct.join(links.select(F.col("node").alias("fp0"), F.col("component").alias("root")), "fp0", "left").withColumn("root", F.coalesce("root", "fp0"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(least, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_fp = named.join(least, "root").select("fp0", "component_id")
+    return rows.join(by_fp, "fp0").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 26) -> DataFrame:
+    """The rows of docs that stay if each group of near copies keeps one: that of its smallest id.
+
+    Fingerprints have 128 bits over 5-word shingles; a Jaccard similarity of 0.8 of
+    shingle sets makes 19 bits differ on average (4 is a standard deviation), so
+    `radius` 26 is the bound that stands for it. Rows without an id are a group's
+    last choice. Equal rows count as copies: one stays. Texts are fingerprinted
+    twice, so that the wide rows move once, in the join with the ids that stay.
+    """
+    words = 2
+    fps = [f"fp{w}" for w in range(words)]
+    key = F.xxhash64(*fps)
+    own = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit(""))
+    rows = durable(with_fingerprint(docs.select(F.col(id_col), F.col(text_col)), text_col, shingle, words).drop(text_col))
+    nodes = rows.withColumn("node", key).groupBy("node").agg(F.min(id_col).alias("least"), *[F.min(f).alias(f) for f in fps])
+    nodes = durable(nodes)
+    links = connected_components(similar_links(nodes.select("node", *fps), radius, words=words))
+    rooted = nodes.join(links, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    # one node of each class stays: that of the smallest id, then of the smallest fingerprint
+    stays = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), F.col("node"))).alias("x"))
+    stays = stays.select(F.coalesce(F.concat(F.lit("="), F.col("x.id").cast("string")), F.lit("")).alias("_own"), F.col("x.node").alias("_node"))
+    wide = with_fingerprint(docs, text_col, shingle, words).withColumn("_node", key).withColumn("_own", own).drop(*fps)
+    once = Window.partitionBy("_own", "_node").orderBy(F.lit(0))
+    return wide.join(stays, ["_own", "_node"]).withColumn("_n", F.row_number().over(once)).where("_n = 1").select(docs.columns)
