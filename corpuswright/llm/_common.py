@@ -95,7 +95,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Words' XXH64 (seed 42), remembered; forgets all beyond `most` so that memory stays bounded."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 250_000):
         super().__init__()
         import xxhash
 

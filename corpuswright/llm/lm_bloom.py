@@ -29,7 +29,10 @@ from ._common import LOWER_BYTES, WordHashes, binary_column, drop_folder, durabl
 
 #: Stands for the end of a text; no word hashes to it but by a 64-bit accident.
 END = 0x656E642D6F662D74
-_CHUNK = 3_000_000
+#: Words counted together before their blocks go out.
+_CHUNK = 2_500_000
+#: Bytes of text cut into words at a time (a single text may hold more).
+_SLICE = 4 << 20
 _PROBES = 4
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -62,13 +65,13 @@ def _tokens(texts: list[bytes | None], memo: WordHashes) -> tuple[np.ndarray, np
 
 
 def _some(batch, names: list[str], text: str) -> Iterator[tuple]:
-    """Slices of a batch of about _CHUNK words at most (a single text may hold more)."""
+    """Slices of a batch of about _SLICE bytes."""
     texts = binary_column(batch, text)
     cols = [batch.column(batch.schema.get_field_index(n)) for n in names]
     start, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t or b"")
-        if size > 6 * _CHUNK or i == len(texts) - 1:
+        if size > _SLICE or i == len(texts) - 1:
             yield texts[start : i + 1], [c.slice(start, i + 1 - start) for c in cols]
             start, size = i + 1, 0
 
@@ -89,14 +92,24 @@ def _counter(text: str, shards: int):
 
     def count(batches):
         memo = WordHashes()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def out():
+            for k, kind in ((0, 1), (1, 2)):
+                rows = list(_blocks(np.concatenate([x[k] for x in held]), kind, shards))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["kind", "shard", "keys", "counts"])
+
         for b in batches:
-            if not b.num_rows:
-                continue
             for texts, _ in _some(b, [], text):
                 h, before, _n = _tokens(texts, memo)
-                for keys, kind in ((h, 1), (_bigrams(h, before), 2)):
-                    rows = list(_blocks(keys, kind, shards))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["kind", "shard", "keys", "counts"])
+                held.append((h, _bigrams(h, before)))
+                size += len(h)
+                if size >= _CHUNK:
+                    yield from out()
+                    held, size = [], 0
+        if held:
+            yield from out()
 
     return count
 
