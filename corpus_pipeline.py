@@ -1,4 +1,8 @@
-"""The corpus pipeline: stages over `documents`, each written as Parquet and read again."""
+"""The corpus pipeline: stages over `documents`, each written as Parquet and read again.
+
+Within a stage the columns have names of their own, so that no further column of
+documents can clash with an operator's.
+"""
 
 from __future__ import annotations
 
@@ -10,27 +14,43 @@ from corpuswright.llm._common import durable, shared_folder
 from corpuswright.llm.queries import tokenizer_path
 
 
+def _renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose perplexity is within their language's threshold."""
-    fit_ids, trusted = kneser_ney.trusted_ids(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    model = kneser_ney.fit(docs.join(F.broadcast(fit_ids), "doc_id", "left_semi"))
-    narrow = durable(kneser_ney.with_perplexity(docs.select("doc_id", "lang", "text"), model).drop("text"))
-    limits = kneser_ney.thresholds(narrow, trusted)
+    """Keeps the documents whose perplexity is within their language's threshold.
+
+    A language without trusted documents, and a null one without, keeps all.
+    """
+    own, n = _renamed(docs)
+    ident, text, lang = n["doc_id"], n["text"], n["lang"]
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias(ident), "quality")
+    fit_ids, trusted = kneser_ney.trusted_ids(labels, id_col=ident)
+    model = kneser_ney.fit(own.join(F.broadcast(fit_ids), ident, "left_semi"), text)
+    narrow = durable(kneser_ney.with_perplexity(own.select(ident, lang, text), model, text).drop(text))
+    limits = kneser_ney.thresholds(narrow, trusted, id_col=ident, lang_col=lang)
     # scored again, beside the whole row, so that no text is shuffled
-    return kneser_ney.judge(kneser_ney.with_perplexity(docs, model), limits).where("kept").select(docs.columns)
+    kept = kneser_ney.judge(kneser_ney.with_perplexity(own, model, text), limits, lang).where("kept")
+    return kept.select(*n.values()).toDF(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies: the one of the smallest id."""
-    return simhash.drop_near_copies(docs)
+    own, n = _renamed(docs)
+    return simhash.drop_near_copies(own, n["doc_id"], n["text"]).toDF(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets in the texts; n_chars follows."""
-    ratios = secrets.fit(secrets.random_samples(spark).unionByName(secrets.identifier_samples(docs)))
-    out = secrets.redact(docs.withColumn("_before", F.col("text")), ratios)
-    changed = ~F.col("text").eqNullSafe(F.col("_before"))
-    return out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    own, n = _renamed(docs)
+    text, chars = n["text"], n["n_chars"]
+    ratios = secrets.fit(secrets.random_samples(spark).unionByName(secrets.identifier_samples(own, n["doc_id"], text)))
+    out = secrets.redact(own.withColumn("before", F.col(text)), ratios, text)
+    changed = ~F.col(text).eqNullSafe(F.col("before"))
+    out = out.withColumn(chars, F.when(changed, F.length(text).cast("long")).otherwise(F.col(chars)))
+    return out.select(*n.values()).toDF(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,16 +58,19 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows equal in id, source and size share a decision: the most that any gets.
     """
-    key = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in ("doc_id", "source")]
-    taken = mixing.mix(docs).where("copies > 0").groupBy(key[0].alias("_id"), key[1].alias("_source"), F.col("size").alias("_size")).agg(F.max("copies").cast("int").alias("_copies"))
-    keyed = docs.withColumns({"_id": key[0], "_source": key[1], "_size": mixing.word_count(F.col("text"))})
-    out = keyed.join(taken, ["_id", "_source", "_size"])
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    own, n = _renamed(docs)
+    ident, text, source = n["doc_id"], n["text"], n["source"]
+    key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    taken = mixing.mix(own, ident, text, source).where("copies > 0").select(key(ident).alias("k1"), key("source").alias("k2"), F.col("size").alias("k3"), F.col("copies").cast("int").alias("copies"))
+    taken = taken.groupBy("k1", "k2", "k3").agg(F.max("copies").alias("copies"))
+    keyed = own.withColumns({"k1": key(ident), "k2": key(source), "k3": mixing.word_count(F.col(text))})
+    out = keyed.join(taken, ["k1", "k2", "k3"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return out.select(*n.values()).toDF(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix's documents as token ids."""
-    return bpe.encode(docs, tokenizer_path()).select("doc_id", "lang", "source", "n_tokens", "token_ids")
+    return bpe.encode(docs.select("doc_id", "lang", "source", "text"), tokenizer_path()).drop("text")
 
 
 STAGES = [("quality classifier", quality), ("simhash near-dedup", near_dedup), ("secret scans", secret_scan), ("mixing", mix), ("bpe", tokens)]
