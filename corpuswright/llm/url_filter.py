@@ -5,8 +5,6 @@ DataFrame functions only.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,13 +41,13 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def features(host: Column, path: Column, buckets: int = BUCKETS) -> Column:
-    """Distinct buckets of the character 3-grams of host and of path, ends marked."""
+    """Distinct buckets of the character 3-grams and 4-grams of host and of path, ends marked."""
 
-    def grams(s: Column, tag: str) -> Column:
+    def grams(s: Column, tag: str, n: int) -> Column:
         s = F.concat(F.lit("^"), s, F.lit("$"))
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 2, F.lit(1))), lambda i: F.pmod(F.xxhash64(F.lit(tag), F.substr(s, i, F.lit(3))), F.lit(buckets)).cast("int"))
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - n + 1, F.lit(1))), lambda i: F.pmod(F.xxhash64(F.lit(tag), F.substr(s, i, F.lit(n))), F.lit(buckets)).cast("int"))
 
-    return F.array_distinct(F.concat(grams(host, "host"), grams(path, "path")))
+    return F.array_distinct(F.concat(*[grams(s, tag, n) for s, tag in ((host, "host"), (path, "path")) for n in (3, 4)]))
 
 
 def _margin(buckets: Column, weights: list[float]) -> Column:
@@ -58,24 +56,24 @@ def _margin(buckets: Column, weights: list[float]) -> Column:
     return F.aggregate(F.concat(buckets, F.array(F.lit(len(weights) - 1))), F.lit(0.0), lambda acc, i: acc + F.get(table, i))
 
 
-def fit(labelled: DataFrame, most: int = 2000, buckets: int = BUCKETS, steps: int = 15, rate: float = 0.5, ridge: float = 1e-4) -> list[float]:
+def fit(labelled: DataFrame, most: int = 2000, buckets: int = BUCKETS, steps: int = 16, rate: float = 0.5, ridge: float = 1e-3) -> list[float]:
     """Weights of the regression, the bias last, from (host, path, allowed), a small labelled table.
 
     At most `most` distinct rows are used, those of least md5(host, path): the bound
-    of the fit. Adagrad over full gradients, each one aggregation of the sample;
+    of the fit. Gradient descent with momentum, each step one aggregation of the sample;
     `buckets` + 1 sums at most reach the driver in a step. Without rows all weights are 0.
     """
     sample = labelled.distinct().orderBy(F.md5(F.concat_ws("\x00", "host", "path")), "host", "path", "allowed").limit(most)
     sample = durable(sample.select(F.col("allowed").cast("double").alias("y"), features(F.col("host"), F.col("path"), buckets).alias("x")).coalesce(1)).coalesce(1)
     n = sample.count()
-    weights, seen = [0.0] * (buckets + 1), [1e-8] * (buckets + 1)
+    weights, speed = [0.0] * (buckets + 1), [0.0] * (buckets + 1)
     for _ in range(steps if n else 0):
         error = (F.lit(1.0) / (F.lit(1.0) + F.exp(-_margin(F.col("x"), weights))) - F.col("y")).alias("e")
         slopes = sample.select(error, F.explode(F.concat("x", F.array(F.lit(buckets)))).alias("i")).groupBy("i").agg(F.sum("e").alias("g"))
-        for i, total in slopes.collect():
-            g = total / n + (ridge * weights[i] if i < buckets else 0.0)
-            seen[i] += g * g
-            weights[i] -= rate * g / math.sqrt(seen[i])
+        slope = dict(slopes.collect())
+        for i, w in enumerate(weights):
+            speed[i] = 0.9 * speed[i] - rate * (slope.get(i, 0.0) / n + (ridge * w if i < buckets else 0.0))
+            weights[i] = w + speed[i]
     return weights
 
 
