@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from ..functions.text import content_hash, normalise_newlines
@@ -15,7 +16,7 @@ from ..schema import CATEGORIES, CLASSES
 FINDING = "struct<name:string,impact:string,line:int,`swc-id`:string,swc_id:string,check:string,id:string>"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """UTF-8 without the bytes that aren't: Spark's own decoding replaces or raises."""
     for s in batches:
