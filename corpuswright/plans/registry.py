@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus, evaluation, structure
+from . import corpus, evaluation, reporting, structure
 
-MODULES = (corpus, evaluation, structure)
+MODULES = (corpus, evaluation, structure, reporting)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
