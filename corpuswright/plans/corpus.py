@@ -140,6 +140,14 @@ def pragma_versions(spark, d):
     return contracts(spark, d).select("contract_id", X.pragma_minor(s).alias("minor"), X.pragma_exact(s).alias("exact"), X.choose_compiler(s, by_minor, exact).alias("compiler"))
 
 
+@query("pragma_newest", "SELECT '0.' || m AS minor, '0.' || m || '.' || max(p) AS version, '/b/solc-0.' || m || '.' || max(p) AS path FROM (SELECT doc_id % 4 AS m, doc_id % 23 AS p FROM documents) GROUP BY m")
+def pragma_newest(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    name = F.concat(F.lit("solc-0."), F.col("doc_id") % 4, F.lit("."), F.col("doc_id") % 23)
+    installed = docs.select(name.alias("name"), F.concat(F.lit("/b/"), name).alias("path")).unionByName(spark.createDataFrame([("solc-nightly", "/b/x")], "name string, path string"))
+    return files.newest_by_minor(installed)
+
+
 @query("pin_counts", with_("SELECT CASE doc_id % 5 WHEN 1 THEN '0.4.25' ELSE '0.8.19' END AS pin, count(*) AS n FROM c WHERE doc_id % 5 = 3 GROUP BY ALL", c=fx.CONTRACTS))
 def pin_counts(spark, d):
     """Pinned versions that aren't installed, and how many sources pin them."""

@@ -111,5 +111,16 @@ def parse_issues(value: Column) -> Column:
     return F.when(d["success"], F.transform(F.coalesce(d["issues"], F.array().cast("array<struct<`swc-id`:string>>")), number))
 
 
+def newest_by_minor(installed: DataFrame) -> DataFrame:
+    """(minor, version, path): the newest patch of each minor version, compared as numbers; names that are no version drop.
+
+    installed: (name, path), names such as solc-0.4.25.
+    """
+    parts = F.split(F.regexp_extract("name", r"(\d+\.\d+\.\d+)$", 1), r"\.")
+    rows = installed.select("path", F.transform(parts, lambda x: x.try_cast("int")).alias("v")).where("size(v) = 3")
+    best = rows.groupBy(F.concat_ws(".", F.col("v")[0].cast("string"), F.col("v")[1].cast("string")).alias("minor")).agg(F.max(F.struct("v", "path")).alias("x"))
+    return best.select("minor", F.array_join(F.col("x.v").cast("array<string>"), ".").alias("version"), "x.path")
+
+
 def results_path(*parts: Column) -> Column:
     return F.concat_ws("/", *parts)
