@@ -56,7 +56,7 @@ class _Remembered(dict):
 class ByteBPE:
     """Encoder and decoder of a vocabulary file's text; remembers some `most` pieces' ids."""
 
-    def __init__(self, vocabulary: str, most: int = 400_000):
+    def __init__(self, vocabulary: str, most: int = 150_000):
         import ahocorasick
 
         spec = json.loads(vocabulary)
