@@ -40,11 +40,6 @@ def binary_column(batch, name: str) -> list[bytes | None]:
     return col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()).to_pylist()
 
 
-def with_columns_of(df: DataFrame, fixed: dict[str, str]) -> str:
-    """A DDL schema from a mapping of names to types."""
-    return ", ".join(f"`{k}` {v}" for k, v in fixed.items())
-
-
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that the driver and all executors share.
 
