@@ -110,8 +110,8 @@ def near(queries: np.ndarray, blocks: np.ndarray, planes: np.ndarray, radius: in
     return out
 
 
-def _links(fps: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span the classes among rows `left` and `right` of fps: a forest, at most a link a row."""
+def _links(fps: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span the classes among rows `left` and `right` of fps: a forest over their labels."""
     parent: dict[int, int] = {}
 
     def root(x):
@@ -135,7 +135,7 @@ def _links(fps: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) ->
                 if base + lane >= len(right):
                     break
                 b = int(right[base + lane])
-                x, y = root(a), root(b)
+                x, y = root(int(label[a])), root(int(label[b]))
                 if x != y:
                     parent[x] = y
                     out.append((a, b))
@@ -168,9 +168,9 @@ def _small_links(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.nd
 
 
 def _compared(keyed: DataFrame, words: int, radius: int) -> DataFrame:
-    """Links (a, b) of nodes that share a key and lie within the radius, from (t, key, node, fp0 ..).
+    """Links (a, b) of the labels of nodes that share a key and lie within the radius, from (t, key, node, label, fp0 ..).
 
-    A key with more than CHUNK nodes is cut into chunks by hash, and every pair of
+    Nodes of one label are known to belong together: no link is made of them. A key with more than CHUNK nodes is cut into chunks by hash, and every pair of
     chunks is a group of its own, so nothing is dropped and no group grows with the
     data. Groups are compared bit-sliced; each returns links that span its classes.
     """
@@ -181,7 +181,7 @@ def _compared(keyed: DataFrame, words: int, radius: int) -> DataFrame:
     dealt = keyed.join(sizes, ["t", "key"]).withColumn("c", F.ceil(F.col("m") / CHUNK).cast("int"))
     dealt = dealt.withColumn("mine", F.when(F.col("c") > 1, F.pmod(F.xxhash64("node"), F.col("c"))).otherwise(0).cast("int"))
     other = F.when(F.col("c") > 1, F.sequence(F.lit(0), F.col("c") - 1)).otherwise(F.array(F.lit(0)))
-    dealt = dealt.withColumn("o", F.explode(other)).select("t", "key", F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j"), "mine", "node", *names)
+    dealt = dealt.withColumn("o", F.explode(other)).select("t", "key", F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j"), "mine", "node", "label", *names)
     dealt = dealt.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j", "mine", "node")
 
     def compare(batches):
@@ -204,7 +204,7 @@ def _compared(keyed: DataFrame, words: int, radius: int) -> DataFrame:
         cut = np.concatenate([[True], (rows[:4, 1:] != rows[:4, :-1]).any(axis=0)])
         group = np.cumsum(cut) - 1
         size = np.bincount(group)
-        fp, node = np.ascontiguousarray(rows[6:].T).view(np.uint64), rows[5]
+        fp, label = np.ascontiguousarray(rows[7:].T).view(np.uint64), rows[6]
         one = rows[2] == rows[3]
         small = np.flatnonzero((size[group] <= _LANES) & one)
         a, b = [], []
@@ -213,8 +213,8 @@ def _compared(keyed: DataFrame, words: int, radius: int) -> DataFrame:
         for k in range(0, len(borders) - 1, 2048):  # so many groups at a time, to bound memory
             some = small[borders[k] : borders[min(k + 2048, len(borders) - 1)]]
             x, y = _small_links(fp[some], group[some], radius)
-            a.append(node[some[x]])
-            b.append(node[some[y]])
+            a.append(label[some[x]])
+            b.append(label[some[y]])
         for g in np.flatnonzero((size > _LANES) | ~one[np.flatnonzero(cut)]):
             at = np.arange(*np.searchsorted(group, [g, g + 1]))
             left = right = at
@@ -222,11 +222,12 @@ def _compared(keyed: DataFrame, words: int, radius: int) -> DataFrame:
                 first = rows[4, at] == rows[2, at]
                 left, right = at[first], at[~first]
             if len(left) and len(right):
-                x, y = _links(fp, left, right, radius)
-                a.append(node[x])
-                b.append(node[y])
+                x, y = _links(fp, label, left, right, radius)
+                a.append(label[x])
+                b.append(label[y])
         if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+            a, b = np.concatenate(a), np.concatenate(b)
+            yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], ["a", "b"])
 
     return dealt.mapInArrow(compare, "a long, b long")
 
@@ -241,16 +242,18 @@ def fingerprint_links(fps: DataFrame, radius: int = 2) -> DataFrame:
     edges = [64 * i // n for i in range(n + 1)]
     masks = [sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in pair) for pair in combinations(range(n), 2)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = fps.select(F.posexplode(F.array(*[F.col("fp0").bitwiseAND(F.lit(m)) for m in signed])).alias("t", "key"), F.col("fp0").alias("node"), "fp0")
+    keyed = fps.select(F.posexplode(F.array(*[F.col("fp0").bitwiseAND(F.lit(m)) for m in signed])).alias("t", "key"), F.col("fp0").alias("node"), F.col("fp0").alias("label"), "fp0")
     return _compared(keyed, 1, radius)
 
 
-def similar_links(fps: DataFrame, radius: int = 26, tables: int = 40, key_bits: int = 16, words: int = 2) -> DataFrame:
-    """Links that span the classes of (node, fp0 .. ) within `radius` of 64 x words bits, by sampled bits.
+def similar_classes(fps: DataFrame, radius: int = 26, tables: int = 40, key_bits: int = 16, words: int = 2, first: int = 8) -> DataFrame:
+    """(node, root) of (node, fp0 .. ): classes of fingerprints within `radius` of 64 x words bits, by sampled bits.
 
     A radius as wide as a similarity of 0.8 needs is beyond the pigeonhole. Each of
     `tables` keys takes `key_bits` bits of the fingerprint, dealt by a fixed seed.
     Of pairs whose bits agree with chance p, 1 - (1 - p^key_bits)^tables share a key.
+    The `first` keys make classes; the others only add links between different ones,
+    so a large group isn't linked anew by every key. All keys see all nodes.
     """
     bits = np.random.default_rng(20240229)
     keys = []
@@ -258,8 +261,13 @@ def similar_links(fps: DataFrame, radius: int = 26, tables: int = 40, key_bits:
         chosen = bits.choice(64 * words, key_bits, replace=False)
         masks = [sum(1 << int(b % 64) for b in chosen if b // 64 == w) for w in range(words)]
         keys.append(F.xxhash64(*[F.col(f"fp{w}").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for w, m in enumerate(masks)]))
-    keyed = fps.select(F.posexplode(F.array(*keys)).alias("t", "key"), "node", *[f"fp{w}" for w in range(words)])
-    return _compared(keyed, words, radius)
+    names = [f"fp{w}" for w in range(words)]
+    classes = fps.select("node", *names, F.col("node").alias("label"))
+    for some in (keys[:first], keys[first:]):
+        keyed = classes.select(F.posexplode(F.array(*some)).alias("t", "key"), "node", "label", *names)
+        found = connected_components(_compared(keyed, words, radius)).select(F.col("node").alias("label"), "component")
+        classes = durable(classes.join(found, "label", "left").select("node", *names, F.coalesce("component", "label").alias("label")))
+    return classes.select("node", F.col("label").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, shingle: int = 3) -> DataFrame:
@@ -300,8 +308,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = durable(with_fingerprint(docs.select(F.col(id_col), F.col(text_col)), text_col, shingle, words).drop(text_col))
     nodes = rows.withColumn("node", key).groupBy("node").agg(F.min(id_col).alias("least"), *[F.min(f).alias(f) for f in fps])
     nodes = durable(nodes)
-    links = connected_components(similar_links(nodes.select("node", *fps), radius, words=words))
-    rooted = nodes.join(links, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    rooted = nodes.join(similar_classes(nodes.select("node", *fps), radius, words=words), "node")
     # one node of each class stays: that of the smallest id, then of the smallest fingerprint
     stays = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), F.col("node"))).alias("x"))
     stays = stays.select(F.coalesce(F.concat(F.lit("="), F.col("x.id").cast("string")), F.lit("")).alias("_own"), F.col("x.node").alias("_node"))
