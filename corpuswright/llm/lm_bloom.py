@@ -8,9 +8,9 @@ orders' relative frequencies.
 
 How it scales. Counts move as sorted, pre-added blocks of 64-bit n-gram hashes,
 one block for each shard of the hash space, so a frequent n-gram costs one entry
-a task. The filter has a fixed number of bits (`filter_bits`), whatever the
-corpus: it holds the n-grams from the lowest quantisation level at which all
-events fit, a level read off the counts of the whole corpus. Exact word counts
+a task. The filter grows with the counted events and holds all of them. A key's
+bits lie in its shard's segment; runs of segments of `filter_bits` at most are
+sent one by one, and a worker holds one run at a time. Exact word counts
 never need a broadcast that grows: the `head_words` most frequent words travel
 with the filter, the occurrences of all others are joined to their counts by
 shuffle.
@@ -64,14 +64,14 @@ def _tokens(texts: list[bytes | None], memo: WordHashes) -> tuple[np.ndarray, np
     return h, before, n
 
 
-def _some(batch, names: list[str], text: str) -> Iterator[tuple]:
-    """Slices of a batch of about _SLICE bytes."""
+def _some(batch, names: list[str], text: str, most: int = _SLICE) -> Iterator[tuple]:
+    """Slices of a batch of about `most` bytes."""
     texts = binary_column(batch, text)
     cols = [batch.column(batch.schema.get_field_index(n)) for n in names]
     start, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t or b"")
-        if size > _SLICE or i == len(texts) - 1:
+        if size > most or i == len(texts) - 1:
             yield texts[start : i + 1], [c.slice(start, i + 1 - start) for c in cols]
             start, size = i + 1, 0
 
@@ -187,8 +187,11 @@ def _segments(shards: int, filter_bits: int):
     return build
 
 
-def levels(keys: np.ndarray, bits: np.ndarray, least: int, shards: int, filter_bits: int) -> np.ndarray:
-    """The quantised level of each key, 0 where it isn't held: probes go up until one fails."""
+def levels(keys: np.ndarray, bits: np.ndarray, least: int, shards: int, filter_bits: int, first: int = 0) -> np.ndarray:
+    """The quantised level of each key, 0 where it isn't held: probes go up until one fails.
+
+    `bits` starts with the segment of shard `first` and has those of all the keys.
+    """
     out = np.zeros(len(keys), dtype=np.int8)
     live = np.arange(len(keys))
     seg = np.uint64(filter_bits // shards)
@@ -200,7 +203,7 @@ def levels(keys: np.ndarray, bits: np.ndarray, least: int, shards: int, filter_b
         with np.errstate(over="ignore"):
             x = mix64(k + np.uint64(level) * _ODD)
             step = (x >> np.uint64(32)) | np.uint64(1)
-            base = (k >> shard) * seg
+            base = ((k >> shard) - np.uint64(first)) * seg
             for _ in range(_PROBES):
                 p = base + (x & (seg - np.uint64(1)))
                 ok = ((bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
@@ -210,6 +213,28 @@ def levels(keys: np.ndarray, bits: np.ndarray, least: int, shards: int, filter_b
     return out
 
 
+def _taken(sent):
+    """A broadcast's value, read anew from its file each time, so that a worker holds one at a time."""
+    value = sent.value
+    if getattr(sent, "_path", None):
+        sent.__dict__.pop("_value", None)
+    return value
+
+
+def levels_in_runs(keys: np.ndarray, runs: list, per: int, shards: int, filter_bits: int) -> np.ndarray:
+    """levels() of keys of all shards; `runs` are broadcasts of the bits of `per` shards each."""
+    if len(runs) == 1:
+        return levels(keys, runs[0].value, 1, shards, filter_bits)
+    out = np.zeros(len(keys), dtype=np.int8)
+    run = ((keys >> np.uint64(64 - (shards.bit_length() - 1))) // np.uint64(per)).astype(np.int32)
+    order = np.argsort(run, kind="stable")
+    edges = np.searchsorted(run[order], np.arange(len(runs) + 1))
+    for i in np.flatnonzero(np.diff(edges)):
+        own = order[edges[i] : edges[i + 1]]
+        out[own] = levels(keys[own], _taken(runs[i]), 1, shards, filter_bits, int(i) * per)
+    return out
+
+
 def typical(level: np.ndarray) -> np.ndarray:
     """The count that a level stands for: the middle of 2^(q-1) .. 2^q - 1, 0 for none."""
     q = level.astype(np.float64)
@@ -237,6 +262,7 @@ def score(
     model's log10 probability: with pair and word counts read from the filter,
     p(w|v) = (pair(v, w) + discount * p(w)) / (word(v) + discount), where a pair's
     count is held to that of its first word and p(w) = (word(w) + 0.5) / (N + 0.5 (V + 1)).
+    The filter holds every counted n-gram; `filter_bits` is what is sent of it at once.
 
     A null or empty text is one end token. With no training rows N and V are 0 and
     every token has probability 1. Other columns are not touched.
@@ -253,17 +279,21 @@ def score(
     by_level = counted.groupBy("kind", "level").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()
     total = sum(r.total for r in by_level if r.kind == 1)
     vocabulary = sum(r.n for r in by_level if r.kind == 1)
-    room = int(filter_bits * math.log(2) / _PROBES)
     top = max([r.level for r in by_level], default=0)
-    events = lambda least: sum(r.n * r.level for r in by_level if r.level >= least)
-    least = next(q for q in range(1, top + 2) if events(q) <= room)
-    need = max(events(least) * _PROBES / math.log(2), 64 * shards)
-    filter_bits = min(filter_bits, 1 << math.ceil(math.log2(need)))
-    segments = counted.where(F.col("level") >= least).select("shard", "level", "keys").repartition("shard").sortWithinPartitions("shard").mapInArrow(_segments(shards, filter_bits), "shard int, bits binary")
-    bits = np.zeros(filter_bits // 8, dtype=np.uint8)
-    width = filter_bits // 8 // shards
-    for r in segments.collect():  # filter_bits / 8 bytes in all, whatever the corpus
-        bits[r.shard * width : (r.shard + 1) * width] = np.frombuffer(r.bits, np.uint8)
+    need = max(sum(r.n * r.level for r in by_level) * _PROBES / math.log(2), 64 * shards)
+    all_bits = 1 << math.ceil(math.log2(need))
+    width = all_bits // 8 // shards
+    held = min(shards, max(1, filter_bits // 8 // width))
+    segments = counted.select("shard", "level", "keys").repartition("shard").sortWithinPartitions("shard").mapInArrow(_segments(shards, all_bits), "shard int, bits binary")
+    if held < shards:
+        segments.write.parquet(f"{folder}/segments")
+        segments = spark.read.parquet(f"{folder}/segments")
+    runs = []
+    for first in range(0, shards, held):  # filter_bits / 8 bytes at a time
+        bits = np.zeros(width * min(held, shards - first), dtype=np.uint8)
+        for r in segments.where(F.col("shard").between(first, first + held - 1)).collect():
+            bits[(r.shard - first) * width : (r.shard - first + 1) * width] = np.frombuffer(r.bits, np.uint8)
+        runs.append(spark.sparkContext.broadcast(bits))
     # the lowest level from which all words number head_words at most
     words = lambda q: sum(r.n for r in by_level if r.kind == 1 and r.level >= q)
     cut = next(q for q in range(1, top + 2) if words(q) <= head_words)
@@ -271,35 +301,37 @@ def score(
     known = np.frombuffer(b"".join(bytes(r.keys) for r in head), np.uint64)
     known_n = np.frombuffer(b"".join(bytes(r.counts) for r in head), np.int64)
     order = np.argsort(known)
-    sent = spark.sparkContext.broadcast((bits, known[order], known_n[order]))
+    sent = spark.sparkContext.broadcast((known[order], known_n[order]))
     floor = total + 0.5 * (vocabulary + 1)
     names = ["_row_id", *carry]
 
     def scorer(batches):
-        bits, known, known_n = sent.value
+        known, known_n = sent.value
         memo = WordHashes()
 
-        def word_facts(h):
-            """Exact count (-1: not in the head) and filter level of each hash."""
+        def facts(h, before):
+            """Exact count (-1: not in the head) of each hash, and the filter's counts of each hash, of each pair and of the end."""
             u, where = np.unique(h, return_inverse=True)
             at = np.minimum(np.searchsorted(known, u), max(len(known) - 1, 0))
             exact = np.where(known[at] == u, known_n[at], -1) if len(known) else np.full(len(u), -1)
-            return exact[where], typical(levels(u, bits, least, shards, filter_bits))[where]
+            keys = np.concatenate([u, np.array([END], np.uint64), _bigrams(h, before)])
+            count = typical(levels_in_runs(keys, runs, held, shards, all_bits))
+            return exact[where], count[where], count[len(u) + 1 :], count[len(u)]
 
         for b in batches:
             if not b.num_rows:
                 continue
-            for texts, cols in _some(b, names, "_text"):
+            for texts, cols in _some(b, names, "_text", _SLICE * min(len(runs), 2)):
                 h, before, n = _tokens(texts, memo)
-                exact, count = word_facts(h)
+                exact, count, pair, end = facts(h, before)
                 starts = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
                 sum_by = lambda x, starts=starts: np.add.reduceat(x, starts)
                 in_head = exact >= 0
                 base = sum_by(np.where(in_head, np.log10(np.where(in_head, exact, 0) + 0.5), 0.0) - math.log10(floor))
                 history = np.empty_like(count)
                 history[1:] = count[:-1]
-                history[starts] = typical(levels(np.array([END], np.uint64), bits, least, shards, filter_bits))[0]
-                pair = np.minimum(typical(levels(_bigrams(h, before), bits, least, shards, filter_bits)), history)
+                history[starts] = end
+                pair = np.minimum(pair, history)
                 p = (pair + discount * (count + 0.5) / floor) / (history + discount)
                 tail = h[~in_head].view(np.int64)
                 per = sum_by((~in_head).astype(np.int64))

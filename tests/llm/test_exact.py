@@ -39,6 +39,11 @@ def test_lm_with_few_bits_and_a_small_head_keeps_base_exact(docs):
     assert full.exceptAll(tight).count() == 0
 
 
+def test_lm_filter_in_many_runs_holds_every_ngram(docs):
+    whole, runs = ({(r.doc_id, round(r.score, 6)) for r in lm_bloom.score(docs, docs, **k).collect()} for k in ({}, {"filter_bits": 1 << 14}))
+    assert whole == runs
+
+
 def test_filter_reads_back_levels():
     rng = np.random.default_rng(0)
     keys, level = rng.integers(0, 1 << 63, 5000).astype(np.uint64), rng.integers(1, 6, 5000)
