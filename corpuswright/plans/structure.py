@@ -214,8 +214,13 @@ def log(spark, d):
     return run(spark, d, fx.LOG)
 
 
+def enrolled(spark, d):
+    """The contracts that SQL enrols, attempted or not, and all others that the log has attempts of."""
+    return spark.range(0, 200).withColumnRenamed("id", "cid").union(log(spark, d).select("cid").where("cid IS NOT NULL")).distinct()
+
+
 def state(spark, d):
-    tasks = ledger.enrol(spark.range(0, 200).withColumnRenamed("id", "cid"), list(TOOLS))
+    tasks = ledger.enrol(enrolled(spark, d), list(TOOLS))
     return ledger.fold(tasks, log(spark, d))
 
 
@@ -225,7 +230,7 @@ _STATE = "SELECT cid, tool, coalesce(st, 'pending') AS status, coalesce(n, 0) AS
 
 @query("ledger_enrol", with_("SELECT cid, tool, 'pending' AS status, 0::BIGINT AS attempts FROM k WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.cid = k.cid AND g.tool = k.tool)", k=_TASKS, g=fx.LOG))
 def ledger_enrol(spark, d):
-    return ledger.enrol(spark.range(0, 200).withColumnRenamed("id", "cid"), list(TOOLS), log(spark, d))
+    return ledger.enrol(enrolled(spark, d), list(TOOLS), log(spark, d))
 
 
 @query("ledger_fold", with_("SELECT cid, tool, status, attempts, round(seconds, 6) AS seconds FROM s", k=_TASKS, g=fx.LOG, s=_STATE))
@@ -256,7 +261,7 @@ def ledger_outcomes(spark, d):
 
 @query("ledger_remaining", with_("SELECT cid, tool FROM k WHERE (cid, tool) NOT IN (SELECT cid, tool FROM s WHERE status = 'ok')", k=_TASKS, g=fx.LOG, s=_STATE))
 def ledger_remaining(spark, d):
-    work = ledger.enrol(spark.range(0, 200).withColumnRenamed("id", "cid"), list(TOOLS)).select("cid", "tool")
+    work = ledger.enrol(enrolled(spark, d), list(TOOLS)).select("cid", "tool")
     return ledger.remaining(work, state(spark, d).where("status = 'ok'"), ["cid", "tool"])
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corpuswright import schema
 from corpuswright.functions import text as X
 from corpuswright.operators import firewall, graph, ledger, locate, metrics, models, sampling, trees, votes
+from corpuswright.plans import structure
 from corpuswright.sources import files, tables
 
 ALL = list(schema.CLASSES)
@@ -257,3 +258,14 @@ def test_history(spark):
     lists, records = '{"epoch": [1, 2], "train_loss": [0.5, 0.4], "val_macro_f1": [0.1, 0.2]}', '[{"epoch": 1, "train_loss": 0.5, "val_macro_f1": 0.1}, {"epoch": 2, "train_loss": 0.4, "val_macro_f1": 0.2}]'
     a, b = (one(spark, tables.history_rows, v) for v in (lists, records))
     assert a == b and a[1].epoch == 2
+
+
+def test_ledger_queries_cover_the_whole_log(spark, tmp_path):
+    events = spark.range(8000).selectExpr("id AS event_id", "timestamp_seconds(id) AS ts", "id % 401 AS user_id", "1.0D AS value")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    assert structure.ledger_fold(spark, str(tmp_path)).agg(F.sum("attempts")).first()[0] == 8000
+    assert {r.status: r.n for r in structure.ledger_summary(spark, str(tmp_path)).where("tool = 'all'").collect()}["all"] == 401 * 4
+    log = {(r.cid, r.tool): r.status for r in structure.log(spark, str(tmp_path)).orderBy("seq").collect()}
+    done = {k for k, status in log.items() if status == "ok"}
+    left = {(r.cid, r.tool) for r in structure.ledger_remaining(spark, str(tmp_path)).collect()}
+    assert left == {(c, t) for c in range(401) for t in schema.TOOLS} - done
