@@ -2,6 +2,7 @@
 
 import json
 import math
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -269,3 +270,17 @@ def test_ledger_queries_cover_the_whole_log(spark, tmp_path):
     done = {k for k, status in log.items() if status == "ok"}
     left = {(r.cid, r.tool) for r in structure.ledger_remaining(spark, str(tmp_path)).collect()}
     assert left == {(c, t) for c in range(401) for t in schema.TOOLS} - done
+
+
+def test_gcn_query_over_all_graphs_against_brute_force(spark, tmp_path):
+    pairs = [(o, p) for o in range(1, 60) for p in (o % 7, o % 11)]
+    spark.createDataFrame([(o, p, "R") for o, p in pairs], "l_orderkey long, l_partkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    edges = [(o % 50, f"o{o}", f"p{p}") for o, p in pairs]
+    every = edges + [(g, v, v) for g, v in {(g, v) for g, a, b in edges for v in (a, b)}]
+    deg = Counter((g, b) for g, _, b in every)
+    want = defaultdict(float)
+    for g, a, b in every:
+        want[g, b] += len(a) * 3 % 7 / math.sqrt(deg[g, a] * deg[g, b])
+    got = {(r.graph_id, r.nid): r.value for r in structure.graph_gcn_all(spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and {g for g, _ in got} == set(range(50))
+    assert all(math.isclose(got[k], v, abs_tol=2e-6) for k, v in want.items())
