@@ -116,6 +116,13 @@ def bootstrap_interval(spark, d):
     return rounded(metrics.bootstrap(ten, n, resamples=60))
 
 
+@query("bootstrap_interval_full", QUERIES["bootstrap_interval"][1].replace("range(60)", "range(2000)"))
+def bootstrap_interval_full(spark, d):
+    """The operator's own 2000 replicates; the SQL of bootstrap_interval draws 60."""
+    ten = run(spark, d, fx.TEN).withColumn("pos", F.col("contract").cast("long"))
+    return rounded(metrics.bootstrap(ten, spark.read.parquet(f"{d}/embeddings.parquet").count()))
+
+
 _DET = "SELECT concat('t', k) AS detector, CASE WHEN k < 2 THEN 'tool' ELSE 'model' END AS kind, contract, class, CASE WHEN (contract::BIGINT * 3 + k * 5 + length(class)) % 4 = 0 THEN 1 ELSE y_true END AS y_pred FROM (SELECT DISTINCT contract, class, y_true FROM p), range(3) r(k)"
 
 

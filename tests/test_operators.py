@@ -1,16 +1,19 @@
 """Hand-computed cases of the operators."""
 
+import hashlib
 import json
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpuswright import schema
 from corpuswright.functions import text as X
 from corpuswright.operators import firewall, graph, ledger, locate, metrics, models, sampling, trees, votes
-from corpuswright.plans import structure
+from corpuswright.plans import evaluation, structure
+from corpuswright.plans.fixtures import TEN, run
 from corpuswright.sources import files, tables
 
 ALL = list(schema.CLASSES)
@@ -284,3 +287,24 @@ def test_gcn_query_over_all_graphs_against_brute_force(spark, tmp_path):
     got = {(r.graph_id, r.nid): r.value for r in structure.graph_gcn_all(spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys() and {g for g, _ in got} == set(range(50))
     assert all(math.isclose(got[k], v, abs_tol=2e-6) for k, v in want.items())
+
+
+def test_bootstrap_query_of_2000_replicates_against_brute_force(spark, tmp_path):
+    n = 30
+    spark.createDataFrame([(i, i * 7 % 10) for i in range(n)], "vec_id long, label long").write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = run(spark, str(tmp_path), TEN).collect()
+    truth, pred = np.zeros((2, n, 10), int)
+    for r in rows:
+        truth[int(r.contract), int(r["class"][1:])], pred[int(r.contract), int(r["class"][1:])] = r.y_true, r.y_pred
+    f1 = []
+    for b in range(2000):
+        at = [int(hashlib.md5(f"42:{b}:{d}".encode()).hexdigest()[:12], 16) % n for d in range(n)]
+        t, p = truth[at], pred[at]
+        both, any_ = (t & p).sum(axis=0), (t + p).sum(axis=0)
+        f1.append(np.where(any_ > 0, 2 * both / np.maximum(any_, 1), 0.0))
+    f1 = np.column_stack([f1, np.mean(f1, axis=1)])
+    low, high = np.quantile(f1, [0.025, 0.975], axis=0)
+    got = {r["class"]: (r.low, r.high) for r in evaluation.bootstrap_interval_full(spark, str(tmp_path)).collect()}
+    assert len(got) == 11
+    for k, name in enumerate([*(f"k{i}" for i in range(10)), "macro"]):
+        assert np.allclose(got[name], (low[k], high[k]), atol=2e-6)
