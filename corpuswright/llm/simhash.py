@@ -15,24 +15,36 @@ from .components import connected_components
 _LANES = 64
 #: Fingerprints of one key that a task compares; larger groups are cut into pairs of chunks.
 CHUNK = 4096
+#: Shingle sets of one class of candidates that are verified at a time; larger classes are cut likewise.
+SET_CHUNK = 2048
 
 
-def fingerprint(text: bytes | None, shingle: int = 3, words: int = 1) -> list[int]:
-    """SimHash of `words` x 64 bits over the text's shingles, repeats included.
-
-    The first word comes from the shingles' XXH64 (seed 42), further ones from a
-    mixing of it.
-    """
+def shingles(text: bytes | None, shingle: int) -> np.ndarray:
+    """The XXH64 (seed 42) of the text's shingles, repeats included; none without words."""
     import xxhash
 
     tokens = (text or b"").translate(LOWER_BYTES).split()
     if not tokens:
-        return [0] * words
+        return np.zeros(0, np.uint64)
     flat = b" ".join(tokens)
     ends = list(accumulate(map(len, tokens), lambda a, n: a + 1 + n))
     starts = [0, *(e + 1 for e in ends[:-1])]
     h = xxhash.xxh64_intdigest
-    hashes = np.array([h(flat[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :], strict=False)] or [h(flat, 42)], dtype=np.uint64)
+    return np.array([h(flat[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :], strict=False)] or [h(flat, 42)], dtype=np.uint64)
+
+
+def fingerprint(text: bytes | None, shingle: int = 3, words: int = 1) -> list[int]:
+    """SimHash of `words` x 64 bits over the text's shingles, repeats included.
+
+    The first word comes from the shingles' XXH64 (seed 42), further ones from a
+    mixing of it.
+    """
+    return _folded(shingles(text, shingle), words)
+
+
+def _folded(hashes: np.ndarray, words: int) -> list[int]:
+    if not len(hashes):
+        return [0] * words
     out = []
     for w in range(words):
         with np.errstate(over="ignore"):
@@ -63,6 +75,162 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", shingle: int = 3,
     return docs.mapInArrow(make, schema)
 
 
+def _with_set(docs: DataFrame, text_col: str, shingle: int, words: int = 0, asked=None) -> DataFrame:
+    """docs with _node, a hash of the text's shingle set; fp0 .. of `words` words; with a test `asked`, only rows whose _node passes, and their sorted _set."""
+    import pyarrow as pa
+    import xxhash
+
+    from .bpe import _extended
+
+    names = [f"fp{w}" for w in range(words)]
+    schema = _extended(docs.schema, _node="long", **dict.fromkeys(names, "long"), **({"_set": "binary"} if asked else {}))
+
+    def make(batches):
+        for b in batches:
+            nodes, fps, kept = [], [], []
+            for t in binary_column(b, text_col):
+                h = shingles(t, shingle)
+                own = np.unique(h).tobytes()
+                nodes.append(xxhash.xxh64_intdigest(own, 42))
+                if words:
+                    fps.append(_folded(h, words))
+                if asked:
+                    kept.append(own)
+            wide = np.array(fps, dtype=np.uint64).reshape(-1, words) if words else None
+            hashes = np.array(nodes, np.uint64)
+            cols = [pa.array(hashes.view(np.int64)), *(pa.array(np.ascontiguousarray(wide[:, w]).view(np.int64)) for w in range(words)), *([pa.array(kept, pa.binary())] if asked else [])]
+            out = pa.RecordBatch.from_arrays([*b.columns, *cols], [f.name for f in schema])
+            yield out.filter(pa.array(asked(hashes))) if asked else out
+
+    return docs.mapInArrow(make, schema)
+
+
+def set_links(sets: list[np.ndarray], tenths: int = 8) -> list[tuple[int, int]]:
+    """Links that span the classes of sets (sorted, distinct) whose Jaccard similarity is tenths / 10 or more.
+
+    From each set found, all those not found yet are compared at once.
+    """
+    n = len(sets)
+    size = np.array([len(x) for x in sets], np.int64)
+    uniq, col = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(n), size)
+    own = np.split(col, np.cumsum(size)[:-1])
+    open_, out = np.ones(n, bool), []
+    for first in range(n):
+        if not open_[first]:
+            continue
+        open_[first] = False
+        todo = [first]
+        while todo and open_.any():
+            a = todo.pop()
+            mark = np.zeros(len(uniq), bool)
+            mark[own[a]] = True
+            common = np.bincount(row[mark[col]], minlength=n)
+            hit = np.flatnonzero(open_ & ((10 + tenths) * common >= tenths * (size + size[a])))
+            open_[hit] = False
+            out += [(a, int(b)) for b in hit]
+            todo += hit.tolist()
+            if 2 * open_.sum() < len(np.unique(row)) and len(row):
+                live = open_[row]
+                row, col = row[live], col[live]
+    return out
+
+
+def cross_links(sets: list[np.ndarray], label: np.ndarray, left: int, tenths: int = 8) -> list[tuple[int, int]]:
+    """Links between the first `left` sets and the others, that span the classes which the labels and those links make."""
+    size = np.array([len(x) for x in sets], np.int64)
+    uniq, col = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.split(col, np.cumsum(size)[:-1])
+    n, label, out = len(sets) - left, label.copy(), []
+    row, col = np.repeat(np.arange(n), size[left:]), col[int(size[:left].sum()) :]
+    for a in range(left):
+        if not (label[left:] != label[a]).any():
+            continue
+        mark = np.zeros(len(uniq), bool)
+        mark[own[a]] = True
+        common = np.bincount(row[mark[col]], minlength=n)
+        for b in left + np.flatnonzero((10 + tenths) * common >= tenths * (size[left:] + size[a])):
+            if label[b] != label[a]:
+                label[label == label[b]] = label[a]
+                out.append((a, int(b)))
+    return out
+
+
+def verified_links(dealt: DataFrame) -> DataFrame:
+    """Links (a, b) that span the classes of nodes of one root by their shingle sets, from (root, c, mine, node, _set).
+
+    All pairs of a root's nodes count, and the sets decide alone. A root has c
+    chunks; of more than one, each pair of chunks is compared for itself.
+    """
+    import pyarrow as pa
+
+    other = F.when(F.col("c") > 1, F.filter(F.sequence(F.lit(0), F.col("c") - 1), lambda x: x != F.col("mine"))).otherwise(F.array(F.lit(0)))
+    dealt = dealt.withColumn("o", F.explode(other)).select("root", F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j"), "c", "mine", "node", "_set")
+    dealt = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "mine", "node")
+
+    def compare(batches):
+        key, rows = None, []
+
+        def found():
+            if len(rows) < 2:
+                return [], []
+            nodes, sets = [x[1] for x in rows], [np.frombuffer(x[2], np.uint64) for x in rows]
+            (_, i, j, c), left = key, sum(x[0] == key[1] for x in rows)
+            links, label = [], np.arange(len(rows))
+            for start, end, told in ((0, left, j <= i + 1), (left, len(rows), i == c - 2)):  # each chunk's own links are told once
+                inner = set_links(sets[start:end]) if end - start > 1 else []
+                for x, y in inner:  # y is new to its class
+                    label[start + y] = label[start + x]
+                links += [(start + x, start + y) for x, y in inner if told]
+            if 0 < left < len(rows):
+                links += cross_links(sets, label, left)
+            return [nodes[x] for x, _ in links], [nodes[y] for _, y in links]
+
+        batch_of = lambda ab: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ab], ["a", "b"])
+        for batch in batches:
+            for root, i, j, c, mine, node, content in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if (root, i, j, c) != key:
+                    yield batch_of(found())
+                    key, rows = (root, i, j, c), []
+                if not rows or rows[-1][1] != node:  # equal rows come together
+                    rows.append((mine, node, content))
+        yield batch_of(found())
+
+    return dealt.mapInArrow(compare, "a long, b long")
+
+
+def _maybe(nodes: DataFrame, node: str, bits: int = 1 << 26):
+    """A test (array of hashes -> mask) that holds for all the nodes and few others; `bits` are fixed, for it only saves a shuffle."""
+    import pyarrow as pa
+
+    width = bits // 1024
+
+    def build(batches):
+        now, own = -1, np.zeros(width, bool)
+        for b in batches:
+            for shard, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if shard != now:
+                    if now >= 0:
+                        yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(own).tobytes()], pa.binary())], ["shard", "bits"])
+                    now, own = shard, np.zeros(width, bool)
+                own[p] = True
+        if now >= 0:
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(own).tobytes()], pa.binary())], ["shard", "bits"])
+
+    at = F.col(node).bitwiseAND(F.lit(bits - 1))
+    places = nodes.select(F.shiftright(at, (width - 1).bit_length()).cast("int").alias("shard"), at.bitwiseAND(F.lit(width - 1)).alias("p")).distinct()
+    held = np.zeros(bits // 8, np.uint8)
+    for r in places.repartition("shard").sortWithinPartitions("shard").mapInArrow(build, "shard int, bits binary").collect():
+        held[r.shard * width // 8 : (r.shard + 1) * width // 8] = np.frombuffer(r.bits, np.uint8)
+    sent = nodes.sparkSession.sparkContext.broadcast(held)
+
+    def test(hashes: np.ndarray) -> np.ndarray:
+        p = hashes & np.uint64(bits - 1)
+        return ((sent.value[p >> np.uint64(3)] >> (np.uint64(7) - (p & np.uint64(7))).astype(np.uint8)) & 1).astype(bool)
+
+    return test
+
+
 def _planes(fps: np.ndarray) -> np.ndarray:
     """Vertical store of fingerprints (rows, words): entry [bit, block] holds that bit of the block's 64 rows."""
     pad = -len(fps) % _LANES
@@ -246,7 +414,7 @@ def fingerprint_links(fps: DataFrame, radius: int = 2) -> DataFrame:
     return _compared(keyed, 1, radius)
 
 
-def similar_classes(fps: DataFrame, radius: int = 26, tables: int = 40, key_bits: int = 16, words: int = 2, first: int = 8) -> DataFrame:
+def similar_classes(fps: DataFrame, radius: int = 28, tables: int = 64, key_bits: int = 16, words: int = 2, first: int = 8) -> DataFrame:
     """(node, root) of (node, fp0 .. ): classes of fingerprints within `radius` of 64 x words bits, by sampled bits.
 
     A radius as wide as a similarity of 0.8 needs is beyond the pigeonhole. Each of
@@ -292,26 +460,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(by_fp, "fp0").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 26) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 28) -> DataFrame:
     """The rows of docs that stay if each group of near copies keeps one: that of its smallest id.
 
-    Fingerprints have 128 bits over 5-word shingles; a Jaccard similarity of 0.8 of
-    shingle sets makes 19 bits differ on average (4 is a standard deviation), so
-    `radius` 26 is the bound that stands for it. Rows without an id are a group's
-    last choice. Equal rows count as copies: one stays. Texts are fingerprinted
-    twice, so that the wide rows move once, in the join with the ids that stay.
+    Near copies have a Jaccard similarity of 0.8 or more of their sets of 5-word
+    shingles; groups are closed over such pairs. Fingerprints of 128 bits only
+    propose: 0.8 makes 19 bits differ on average (4 is a standard deviation), and
+    classes within `radius` bits are then split by the sets themselves. Rows
+    without an id are a group's last choice. Equal rows count as copies: one
+    stays. Texts are read three times, so that the wide rows move once, in the
+    join with the ids that stay.
     """
     words = 2
     fps = [f"fp{w}" for w in range(words)]
-    key = F.xxhash64(*fps)
-    own = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit(""))
-    rows = durable(with_fingerprint(docs.select(F.col(id_col), F.col(text_col)), text_col, shingle, words).drop(text_col))
-    nodes = rows.withColumn("node", key).groupBy("node").agg(F.min(id_col).alias("least"), *[F.min(f).alias(f) for f in fps])
-    nodes = durable(nodes)
-    rooted = nodes.join(similar_classes(nodes.select("node", *fps), radius, words=words), "node")
-    # one node of each class stays: that of the smallest id, then of the smallest fingerprint
-    stays = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), F.col("node"))).alias("x"))
-    stays = stays.select(F.coalesce(F.concat(F.lit("="), F.col("x.id").cast("string")), F.lit("")).alias("_own"), F.col("x.node").alias("_node"))
-    wide = with_fingerprint(docs, text_col, shingle, words).withColumn("_node", key).withColumn("_own", own).drop(*fps)
+    named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    narrow = docs.select(F.col(id_col), F.col(text_col))
+    rows = _with_set(narrow, text_col, shingle, words).drop(text_col).withColumnRenamed("_node", "node")
+    nodes = durable(rows.groupBy("node").agg(F.min(id_col).alias("least"), F.min(F.struct(*fps)).alias("fp")).select("node", "least", "fp.*"))
+    rooted = durable(nodes.select("node", "least").join(similar_classes(nodes.select("node", *fps), radius, words=words), "node"))
+    many = rooted.groupBy("root").agg(F.ceil(F.count("*") / SET_CHUNK).cast("int").alias("c"), F.count("*").alias("m")).where("m > 1")
+    asked = rooted.join(many, "root").select("root", "c", F.pmod(F.xxhash64("node"), F.col("c")).cast("int").alias("mine"), named("least").alias("_own"), F.col("node").alias("_node"))
+    asked = durable(asked)
+    sets = _with_set(narrow, text_col, shingle, asked=_maybe(asked, "_node")).select(named(id_col).alias("_own"), "_node", "_set")
+    linked = connected_components(verified_links(sets.join(asked, ["_own", "_node"]).withColumnRenamed("_node", "node")))
+    final = rooted.select("node", "least").join(linked, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root"))
+    # one node of each class stays: that of the smallest id, then of the smallest hash
+    stays = final.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), F.col("node"))).alias("x"))
+    stays = stays.select(named("x.id").alias("_own"), F.col("x.node").alias("_node"))
+    wide = _with_set(docs, text_col, shingle).withColumn("_own", named(id_col))
     once = Window.partitionBy("_own", "_node").orderBy(F.lit(0))
     return wide.join(stays, ["_own", "_node"]).withColumn("_n", F.row_number().over(once)).where("_n = 1").select(docs.columns)

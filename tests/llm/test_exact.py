@@ -118,6 +118,38 @@ def test_drop_near_copies(spark):
     assert kept == list(range(60))
 
 
+def test_set_links_against_all_pairs():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 62, (6, 40)).astype(np.uint64)
+    sets = [np.unique(np.where(rng.random(40) < 0.08, rng.integers(0, 1 << 62, 40).astype(np.uint64), base[k % 6])) for k in range(90)] + [np.zeros(0, np.uint64)]
+    near = [(i, j) for i, j in itertools.combinations(range(91), 2) if 5 * len(c := np.intersect1d(sets[i], sets[j])) >= 4 * (len(sets[i]) + len(sets[j]) - len(c))]
+
+    def classes(links):
+        of = list(range(91))
+        for i, j in links:
+            of = [of[i] if x == of[j] else x for x in of]
+        return {frozenset(k for k in range(91) if of[k] == x) for x in of}
+
+    links = simhash.set_links(sets)
+    assert set(map(lambda p: tuple(sorted(p)), links)) <= set(near) and classes(links) == classes(near)
+
+
+def test_drop_near_copies_is_judged_by_shingle_sets(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SET_CHUNK", 16)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    shared = [word() for _ in range(40)]
+    # two texts that repeat one passage: near by their fingerprints, far by their sets
+    rows = [(k, " ".join(shared * 30 + [word() for _ in range(100)])) for k in range(2)]
+    base = [word() for _ in range(300)]
+    for k in range(60):  # one large group: a word changed in each
+        own = list(base)
+        own[3 * k + 10] = word()
+        rows.append((10 + k, " ".join(own)))
+    kept = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {0, 1, 10}
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1100)] + [(None, 1), (5, 5)]
