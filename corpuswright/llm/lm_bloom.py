@@ -356,6 +356,8 @@ def score(
         "score",
     )
     out = durable(out)
+    for x in (sent, *runs):
+        x.destroy()
     drop_folder(spark, folder)
     return out
 
