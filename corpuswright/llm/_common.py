@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,22 @@ LOWER_BYTES = bytes(range(256)).replace(UPPER.encode(), LOWER.encode())
 _U64 = np.uint64
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once a row: it is the variable of a lambda, which no plan writes out again."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of df has them."""
+    held, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in held:
+            n += "_"
+        held.add(n.lower())
+        out.append(n)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -52,7 +69,26 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="corpuswright-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/corpuswright-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/corpuswright-{uuid.uuid4().hex}"
+    for made in _made:
+        made.append(path)
+    return path
+
+
+#: Lists of the folders made within each open temporary().
+_made: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """Drops the shared folders that are made inside, at the end: what is to stay must be written elsewhere by then."""
+    _made.append(own := [])
+    try:
+        yield
+    finally:
+        _made.remove(own)
+        for path in own:
+            drop_folder(spark, path)
 
 
 def _context_checkpoint_dir(spark: SparkSession) -> str | None:

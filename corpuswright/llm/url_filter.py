@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import durable, lower_az
+from ._common import durable, let, lower_az
 
 #: Fixed values: (host, path, verdict), from the query's contract.
 RULES = (
@@ -43,11 +43,14 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 def features(host: Column, path: Column, buckets: int = BUCKETS) -> Column:
     """Distinct buckets of the character 3-grams and 4-grams of host and of path, ends marked."""
 
-    def grams(s: Column, tag: str, n: int) -> Column:
-        s = F.concat(F.lit("^"), s, F.lit("$"))
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - n + 1, F.lit(1))), lambda i: F.pmod(F.xxhash64(F.lit(tag), F.substr(s, i, F.lit(n))), F.lit(buckets)).cast("int"))
+    def grams(chars: Column, tag: str, n: int) -> Column:
+        last = F.greatest(F.size(chars) - n, F.lit(0))
+        at = lambda i: F.concat(*[F.coalesce(F.get(chars, i + k), F.lit("")) for k in range(n)])
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.pmod(F.xxhash64(F.lit(tag), at(i)), F.lit(buckets)).cast("int"))
 
-    return F.array_distinct(F.concat(*[grams(s, tag, n) for s, tag in ((host, "host"), (path, "path")) for n in (3, 4)]))
+    # a text becomes an array of its characters once, so that grams are read by index
+    both = lambda s, tag: let(F.split(F.concat(F.lit("^"), s, F.lit("$")), ""), lambda c: F.concat(grams(c, tag, 3), grams(c, tag, 4)))
+    return F.array_distinct(F.concat(both(host, "host"), both(path, "path")))
 
 
 def _margin(buckets: Column, weights: list[float]) -> Column:
