@@ -46,9 +46,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity and verdict of all documents by a model of 2,000 trusted ones."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    fit_ids, trusted = kneser_ney.trusted_ids(labels)
-    model = kneser_ney.fit(docs.join(F.broadcast(fit_ids), "doc_id", "left_semi"))
-    scored = durable(kneser_ney.with_perplexity(docs.select("doc_id", "lang", "text"), model).drop("text"))
+    trusted = kneser_ney.trusted_ids(labels)
+    model = kneser_ney.fit(kneser_ney.fit_rows(docs, trusted))
+    scored = durable(kneser_ney.with_perplexity(docs.select("doc_id", "lang", "text"), model, keep_text=False))
+    model.release()
     return kneser_ney.judge(scored, kneser_ney.thresholds(scored, trusted))
 
 
