@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import LOWER_BYTES, binary_column, durable, mix64
+from ._common import LOWER_BYTES, binary_column, durable, fresh, mix64
 from .components import connected_components
 
 _LANES = 64
@@ -57,52 +58,43 @@ def _folded(hashes: np.ndarray, words: int) -> list[int]:
     return out
 
 
-def with_fingerprint(docs: DataFrame, text_col: str = "text", shingle: int = 3, words: int = 1) -> DataFrame:
-    """docs with fp0 .. fpN: the words of each row's fingerprint as signed longs. No shuffle."""
+def with_fingerprint(docs: DataFrame, text_col: str = "text", shingle: int = 3, words: int = 1, node: bool = False) -> DataFrame:
+    """The other columns of docs, with fp0 .. fpN: the words of each row's fingerprint as signed longs. No shuffle.
+
+    With `node` also a hash of the text's set of shingles, as column node. Columns of these names are replaced.
+    """
     import pyarrow as pa
+    import xxhash
 
     from .bpe import _extended
 
-    names = [f"fp{w}" for w in range(words)]
-    docs = docs.drop(*names)
-    schema = _extended(docs.schema, **dict.fromkeys(names, "long"))
+    names = [*(["node"] if node else []), *(f"fp{w}" for w in range(words))]
+    rest = [c for c in docs.columns if c != text_col and c not in names]
+    docs = docs.select(*rest, F.col(text_col).cast("string").alias(text_col))
+    schema = _extended(docs.drop(text_col).schema, **dict.fromkeys(names, "long"))
 
     def make(batches):
         for b in batches:
-            fps = np.array([fingerprint(t, shingle, words) for t in binary_column(b, text_col)], dtype=np.uint64).reshape(-1, words)
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(np.ascontiguousarray(fps[:, w]).view(np.int64)) for w in range(words))], [f.name for f in schema])
+            out = []
+            for t in binary_column(b, text_col):
+                h = shingles(t, shingle)
+                out.append([*([xxhash.xxh64_intdigest(np.unique(h).tobytes(), 42)] if node else []), *_folded(h, words)])
+            wide = np.array(out, dtype=np.uint64).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(np.ascontiguousarray(wide[:, w]).view(np.int64)) for w in range(len(names)))], [f.name for f in schema])
 
     return docs.mapInArrow(make, schema)
 
 
-def _with_set(docs: DataFrame, text_col: str, shingle: int, words: int = 0, asked=None) -> DataFrame:
-    """docs with _node, a hash of the text's shingle set; fp0 .. of `words` words; with a test `asked`, only rows whose _node passes, and their sorted _set."""
+def _sets(rows: DataFrame, shingle: int, asked) -> DataFrame:
+    """(own, t, _set) of the rows (own, t, text) whose t passes the test `asked`: the sorted set of the text's shingles."""
     import pyarrow as pa
-    import xxhash
-
-    from .bpe import _extended
-
-    names = [f"fp{w}" for w in range(words)]
-    schema = _extended(docs.schema, _node="long", **dict.fromkeys(names, "long"), **({"_set": "binary"} if asked else {}))
 
     def make(batches):
         for b in batches:
-            nodes, fps, kept = [], [], []
-            for t in binary_column(b, text_col):
-                h = shingles(t, shingle)
-                own = np.unique(h).tobytes()
-                nodes.append(xxhash.xxh64_intdigest(own, 42))
-                if words:
-                    fps.append(_folded(h, words))
-                if asked:
-                    kept.append(own)
-            wide = np.array(fps, dtype=np.uint64).reshape(-1, words) if words else None
-            hashes = np.array(nodes, np.uint64)
-            cols = [pa.array(hashes.view(np.int64)), *(pa.array(np.ascontiguousarray(wide[:, w]).view(np.int64)) for w in range(words)), *([pa.array(kept, pa.binary())] if asked else [])]
-            out = pa.RecordBatch.from_arrays([*b.columns, *cols], [f.name for f in schema])
-            yield out.filter(pa.array(asked(hashes))) if asked else out
+            some = b.filter(pa.array(asked(b.column(1).to_numpy().view(np.uint64))))
+            yield pa.RecordBatch.from_arrays([*some.columns[:2], pa.array([np.unique(shingles(t, shingle)).tobytes() for t in binary_column(some, "text")], pa.binary())], ["own", "t", "_set"])
 
-    return docs.mapInArrow(make, schema)
+    return rows.select("own", "t", "text").mapInArrow(make, "own string, t long, _set binary")
 
 
 def set_links(sets: list[np.ndarray], tenths: int = 8) -> list[tuple[int, int]]:
@@ -336,11 +328,11 @@ def _small_links(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.nd
 
 
 def _compared(keyed: DataFrame, words: int, radius: int) -> DataFrame:
-    """Links (a, b) of the labels of nodes that share a key and lie within the radius, from (t, key, node, label, fp0 ..).
+    """Links (a, b) of nodes that share a key and lie within the radius, from (t, key, node, fp0 ..).
 
-    Nodes of one label are known to belong together: no link is made of them. A key with more than CHUNK nodes is cut into chunks by hash, and every pair of
+    A key with more than CHUNK nodes is cut into chunks by hash, and every pair of
     chunks is a group of its own, so nothing is dropped and no group grows with the
-    data. Groups are compared bit-sliced; each returns links that span its classes.
+    data. Groups are compared bit-sliced; each task returns links that span its classes.
     """
     import pyarrow as pa
 
@@ -349,11 +341,12 @@ def _compared(keyed: DataFrame, words: int, radius: int) -> DataFrame:
     dealt = keyed.join(sizes, ["t", "key"]).withColumn("c", F.ceil(F.col("m") / CHUNK).cast("int"))
     dealt = dealt.withColumn("mine", F.when(F.col("c") > 1, F.pmod(F.xxhash64("node"), F.col("c"))).otherwise(0).cast("int"))
     other = F.when(F.col("c") > 1, F.sequence(F.lit(0), F.col("c") - 1)).otherwise(F.array(F.lit(0)))
-    dealt = dealt.withColumn("o", F.explode(other)).select("t", "key", F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j"), "mine", "node", "label", *names)
+    dealt = dealt.withColumn("o", F.explode(other)).select("t", "key", F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j"), "mine", "node", *names)
     dealt = dealt.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j", "mine", "node")
 
     def compare(batches):
         held: list[np.ndarray] = []
+        forest: dict[int, int] = {}  # a task's links span its classes, whichever key they come from
         for b in batches:
             if not b.num_rows:
                 continue
@@ -362,17 +355,22 @@ def _compared(keyed: DataFrame, words: int, radius: int) -> DataFrame:
                 continue  # one group so far
             rows = np.concatenate(held, axis=1)
             new = np.flatnonzero((rows[:4, 1:] != rows[:4, :-1]).any(axis=0)) + 1
-            yield from found(rows[:, : new[-1]])
+            yield from found(rows[:, : new[-1]], forest)
             held = [rows[:, new[-1] :]]
         if held:
-            yield from found(np.concatenate(held, axis=1))
+            yield from found(np.concatenate(held, axis=1), forest)
 
-    def found(rows):
+    def root(parent, x):
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    def found(rows, forest):
         """Links within whole groups, which come sorted."""
         cut = np.concatenate([[True], (rows[:4, 1:] != rows[:4, :-1]).any(axis=0)])
         group = np.cumsum(cut) - 1
         size = np.bincount(group)
-        fp, label = np.ascontiguousarray(rows[7:].T).view(np.uint64), rows[6]
+        fp, label = np.ascontiguousarray(rows[6:].T).view(np.uint64), rows[5]
         one = rows[2] == rows[3]
         small = np.flatnonzero((size[group] <= _LANES) & one)
         a, b = [], []
@@ -394,8 +392,12 @@ def _compared(keyed: DataFrame, words: int, radius: int) -> DataFrame:
                 a.append(label[x])
                 b.append(label[y])
         if a:
-            a, b = np.concatenate(a), np.concatenate(b)
-            yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], ["a", "b"])
+            links = []
+            for x, y in zip(np.concatenate(a).tolist(), np.concatenate(b).tolist(), strict=True):
+                if (x := root(forest, x)) != (y := root(forest, y)):
+                    forest[max(x, y)] = min(x, y)
+                    links.append((x, y))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return dealt.mapInArrow(compare, "a long, b long")
 
@@ -410,32 +412,39 @@ def fingerprint_links(fps: DataFrame, radius: int = 2) -> DataFrame:
     edges = [64 * i // n for i in range(n + 1)]
     masks = [sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in pair) for pair in combinations(range(n), 2)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = fps.select(F.posexplode(F.array(*[F.col("fp0").bitwiseAND(F.lit(m)) for m in signed])).alias("t", "key"), F.col("fp0").alias("node"), F.col("fp0").alias("label"), "fp0")
+    keyed = fps.select(F.posexplode(F.array(*[F.col("fp0").bitwiseAND(F.lit(m)) for m in signed])).alias("t", "key"), F.col("fp0").alias("node"), "fp0")
     return _compared(keyed, 1, radius)
 
 
-def similar_classes(fps: DataFrame, radius: int = 28, tables: int = 64, key_bits: int = 16, words: int = 2, first: int = 8) -> DataFrame:
-    """(node, root) of (node, fp0 .. ): classes of fingerprints within `radius` of 64 x words bits, by sampled bits.
+def keys_for(rows: int, similarity: float = 0.8, recall: float = 0.99) -> tuple[int, int]:
+    """(bits a key, number of keys) for so many fingerprints: both follow the number of rows.
 
-    A radius as wide as a similarity of 0.8 needs is beyond the pigeonhole. Each of
-    `tables` keys takes `key_bits` bits of the fingerprint, dealt by a fixed seed.
-    Of pairs whose bits agree with chance p, 1 - (1 - p^key_bits)^tables share a key.
-    The `first` keys make classes; the others only add links between different ones,
-    so a large group isn't linked anew by every key. All keys see all nodes.
+    Rows that have nothing in common share a key of b bits with chance 2^-b; b keeps
+    those to some 64 a key. Two sets of equal size and Jaccard similarity s have a
+    cosine of 2s / (1 + s), and their fingerprints' bits agree with chance
+    p = 1 - acos(cosine) / pi, so 1 - (1 - p^b)^n of such pairs share one of n keys.
     """
+    bits = max(16, math.ceil(math.log2(max(rows, 1) / 64)))
+    p = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return bits, math.ceil(math.log(1 - recall) / math.log1p(-(p**bits)))
+
+
+def similar_classes(fps: DataFrame, rows: int, radius: int = 29, words: int = 2, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
+    """(node, root) of (node, fp0 .. ) that have any link: classes of fingerprints within `radius` of 64 x words bits.
+
+    A radius as wide as a similarity of 0.8 needs is beyond the pigeonhole. Keys are
+    samples of the fingerprint's bits, dealt by a fixed seed; keys_for() says how
+    many of how many bits. All keys see all nodes.
+    """
+    key_bits, tables = keys_for(rows, similarity, recall)
     bits = np.random.default_rng(20240229)
     keys = []
     for _ in range(tables):
         chosen = bits.choice(64 * words, key_bits, replace=False)
         masks = [sum(1 << int(b % 64) for b in chosen if b // 64 == w) for w in range(words)]
         keys.append(F.xxhash64(*[F.col(f"fp{w}").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for w, m in enumerate(masks)]))
-    names = [f"fp{w}" for w in range(words)]
-    classes = fps.select("node", *names, F.col("node").alias("label"))
-    for some in (keys[:first], keys[first:]):
-        keyed = classes.select(F.posexplode(F.array(*some)).alias("t", "key"), "node", "label", *names)
-        found = connected_components(_compared(keyed, words, radius)).select(F.col("node").alias("label"), "component")
-        classes = durable(classes.join(found, "label", "left").select("node", *names, F.coalesce("component", "label").alias("label")))
-    return classes.select("node", F.col("label").alias("root"))
+    keyed = fps.select(F.posexplode(F.array(*keys)).alias("t", "key"), "node", *[f"fp{w}" for w in range(words)])
+    return connected_components(_compared(keyed, words, radius)).withColumnRenamed("component", "root")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, shingle: int = 3) -> DataFrame:
@@ -449,8 +458,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comparison. A null id takes part in no minimum: its row gets its class's
     smallest id, null if there is none. Repeated rows give repeated results.
     """
-    rows = with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("_text")), "_text", shingle).drop("_text")
-    rows = durable(rows)
+    rows = durable(with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", shingle))
     distinct = durable(rows.groupBy("fp0").agg(F.min("id").alias("least")))
     links = connected_components(fingerprint_links(distinct.select("fp0"), radius))
     # classes are named by a fingerprint first, then by their smallest id
@@ -460,7 +468,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(by_fp, "fp0").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 28) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 29) -> DataFrame:
     """The rows of docs that stay if each group of near copies keeps one: that of its smallest id.
 
     Near copies have a Jaccard similarity of 0.8 or more of their sets of 5-word
@@ -468,25 +476,30 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     propose: 0.8 makes 19 bits differ on average (4 is a standard deviation), and
     classes within `radius` bits are then split by the sets themselves. Rows
     without an id are a group's last choice. Equal rows count as copies: one
-    stays. Texts are read three times, so that the wide rows move once, in the
-    join with the ids that stay.
+    stays. So do texts without words, null ones included: their sets are equal.
+    Other columns may have any name. An empty table stays empty.
+
+    Every text is cut into shingles once, those of proposed classes twice; the wide
+    rows move once, in the join with the ids that stay.
     """
     words = 2
     fps = [f"fp{w}" for w in range(words)]
     named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
-    narrow = docs.select(F.col(id_col), F.col(text_col))
-    rows = _with_set(narrow, text_col, shingle, words).drop(text_col).withColumnRenamed("_node", "node")
-    nodes = durable(rows.groupBy("node").agg(F.min(id_col).alias("least"), F.min(F.struct(*fps)).alias("fp")).select("node", "least", "fp.*"))
-    rooted = durable(nodes.select("node", "least").join(similar_classes(nodes.select("node", *fps), radius, words=words), "node"))
-    many = rooted.groupBy("root").agg(F.ceil(F.count("*") / SET_CHUNK).cast("int").alias("c"), F.count("*").alias("m")).where("m > 1")
-    asked = rooted.join(many, "root").select("root", "c", F.pmod(F.xxhash64("node"), F.col("c")).cast("int").alias("mine"), named("least").alias("_own"), F.col("node").alias("_node"))
-    asked = durable(asked)
-    sets = _with_set(narrow, text_col, shingle, asked=_maybe(asked, "_node")).select(named(id_col).alias("_own"), "_node", "_set")
-    linked = connected_components(verified_links(sets.join(asked, ["_own", "_node"]).withColumnRenamed("_node", "node")))
-    final = rooted.select("node", "least").join(linked, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root"))
+    text = F.col(text_col).cast("string")
+    narrow = docs.select(F.col(id_col).alias("id"), named(id_col).alias("own"), F.xxhash64(text).alias("t"), text.alias("text"))
+    rows = with_fingerprint(narrow, "text", shingle, words, node=True)
+    choice = F.struct(F.col("id").isNull().alias("none"), "id", "own", "t")
+    nodes = durable(rows.groupBy("node").agg(F.min(choice).alias("least"), F.min(F.struct(*fps)).alias("fp")).select("node", "least", "fp.*"))
+    proposed = nodes.select("node", "least").join(similar_classes(nodes.select("node", *fps), nodes.count(), radius, words), "node")
+    proposed = durable(proposed)
+    many = proposed.groupBy("root").agg(F.ceil(F.count("*") / SET_CHUNK).cast("int").alias("c"))
+    asked = durable(proposed.join(many, "root").select("root", "c", F.pmod(F.xxhash64("node"), F.col("c")).cast("int").alias("mine"), "least.own", "least.t", "node"))
+    sets = _sets(narrow, shingle, _maybe(asked, "t"))
+    linked = connected_components(verified_links(sets.join(asked, ["own", "t"])))
     # one node of each class stays: that of the smallest id, then of the smallest hash
-    stays = final.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), F.col("node"))).alias("x"))
-    stays = stays.select(named("x.id").alias("_own"), F.col("x.node").alias("_node"))
-    wide = _with_set(docs, text_col, shingle).withColumn("_own", named(id_col))
-    once = Window.partitionBy("_own", "_node").orderBy(F.lit(0))
-    return wide.join(stays, ["_own", "_node"]).withColumn("_n", F.row_number().over(once)).where("_n = 1").select(docs.columns)
+    final = nodes.select("node", "least").join(linked, "node", "left").select("least", F.coalesce("component", "node").alias("root"))
+    own, t, n = fresh(docs, "own", "t", "n")
+    stays = final.groupBy("root").agg(F.min("least").alias("x")).select(F.col("x.own").alias(own), F.col("x.t").alias(t))
+    once = Window.partitionBy(own, t).orderBy(F.lit(0))
+    wide = docs.withColumns({own: named(id_col), t: F.xxhash64(text)})
+    return wide.join(stays, [own, t]).withColumn(n, F.row_number().over(once)).where(F.col(n) == 1).select(docs.columns)
