@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuswright.llm import bpe, kneser_ney, mixing, secrets, simhash
-from corpuswright.llm._common import durable, shared_folder
+from corpuswright.llm._common import drop_folder, shared_folder, temporary
 from corpuswright.llm.queries import tokenizer_path
 
 
@@ -27,19 +27,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own, n = _renamed(docs)
     ident, text, lang = n["doc_id"], n["text"], n["lang"]
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias(ident), "quality")
-    fit_ids, trusted = kneser_ney.trusted_ids(labels, id_col=ident)
-    model = kneser_ney.fit(own.join(F.broadcast(fit_ids), ident, "left_semi"), text)
-    narrow = durable(kneser_ney.with_perplexity(own.select(ident, lang, text), model, text).drop(text))
-    limits = kneser_ney.thresholds(narrow, trusted, id_col=ident, lang_col=lang)
-    # scored again, beside the whole row, so that no text is shuffled
-    kept = kneser_ney.judge(kneser_ney.with_perplexity(own, model, text), limits, lang).where("kept")
-    return kept.select(*n.values()).toDF(*docs.columns)
+    trusted = kneser_ney.trusted_ids(labels, id_col=ident)
+    model = kneser_ney.fit(kneser_ney.fit_rows(own, trusted, ident), text)
+    # written whole, so that texts are scored once and never shuffled
+    folder = f"{shared_folder(spark)}/scored"
+    kneser_ney.with_perplexity(own, model, text).write.parquet(folder)
+    model.release()
+    scored = spark.read.parquet(folder)
+    limits = kneser_ney.thresholds(scored.select(ident, lang, "perplexity"), trusted, id_col=ident, lang_col=lang)
+    return kneser_ney.judge(scored, limits, lang).where("kept").select(*n.values()).toDF(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies: the one of the smallest id."""
-    own, n = _renamed(docs)
-    return simhash.drop_near_copies(own, n["doc_id"], n["text"]).toDF(*docs.columns)
+    return simhash.drop_near_copies(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,10 +80,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents, one after another."""
+    """Applies the stages to documents, one after another; what only a later stage reads goes once it is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = shared_folder(spark)
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        with temporary(spark):  # the folders that a stage makes are gone when its rows are written
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            drop_folder(spark, f"{folder}/{k - 1}")
     return docs
