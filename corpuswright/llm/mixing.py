@@ -5,9 +5,11 @@ schedule its source; a slot's rank within its source picks the block. Each
 source's documents, in an order of hashes, form one stream of words that is cut
 into equal blocks. DataFrame functions only.
 
-No group grows with a source: positions in a source's stream are sums over 4096
-hash buckets of it and then places within a bucket, and the schedule has
-`max_slots` slots at most, ranked chunk by chunk.
+Blocks have one nominal length at every size of the corpus, shorter only in sources
+that would otherwise have few; a source takes the rounded number of blocks that its
+target asks for, so it comes within half a block of it. Positions in a source's
+stream are sums over 4096 hash buckets of it and then places within a bucket; slots
+are ranked chunk by chunk. Plans have a row a source and are made in one task.
 """
 
 from __future__ import annotations
@@ -51,25 +53,28 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     return s.select("key", "source", "source_size", "weight", F.least("cap", F.coalesce("reached", F.lit(float("inf"))) * F.col("weight")).alias("target"))
 
 
-def _with_blocks(plan: DataFrame, max_slots: int, least_block: int) -> DataFrame:
-    """The plan with n_blocks, the short block's length and how many blocks are a word longer, and the share of slots."""
+def _with_blocks(plan: DataFrame, block_words: int, least_blocks: int) -> DataFrame:
+    """The plan with n_blocks, the short block's length, how many blocks are a word longer, the share of slots and the quota of blocks."""
     total = Window.partitionBy(F.lit(0)).orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    nominal = F.greatest(F.lit(float(least_block)), F.ceil(F.sum("target").over(total) / max_slots).cast("double"))
-    p = plan.withColumn("n_blocks", F.when(F.col("source_size") > 0, F.greatest(F.lit(1), F.round(F.col("source_size") / nominal))).otherwise(0).cast("long"))
+    wanted = F.greatest(F.lit(float(least_blocks)), F.round(F.col("source_size") / float(block_words))).cast("long")
+    p = plan.withColumn("n_blocks", F.least("source_size", wanted))  # a block has a word at least
     p = p.withColumn("short", F.when(F.col("n_blocks") > 0, F.expr("source_size div greatest(n_blocks, 1)")).otherwise(0))
     p = p.withColumn("longer", F.col("source_size") - F.col("short") * F.col("n_blocks"))
     p = p.withColumn("share", F.when(F.col("source_size") > 0, F.col("target") * F.col("n_blocks") / F.col("source_size")).otherwise(0.0))
+    p = p.withColumn("quota", F.floor(F.col("share") + 0.5).cast("long"))
     order = Window.orderBy(F.col("source").asc_nulls_last())
     p = p.withColumn("upto", F.sum("share").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return p.withColumn("slots", F.ceil(F.sum("share").over(total)).cast("long"))
 
 
-def schedule(plan: DataFrame, most: int = 2) -> DataFrame:
+def schedule(plan: DataFrame) -> DataFrame:
     """(slot, key, rank, epoch, block): the source and block of every slot.
 
-    `plan` has a row a source: key, n_blocks, share, upto, slots. Points and
+    `plan` has a row a source: key, n_blocks, quota, share, upto, slots. Points and
     intervals meet by equal bins of the unit interval, then by the interval itself.
-    A source's blocks come in order, again and again, `most` times at most.
+    A source's blocks come in order, again and again, until its quota is met. The
+    points give each source its quota within a block or two: further ranks are not
+    used, and missing ones follow at the end.
     """
     spark = plan.sparkSession
     slots = plan.agg(F.max("slots")).first()[0] or 0
@@ -82,13 +87,16 @@ def schedule(plan: DataFrame, most: int = 2) -> DataFrame:
     prior = Window.orderBy("upto")
     spans = spans.withColumn("lo", F.coalesce(F.lag("hi").over(prior), F.lit(0.0)))
     last = F.least(F.lit(_BINS - 1), F.floor(F.col("hi") * _BINS)).cast("int")
-    spans = spans.select("key", "n_blocks", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * _BINS).cast("int"), last)).alias("bin"))
-    drawn = points.join(spans, "bin").where("x >= lo AND x < hi").select("slot", "key", "n_blocks", F.expr(f"slot div {_SLOT_CHUNK}").alias("chunk"))
-    per = drawn.groupBy("key", "chunk").agg(F.count("*").alias("n"))
-    per = per.withColumn("before", F.sum("n").over(Window.partitionBy("key").orderBy("chunk")) - F.col("n")).drop("n")
+    spans = spans.select("key", "n_blocks", "quota", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * _BINS).cast("int"), last)).alias("bin"))
+    drawn = points.join(spans, "bin").where("x >= lo AND x < hi").select("slot", "key", "n_blocks", "quota", F.expr(f"slot div {_SLOT_CHUNK}").alias("chunk"))
+    per = durable(drawn.groupBy("key", "chunk").agg(F.count("*").alias("n")))
+    before = per.withColumn("before", F.sum("n").over(Window.partitionBy("key").orderBy("chunk")) - F.col("n")).drop("n")
     inside = F.row_number().over(Window.partitionBy("key", "chunk").orderBy("slot")) - 1
-    ranked = drawn.withColumn("inside", inside).join(per, ["key", "chunk"]).withColumn("rank", F.col("before") + F.col("inside"))
-    return ranked.where(F.col("rank") < most * F.col("n_blocks")).select("slot", "key", "rank", F.expr("rank div n_blocks").alias("epoch"), (F.col("rank") % F.col("n_blocks")).alias("block"))
+    ranked = drawn.withColumn("inside", inside).join(before, ["key", "chunk"]).withColumn("rank", F.col("before") + F.col("inside")).where(F.col("rank") < F.col("quota"))
+    count = per.groupBy("key").agg(F.sum("n").alias("n"))
+    late = plan.join(count, "key", "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n < quota").select("key", "n_blocks", F.explode(F.sequence(F.col("n"), F.col("quota") - 1)).alias("rank"))
+    every = ranked.select("slot", "key", "n_blocks", "rank").unionByName(late.select((F.lit(slots) + F.col("rank")).alias("slot"), "key", "n_blocks", "rank"))
+    return every.select("slot", "key", "rank", F.expr("rank div n_blocks").alias("epoch"), (F.col("rank") % F.col("n_blocks")).alias("block"))
 
 
 def mix(
@@ -100,13 +108,15 @@ def mix(
     share: float = 1.5,
     most: int = 2,
     seed: int = 42,
-    max_slots: int = 1 << 20,
-    least_block: int = 16,
+    block_words: int = 512,
+    least_blocks: int = 256,
 ) -> DataFrame:
     """One row for each row of docs: id, source, size, source_size, target, taken, copies.
 
     size: words of the text, 0 for null; taken: words that the schedule takes of the
     row, repeats counted; copies: how often the block with its first word is taken.
+    taken comes within half a block of each source's target; a block has `block_words`
+    words, or fewer where a source would have less than `least_blocks` blocks.
     The order within a source is md5(seed:id), then id, then size; equal rows are
     interchangeable. Rows without words take nothing. Null sources form one source,
     the last; null ids sort by their hash of an empty string. Runs agree.
@@ -117,8 +127,8 @@ def mix(
     rows = durable(rows).withColumn("row", F.monotonically_increasing_id()).withColumn("bucket", F.substring("h", 1, 3))
     buckets = durable(rows.groupBy("key", "bucket").agg(F.min("source").alias("source"), F.sum("size").alias("n")))
     sizes = buckets.groupBy("key").agg(F.min("source").alias("source"), F.sum("n").alias("source_size"))
-    plan = durable(_with_blocks(targets(sizes, weights, share, float(most)), max_slots, least_block))
-    uses = schedule(plan, most).groupBy("key", "block").agg(F.count("*").alias("uses"))
+    plan = durable(_with_blocks(targets(sizes, weights, share, float(most)), block_words, least_blocks))
+    uses = schedule(plan).groupBy("key", "block").agg(F.count("*").alias("uses"))
     along = Window.partitionBy("key").orderBy("bucket")
     offsets = buckets.withColumn("offset", F.sum("n").over(along) - F.col("n")).select("key", "bucket", "offset")
     offsets = offsets.join(plan.select("key", "source_size", "target", "n_blocks", "short", "longer"), "key")

@@ -171,14 +171,12 @@ WITH d AS (
   SELECT arg_min(level, fill) AS reached FROM s2 WHERE level <= fill
 ), s3 AS (
   SELECT source, ss, least(cap, coalesce(reached, 1e308) * w) AS target FROM s2 LEFT JOIN lv ON true
-), s4 AS (
-  SELECT *, greatest(16.0, ceil(sum(target) OVER () / 1048576)) AS nominal FROM s3
 ), s5 AS (
-  SELECT *, CASE WHEN ss > 0 THEN greatest(1, round(ss / nominal))::BIGINT ELSE 0 END AS nb FROM s4
+  SELECT *, least(ss, greatest(256, round(ss / 512.0)))::BIGINT AS nb FROM s3
 ), s6 AS (
   SELECT *, ss // greatest(nb, 1) AS short, CASE WHEN ss > 0 THEN target * nb / ss ELSE 0.0 END AS share FROM s5
 ), s7 AS (
-  SELECT *, ss - short * nb AS longer, sum(share) OVER (ORDER BY source NULLS LAST ROWS UNBOUNDED PRECEDING) AS upto, ceil(sum(share) OVER ())::BIGINT AS slots FROM s6
+  SELECT *, floor(share + 0.5)::BIGINT AS quota, ss - short * nb AS longer, sum(share) OVER (ORDER BY source NULLS LAST ROWS UNBOUNDED PRECEDING) AS upto, ceil(sum(share) OVER ())::BIGINT AS slots FROM s6
 ), s8 AS (
   SELECT source, nb, CASE WHEN upto >= max(upto) OVER () THEN 2.0 ELSE upto / max(upto) OVER () END AS hi, upto, slots FROM s7 WHERE share > 0
 ), s9 AS (
@@ -187,8 +185,13 @@ WITH d AS (
   SELECT slot, slot * 0.6180339887498949 - floor(slot * 0.6180339887498949) AS x FROM (SELECT unnest(range(max(slots))) AS slot FROM s7)
 ), dr AS (
   SELECT source, nb, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank FROM pt JOIN s9 ON x >= lo AND x < hi
+), dn AS (
+  SELECT source, count(*) AS n FROM dr GROUP BY source
+), al AS (
+  SELECT dr.source, dr.nb, rank FROM dr JOIN s7 ON dr.source IS NOT DISTINCT FROM s7.source WHERE rank < quota
+  UNION ALL SELECT s7.source, nb, unnest(range(coalesce(n, 0), quota)) FROM s7 LEFT JOIN dn ON dn.source IS NOT DISTINCT FROM s7.source
 ), us AS (
-  SELECT source, rank % nb AS b, count(*) AS uses FROM dr WHERE rank < 2 * nb GROUP BY ALL
+  SELECT source, rank % nb AS b, count(*) AS uses FROM al GROUP BY ALL
 ), pl AS (
   SELECT d.*, ss, target, short, longer, sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS p
   FROM d JOIN s7 ON d.source IS NOT DISTINCT FROM s7.source
