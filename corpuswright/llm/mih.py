@@ -1,158 +1,98 @@
 """Exact top-k search in Hamming space by incremental multi-index hashing.
 
-Codes are packed into blocks of bounded size, queries likewise, and each pair of
-blocks is a row of its own. Within a pair every query grows its search radius: at
-radius r all codes one of whose segments differs from the query's in r bits are
-verified, and the search ends once the k-th verified distance is at most
-segments * (r + 1) - 1, which all codes not yet met exceed. Blocks' winners are
-merged by rank.
+The index is one global table: every distinct code stands in it once for each of
+its segments, under the segment's value. In round r each query that is still open
+asks for all segment values that differ from its own in r bits; Spark joins these
+probes to the index by (segment, value), and the codes met are verified by their
+full distance. A code that shares no segment within r bits lies at segments x (r + 1)
+or further, so a query closes once its k-th verified distance is less than that.
+DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._common import durable
 
-BLOCK = 16384
-_PROBES_AT_ONCE = 1 << 20
 
+def sign_word(vector: Column, word: int) -> Column:
+    """The signs (above zero) of a vector's entries 64 x word .. 64 x word + 63 as the bits of a long; 0 beyond its end."""
+    bits = F.transform(F.slice(vector, 64 * word + 1, 64), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
-def sign_code(vector: Column) -> Column:
-    """The signs (above zero) of a vector's first 64 entries as the bits of a long; null for null."""
-    bits = F.transform(F.slice(vector, 1, 64), lambda x, i: F.when(x > 0, F.expr("1L")).otherwise(F.lit(0).cast("long")))
-    powers = F.array(*[F.lit(-(1 << 63) if i == 63 else 1 << i).cast("long") for i in range(64)])
-    return F.aggregate(F.zip_with(bits, F.slice(powers, F.lit(1), F.greatest(F.size(bits), F.lit(0))), lambda b, p: F.when(b == 1, p).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
+def segments(dims: int, codes: int) -> list[tuple[int, int, int]]:
+    """(word, shift, width) of the segments: some dims / log2(codes), none across words, so a value has a code or so."""
+    words, out = max(1, math.ceil(dims / 64)), []
+    each = max(1, round(dims / max(math.log2(max(codes, 2)), 1) / words))
+    for w in range(words):
+        bits = min(64, max(dims, 1) - 64 * w)
+        n = min(max(each, math.ceil(bits / 30)), bits)
+        cuts = [bits * i // n for i in range(n + 1)]
+        out += [(w, a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return out
 
-class BlockIndex:
-    """Multi-index of one block's distinct codes."""
 
-    def __init__(self, codes: np.ndarray, segments: int | None = None):
-        self.codes = codes
-        m = segments or max(4, round(64 / max(np.log2(max(len(codes), 2)), 1)))
-        cuts = [64 * i // m for i in range(m + 1)]
-        self.shift = [np.uint64(a) for a in cuts[:-1]]
-        self.width = [b - a for a, b in zip(cuts, cuts[1:], strict=False)]
-        self.order, self.start = [], []
-        for s in range(m):
-            part = self.part(codes, s)
-            self.order.append(np.argsort(part, kind="stable"))
-            self.start.append(np.concatenate([[0], np.cumsum(np.bincount(part.astype(np.int64), minlength=1 << self.width[s]))]))
-
-    def part(self, codes: np.ndarray, s: int) -> np.ndarray:
-        return (codes >> self.shift[s]) & np.uint64((1 << self.width[s]) - 1)
-
-    def verified(self, queries: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, code number, distance) first met at radius r."""
-        qs, cs = [], []
-        for s, width in enumerate(self.width):
-            if r > width:
-                continue
-            masks = np.array([sum(1 << i for i in c) for c in combinations(range(width), r)], dtype=np.uint64)
-            step = max(1, _PROBES_AT_ONCE // len(masks))
-            for i in range(0, len(queries), step):
-                some = queries[i : i + step]
-                keys = (self.part(some, s)[:, None] ^ masks[None, :]).astype(np.int64).ravel()
-                n = self.start[s][keys + 1] - self.start[s][keys]
-                live = np.flatnonzero(n)
-                n = n[live]
-                q = i + np.repeat(live // len(masks), n)
-                at = np.repeat(self.start[s][keys[live]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                c = self.order[s][at]
-                # a code counts at the least radius of its segments, in the first segment that has it
-                x = queries[q] ^ self.codes[c]
-                new = np.ones(len(x), bool)
-                for t in range(len(self.width)):
-                    d = np.bitwise_count(self.part(x, t))
-                    new &= d > r if t < s else d >= r
-                qs.append(q[new])
-                cs.append(c[new])
-        q, c = np.concatenate([np.empty(0, np.int64), *qs]), np.concatenate([np.empty(0, np.int64), *cs])
-        return q, c, np.bitwise_count(queries[q] ^ self.codes[c]).astype(np.int64)
-
-    def top(self, queries: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, code number, distance) of all codes within each query's k-th distance; a code stands for `weight` rows."""
-        near = np.zeros((len(queries), 65), dtype=np.int64)
-        active = np.arange(len(queries))
-        parts, limit = [], np.full(len(queries), 64)
-        for r in range(max(self.width) + 1):
-            if not len(active):
-                break
-            q, c, d = self.verified(queries[active], r)
-            q = active[q]
-            np.add.at(near, (q, d), weight[c])
-            parts.append((q, c, d))
-            covered = min(len(self.width) * (r + 1) - 1, 64)
-            sums = np.cumsum(near[active], axis=1)
-            kth = np.where(sums[:, 64] >= k, (sums >= k).argmax(axis=1), 64)
-            limit[active] = kth
-            active = active[(sums[:, covered] < k)]
-        q, c, d = (np.concatenate([x[i] for x in parts]) for i in range(3))
-        keep = d <= limit[q]
-        return q[keep], c[keep], d[keep]
-
-
-def _packed(df: DataFrame, schema: str, fields: list[str]) -> DataFrame:
-    """Rows of longs packed to blocks of BLOCK rows at most, a column of bytes each, without a shuffle."""
-    import pyarrow as pa
-
-    def pack(batches):
-        for b in batches:
-            for i in range(0, b.num_rows, BLOCK):
-                part = b.slice(i, BLOCK)
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(j).to_numpy(zero_copy_only=False).astype(np.int64).tobytes()], pa.binary()) for j in range(len(fields))], fields)
-
-    return df.mapInArrow(pack, schema)
+def _longs(values: list[int]) -> Column:
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")  # folded to one literal
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, neighbor_id, distance): each query row's k nearest rows by Hamming distance of sign codes.
 
-    Exact; ties go to the smaller id; a query that is among the vectors finds itself.
-    Rows with a null id or vector are no neighbours, and such queries get no rows;
-    repeated rows count each. Rows of one code beyond the k smallest ids can be in
-    no answer and are dealt out by a salt before they are ranked, so a frequent
-    vector meets in no task. Fewer than k rows give fewer neighbours.
+    All entries of the vectors count; a shorter vector's missing entries count as not
+    above zero. Exact; ties go to the smaller id; a query that is among the vectors
+    finds itself. Ids keep their type. Rows with a null id or vector are no
+    neighbours, and such queries get no rows; repeated rows count each. Rows of one
+    code beyond the k smallest ids can be in no answer and are dealt out by a salt
+    before they are ranked, so a frequent vector meets in no task. Fewer than k rows
+    give fewer neighbours.
     """
-    import pyarrow as pa
-
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), sign_code(F.col(vector_col)).alias("code")).where("id IS NOT NULL AND code IS NOT NULL")
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
-    few = salted.withColumn("n", F.row_number().over(Window.partitionBy("code", "salt").orderBy("id"))).where(F.col("n") <= k)
-    few = few.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("id", "salt"))).where(F.col("n") <= k).select("code", "id")
-    few = durable(few)
-    codes = few.groupBy("code").agg(F.count("*").alias("weight"))
-    asked = durable(queries.select(F.col(id_col).cast("long").alias("query_id"), sign_code(F.col(vector_col)).alias("code")).where("query_id IS NOT NULL AND code IS NOT NULL"))
-    q_blocks = durable(_packed(asked.select("code").distinct(), "queries binary", ["queries"])).withColumn("qb", F.monotonically_increasing_id())
-    ids = [r.qb for r in q_blocks.select("qb").collect()]  # a number for each block of 16,384 queries
-    c_blocks = _packed(codes.select("code", "weight"), "codes binary, weights binary", ["codes", "weights"])
-    dealt = c_blocks.withColumn("qb", F.explode(F.array(*[F.lit(i) for i in ids]) if ids else F.array().cast("array<long>")))
-    pairs = dealt.join(q_blocks, "qb").repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).select("codes", "weights", "queries")
-
-    def search(batches):
-        for b in batches:
-            for codes, weights, queries in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                codes, queries = np.frombuffer(codes, np.uint64), np.frombuffer(queries, np.uint64)
-                index = BlockIndex(codes)
-                for i in range(0, len(queries), 256):
-                    q, c, d = index.top(queries[i : i + 256], np.frombuffer(weights, np.int64), k)
-                    yield pa.RecordBatch.from_arrays([pa.array(queries[i + q].view(np.int64)), pa.array(codes[c].view(np.int64)), pa.array(d.astype(np.int32))], ["query", "code", "distance"])
-
-    near = pairs.mapInArrow(search, "query long, code long, distance int")
-    # the k-th distance over all blocks, from sums by distance, before ids are looked up
-    weighed = near.join(codes, "code")
-    upto = Window.partitionBy("query").orderBy("distance").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    near = durable(weighed)
-    by_distance = near.groupBy("query", "distance").agg(F.sum("weight").alias("n")).withColumn("n", F.sum("n").over(upto))
-    limit = by_distance.groupBy("query").agg(F.coalesce(F.min(F.when(F.col("n") >= k, F.col("distance"))), F.lit(64)).alias("most"))
-    found = near.join(limit, "query").where("distance <= most").join(few, "code").select("query", "distance", F.col("id").alias("neighbor_id"))
-    best = Window.partitionBy("query").orderBy("distance", "neighbor_id")
-    found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return asked.join(found, asked["code"] == found["query"]).select("query_id", "rank", "neighbor_id", "distance")
+    sizes = [df.agg(F.max(F.size(vector_col))).first()[0] or 0 for df in (vectors, queries)]
+    dims = max(*sizes, 1)
+    c, q = ([f"{x}{w}" for w in range(math.ceil(dims / 64))] for x in "cq")
+    coded = lambda df, ident, names: df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).alias(ident), *(sign_word(F.col(vector_col), w).alias(n) for w, n in enumerate(names)))
+    salted = coded(vectors, "id", c).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
+    few = salted.withColumn("n", F.row_number().over(Window.partitionBy(*c, "salt").orderBy("id"))).where(F.col("n") <= k)
+    few = durable(few.withColumn("n", F.row_number().over(Window.partitionBy(*c).orderBy("id", "salt"))).where(F.col("n") <= k).select(*c, "id"))
+    codes = durable(few.groupBy(*c).agg(F.count("*").alias("weight"), F.min("id").alias("least")))
+    asked = durable(coded(queries, "query_id", q))
+    parts = segments(dims, codes.count())
+    value = lambda names, s: F.shiftrightunsigned(F.col(names[s[0]]), s[1]).bitwiseAND(F.lit((1 << s[2]) - 1).cast("long"))
+    index = codes.select(*c, "weight", "least", F.posexplode(F.array(*(value(c, s) for s in parts))).alias("s", "v"))
+    open_ = asked.select(*q).distinct()
+    best, closed = None, []
+    nearest = Window.partitionBy(*q).orderBy("distance", "least")
+    for r in range(max(width for _, _, width in parts) + 1):
+        masks = {width: _longs([sum(1 << i for i in x) for x in combinations(range(width), r)]) for width in {s[2] for s in parts} if r <= width}
+        probe = lambda i, s: F.transform(masks[s[2]], lambda m: F.struct(F.lit(i).alias("s"), value(q, s).bitwiseXOR(m).alias("v")))
+        probes = [probe(i, s) for i, s in enumerate(parts) if s[2] in masks]
+        met = open_.select(*q, F.explode(F.concat(*probes)).alias("p")).select(*q, "p.*").join(index, ["s", "v"])
+        apart = [F.bit_count(value(q, s).bitwiseXOR(value(c, s))) for s in parts]
+        # a code counts at the least radius of its segments, in the first segment that has it
+        new = [F.when(F.col("s") > i, d > r).otherwise(d >= r) for i, d in enumerate(apart)]
+        whole = sum((F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(q[1:], c[1:], strict=True)), F.bit_count(F.col(q[0]).bitwiseXOR(F.col(c[0]))))
+        for cond in new:
+            met = met.where(cond)
+        found = met.select(*q, *c, "weight", "least", whole.alias("distance"))
+        # k codes a query are enough: an answer has a row of each of its codes' least ids
+        best = found if best is None else best.unionByName(found)
+        best = durable(best.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k).drop("n"))
+        covered = len(parts) * (r + 1) - 1
+        done = best.where(F.col("distance") <= covered).groupBy(*q).agg(F.sum("weight").alias("w")).where(F.col("w") >= k).select(*q)
+        closed.append(best.join(done, q, "left_semi"))
+        open_ = durable(open_.join(done, q, "left_anti"))
+        best = best.join(done, q, "left_anti")
+        if not open_.take(1):
+            break
+    for x in closed:
+        best = best.unionByName(x)
+    hits = best.join(few, c).select(*q, "distance", F.col("id").alias("neighbor_id"))
+    hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy(*q).orderBy("distance", "neighbor_id"))).where(F.col("rank") <= k)
+    return asked.join(hits, q).select("query_id", "rank", "neighbor_id", "distance")

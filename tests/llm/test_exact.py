@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corpuswright.llm import bpe, kneser_ney, license_scan, lm_bloom, mih, queries, secrets, simhash, url_filter
@@ -273,17 +274,25 @@ def test_license_filters_are_exact():
             assert index.matches(index.vocabulary & block, len(block)) == want
 
 
-def test_top_k_is_exact():
-    rng = np.random.default_rng(8)
-    codes = np.unique(np.concatenate([rng.integers(0, 1 << 63, 700), rng.integers(0, 1 << 20, 300)]).astype(np.uint64))
-    weight = rng.integers(1, 3, len(codes))
-    queries_ = np.concatenate([codes[:40], rng.integers(0, 1 << 63, 40).astype(np.uint64)])
-    q, c, d = mih.BlockIndex(codes).top(queries_, weight, 10)
-    for i, x in enumerate(queries_):
-        dist = np.bitwise_count(codes ^ x)
-        limit = np.repeat(np.sort(dist), weight[np.argsort(dist, kind="stable")])[9]
-        assert set(c[q == i]) == set(np.flatnonzero(dist <= limit))
-        assert (np.sort(d[q == i]) == np.sort(dist[dist <= limit])).all()
+@pytest.mark.parametrize("dims", [3, 64, 100, 130])
+def test_top_k_is_exact(spark, dims):
+    """All dimensions count, with ties, repeated codes and codes that share segments."""
+    rng = np.random.default_rng(dims)
+    vectors = rng.normal(size=(400, dims))
+    vectors[100:200] = vectors[7]
+    vectors[100:200, : dims // 2] *= rng.choice([-1, 1], size=(100, dims // 2), p=[0.1, 0.9])
+    vectors[200:230] = vectors[3]  # one code, many rows
+    ids = [f"v{i:03d}" for i in range(400)]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in zip(ids, vectors, strict=True)], "vec_id string, embedding array<double>")
+    got = {}
+    for r in mih.top_k(df, df.where("substring(vec_id, 4, 1) = '3'"), k=7).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.distance, r.neighbor_id))
+    signs = vectors > 0
+    assert len(got) == 40
+    for query, rows in got.items():
+        distance = (signs ^ signs[int(query[1:])]).sum(axis=1)
+        want = sorted(zip(distance.tolist(), ids, strict=True))[:7]
+        assert [x[1:] for x in sorted(rows)] == want
 
 
 def test_kneser_ney_sums_to_one(spark):
