@@ -123,9 +123,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM g JOIN v ON g.source IS NOT DISTINCT FROM v.source
 """
 
-_TEMPLATE_ROWS = ", ".join(f"('{k}', '{t}')" for k, t in license_scan.TEMPLATES.items())
+_quoted = lambda x: "'" + x.replace("'", "''") + "'"
+_TEMPLATE_ROWS = ", ".join(f"({i}, {_quoted(k)}, {_quoted(t)})" for i, (k, t) in enumerate(license_scan.TEMPLATES))
 _PHRASE_ROWS = ", ".join(f"('{p}', '{label}')" for p, label in license_scan.PHRASES.items())
-#: Every block against every template, without filters.
+#: Every block that begins at a word of a template, against every template of which the text has words enough.
 _OP3_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
@@ -137,18 +138,23 @@ WITH d AS (
   SELECT r, label, i - 1 AS i FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM w) JOIN phrase ON w[i:i + len(p) - 1] = p
 ), base AS (
   SELECT r, count(*) AS n, min(i) AS a, max(i) AS b, list_sort(list(DISTINCT label)) AS labels FROM place GROUP BY r
+), tm AS (
+  SELECT k, label, regexp_extract_all(lower(t), '[a-z0-9]+') AS ws FROM (VALUES TEMPLATES) v(k, label, t)
 ), tw AS (
-  SELECT DISTINCT k, unnest(regexp_extract_all(lower(t), '[a-z0-9]+')) AS word FROM (VALUES TEMPLATES) v(k, t)
+  SELECT DISTINCT k, unnest(ws) AS word FROM tm
 ), tn AS (
-  SELECT k, count(*) AS n FROM tw GROUP BY k
-), line AS (
-  SELECT r, row_number() OVER () AS l, x FROM (SELECT r, unnest(string_split(t, chr(10))) AS x FROM d)
-), lw AS (
-  SELECT DISTINCT r, l, unnest(regexp_extract_all(x, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM line
+  SELECT k, label, len(list_distinct(ws)) AS n, ceil(0.8 * len(list_distinct(ws)) - 1e-9) AS need, ceil(len(ws) / 0.8 - 1e-9) AS block FROM tm
+), pos AS (
+  SELECT r, i, w[i] AS word FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM w)
+), enough AS (
+  SELECT r, k FROM pos JOIN tw USING (word) JOIN tn USING (k) GROUP BY r, k HAVING count(DISTINCT word) >= any_value(need)
+), occ AS (
+  SELECT r, k, i, word FROM pos JOIN tw USING (word) JOIN enough USING (r, k)
 ), hit AS (
-  SELECT r, k, count(*) / any_value(n) AS c FROM lw JOIN tw USING (word) JOIN tn USING (k) GROUP BY r, l, k HAVING count(*) >= 0.8 * any_value(n)
+  SELECT a.r, a.k, count(DISTINCT b.word) AS n FROM occ a JOIN tn USING (k) JOIN occ b ON a.r = b.r AND a.k = b.k AND b.i >= a.i AND b.i < a.i + tn.block
+  GROUP BY a.r, a.k, a.i
 ), best AS (
-  SELECT r, max(c) AS c, list(DISTINCT k) AS labels FROM hit GROUP BY r
+  SELECT r, max(hit.n / tn.n) AS c, list(DISTINCT label) AS labels FROM hit JOIN tn USING (k) WHERE hit.n >= need GROUP BY r
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, a::BIGINT AS first_word, b::BIGINT AS last_word,
        coalesce(array_to_string(base.labels, ','), '') AS base_labels,

@@ -262,16 +262,35 @@ def test_url_rules_and_held_out_accuracy(spark, sf):
 
 
 def test_license_filters_are_exact():
+    """The best block of every template, against all blocks of the text."""
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(30)]
-    templates = {f"t{i}": " ".join(rng.sample(vocabulary, rng.randint(1, 9))) for i in range(12)}
+    templates = [(f"t{i}", " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 9)))) for i in range(12)]
     frequency = {w.encode(): rng.randrange(1000) for w in vocabulary}
     for threshold in (0.3, 0.8, 1.0):
         index = license_scan.TemplateIndex(templates, frequency, threshold)
-        for _ in range(500):
-            block = {w.encode() for w in rng.sample(vocabulary, rng.randint(0, 14))} | {b"other"}
-            want = {k: len(s & block) / len(s) for k, s in index.sets.items() if len(s & block) >= math.ceil(threshold * len(s) - 1e-9)}
-            assert index.matches(index.vocabulary & block, len(block)) == want
+        for _ in range(300):
+            text = [rng.choice([*vocabulary, "other", "more"]).encode() for _ in range(rng.randint(0, 40))]
+            want = {}
+            for k, (_, t) in enumerate(templates):
+                own, length = set(t.encode().split()), math.ceil(len(t.split()) / threshold - 1e-9)
+                best = max((len(own & set(text[i : i + length])) for i in range(len(text))), default=0)
+                if best >= max(1, math.ceil(threshold * len(own) - 1e-9)):
+                    want[k] = best / len(own)
+            assert index.matches(text) == want
+
+
+def test_licenses_wrapped_over_lines_and_a_caller_s_table(spark):
+    wrap = lambda t, n: "\n * ".join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    rows = [(i, "some code here\n" + wrap(t, 6) + "\nmore code") for i, (_, t) in enumerate(license_scan.TEMPLATES)]
+    far = " filler words between them all the while ".join("released under the mit license".split())
+    docs = spark.createDataFrame([*rows, (100, far), (101, "our own house terms apply")], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan(docs).collect()}
+    assert all(license_scan.TEMPLATES[i][0] in got[i].labels.split(",") and got[i].score == 1.0 for i, _ in rows)
+    assert got[100].labels == "" and got[100].score == 0.0
+    own = spark.createDataFrame([("house", "Our own house terms"), (None, "x"), ("empty", " ")], "label string, text string")
+    got = {r.doc_id: r.labels for r in license_scan.scan(docs, templates=own).collect()}
+    assert got[101] == "house" and got[100] == ""
 
 
 @pytest.mark.parametrize("dims", [3, 64, 100, 130])
