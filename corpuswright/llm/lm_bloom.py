@@ -6,9 +6,17 @@ events (n-gram, 1) .. (n-gram, j). A count is read back by probing levels
 upwards until one is missing, and the smoothed probability of a word mixes the
 orders' relative frequencies.
 
+All probabilities come from one system of counts, the quantised ones: the
+denominator after a word is the sum of its own pairs' quantised counts (held by the
+filter too, in steps of a quarter of an octave, rounded up), and word
+probabilities are over the sum of the words' quantised counts. So the words' own
+probabilities sum to one, and those after any word to one at most (0.84 at least),
+but for the filter's false positives.
+
 How it scales. Counts move as sorted, pre-added blocks of 64-bit n-gram hashes,
-one block for each shard of the hash space, so a frequent n-gram costs one entry
-a task. The filter grows with the counted events and holds all of them. A key's
+one block for each shard, so a frequent n-gram costs one entry a task. A pair's
+shard depends on both words, so a frequent word's pairs are dealt over 32 shards at
+least. The filter grows with the counted events and holds all of them. A key's
 bits lie in its shard's segment; runs of segments of `filter_bits` at most are
 sent one by one, and a worker holds one run at a time. Exact word counts
 never need a broadcast that grows: the `head_words` most frequent words travel
@@ -76,34 +84,57 @@ def _some(batch, names: list[str], text: str, most: int = _SLICE) -> Iterator[tu
             start, size = i + 1, 0
 
 
-def _blocks(keys: np.ndarray, kind: int, shards: int):
-    """The distinct keys and their counts, cut at the shards' borders."""
-    uniq, count = np.unique(keys, return_counts=True)
-    bits = shards.bit_length() - 1
-    edges = np.searchsorted(uniq >> np.uint64(64 - bits), np.arange(shards + 1, dtype=np.uint64))
-    count = count.astype(np.uint32)
+def _total_key(h: np.ndarray) -> np.ndarray:
+    """The key under which the filter holds what all pairs that begin with a word count."""
+    with np.errstate(over="ignore"):
+        return mix64(h * _ODD + np.uint64(0x746F74616C))
+
+
+def _key_shard(keys: np.ndarray, shards: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - (shards.bit_length() - 1))).astype(np.int64)
+
+
+def _pair_shard(h: np.ndarray, before: np.ndarray, shards: int) -> np.ndarray:
+    """Five bits of the second word, the others of the first."""
+    rest = np.uint64(64 - (shards.bit_length() - 1 - 5))
+    with np.errstate(over="ignore"):
+        return ((mix64(before + _ODD) >> rest << np.uint64(5)) | (h >> np.uint64(59))).astype(np.int64)
+
+
+_NO_KEYS = np.zeros(0, np.uint64)
+
+
+def _blocks(keys: np.ndarray, shard: np.ndarray, first: np.ndarray, kind: int, shards: int):
+    """The distinct keys, their counts and first words, cut by shard and sorted by first word."""
+    uniq, at, count = np.unique(keys, return_index=True, return_counts=True)
+    shard, first = shard[at], (first[at] if len(first) else first)
+    order = np.lexsort((first, shard)) if len(first) else np.argsort(shard, kind="stable")
+    uniq, count, shard, first = uniq[order], count[order].astype(np.uint32), shard[order], (first[order] if len(first) else first)
+    edges = np.searchsorted(shard, np.arange(shards + 1))
     for s in np.flatnonzero(np.diff(edges)):
         i, j = edges[s], edges[s + 1]
-        yield kind, int(s), uniq[i:j].tobytes(), count[i:j].tobytes()
+        yield kind, int(s), uniq[i:j].tobytes(), count[i:j].tobytes(), first[i:j].tobytes()
 
 
 def _counter(text: str, shards: int):
     import pyarrow as pa
 
+    names, types = ["kind", "shard", "keys", "counts", "first"], (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+
     def count(batches):
         memo = WordHashes()
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def out():
-            for k, kind in ((0, 1), (1, 2)):
-                rows = list(_blocks(np.concatenate([x[k] for x in held]), kind, shards))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["kind", "shard", "keys", "counts"])
+            h, before = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+            for rows in (_blocks(h, _key_shard(h, shards), _NO_KEYS, 1, shards), _blocks(_bigrams(h, before), _pair_shard(h, before, shards), before, 2, shards)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], names)
 
         for b in batches:
             for texts, _ in _some(b, [], text):
                 h, before, _n = _tokens(texts, memo)
-                held.append((h, _bigrams(h, before)))
+                held.append((h, before))
                 size += len(h)
                 if size >= _CHUNK:
                     yield from out()
@@ -114,56 +145,118 @@ def _counter(text: str, shards: int):
     return count
 
 
+def _level(n: np.ndarray) -> np.ndarray:
+    return np.frexp(n.astype(np.float64))[1].astype(np.int32)  # 1 + floor(log2(n))
+
+
+def _total_level(total: np.ndarray) -> np.ndarray:
+    """Levels of a quarter of an octave, rounded up: the value that total_of() reads back is no less."""
+    return 1 + np.ceil(4 * np.log2(total) - 1e-9).astype(np.int32)
+
+
+def total_of(level: np.ndarray) -> np.ndarray:
+    return np.where(level > 0, 2.0 ** ((level.astype(np.float64) - 1) / 4), 0.0)
+
+
 def _adder(batches):
-    """Adds the blocks of whole shards. Words keep exact counts; word pairs keep their level."""
+    """Adds the blocks of whole shards, which come one after another; one shard is held at a time.
+
+    Words (kind 1) keep exact counts, pairs (kind 2) their level. The pairs' quantised
+    counts are summed by first word: partial sums, for a word has several shards (kind 3).
+    """
     import pyarrow as pa
 
-    held: dict[tuple[int, int], list] = {}
-    size: dict[tuple[int, int], int] = {}
+    types = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    now, parts, size = None, [], 0
+
+    def added():
+        k, c, f = (np.concatenate([x[i] for x in parts]) for i in range(3))
+        uniq, at, where = np.unique(k, return_index=True, return_inverse=True)
+        return uniq, np.bincount(where, weights=c, minlength=len(uniq)).astype(np.int64), (f[at] if len(f) else f)
+
+    def done():
+        kind, shard = now
+        u, n, first = added()
+        level = _level(n)
+        rows = [(kind, shard, int(q), int((w := level == q).sum()), int(n[w].sum()), u[w].tobytes(), n[w].tobytes() if kind == 1 else b"") for q in np.unique(level)]
+        if kind == 2:
+            words, where = np.unique(first, return_inverse=True)
+            twice = np.bincount(where, weights=2 * typical(level), minlength=len(words)).astype(np.int64)
+            rows.append((3, shard, 0, len(words), 0, words.tobytes(), twice.tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], ["kind", "shard", "level", "n", "total", "keys", "counts"])
 
-    def added(key):
-        k = np.concatenate([x for x, _ in held[key]])
-        c = np.concatenate([x for _, x in held[key]])
-        uniq, where = np.unique(k, return_inverse=True)
-        return uniq, np.bincount(where, weights=c, minlength=len(uniq)).astype(np.int64)
+    for b in batches:
+        for kind, shard, k, c, f in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            if (kind, shard) != now:
+                if parts:
+                    yield done()
+                now, parts, size = (kind, shard), [], 0
+            parts.append((np.frombuffer(k, np.uint64), np.frombuffer(c, np.uint32).astype(np.int64), np.frombuffer(f, np.uint64)))
+            size += len(k)
+            if size > 64 << 20:
+                parts, size = [added()], 0
+    if parts:
+        yield done()
+
+
+def _by_first(shards: int):
+    """Partial sums of first words, dealt by the shard of the filter that is to hold them."""
+    import pyarrow as pa
+
+    def deal(batches):
+        for b in batches:
+            for words, twice in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                k, t = _total_key(np.frombuffer(words, np.uint64)), np.frombuffer(twice, np.int64)
+                order = np.argsort(shard := _key_shard(k, shards), kind="stable")
+                k, t, shard = k[order], t[order], shard[order]
+                edges = np.searchsorted(shard, np.arange(shards + 1))
+                some = np.flatnonzero(np.diff(edges))
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array([x[edges[s] : edges[s + 1]].tobytes() for s in some], pa.binary()) for x in (k, t))], ["shard", "keys", "counts"])
+
+    return deal
+
+
+def _totals(batches):
+    """(3, shard, level, n, 0, keys, none): first words' totals of whole shards, which come one after another."""
+    import pyarrow as pa
+
+    types = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    now, parts = None, []
+
+    def done():
+        k, t = (np.concatenate([x[i] for x in parts]) for i in range(2))
+        u, where = np.unique(k, return_inverse=True)
+        level = _total_level(np.bincount(where, weights=t, minlength=len(u)) / 2)
+        rows = [(3, now, int(q), int((w := level == q).sum()), 0, u[w].tobytes(), b"") for q in np.unique(level)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], ["kind", "shard", "level", "n", "total", "keys", "counts"])
 
     for b in batches:
-        kinds, shards, keys, counts = (b.column(i).to_pylist() for i in range(4))
-        for kind, shard, k, c in zip(kinds, shards, keys, counts, strict=True):
-            key = (kind, shard)
-            held.setdefault(key, []).append((np.frombuffer(k, np.uint64), np.frombuffer(c, np.uint32).astype(np.int64)))
-            size[key] = size.get(key, 0) + len(k)
-            if size[key] > 64 << 20:
-                u, n = added(key)
-                held[key], size[key] = [(u, n)], 0
-    for key in sorted(held):
-        u, n = added(key)
-        level = np.frexp(n.astype(np.float64))[1].astype(np.int32)  # 1 + floor(log2(n))
-        rows = [(key[0], key[1], int(q), int((w := level == q).sum()), int(n[w].sum()), u[w].tobytes(), n[w].astype(np.int64).tobytes() if key[0] == 1 else b"") for q in np.unique(level)]
-        held[key] = []
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["kind", "shard", "level", "n", "total", "keys", "counts"])
+        for shard, k, t in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            if shard != now:
+                if parts:
+                    yield done()
+                now, parts = shard, []
+            parts.append((np.frombuffer(k, np.uint64), np.frombuffer(t, np.int64)))
+    if parts:
+        yield done()
 
 
 _COUNTED = "kind int, shard int, level int, n long, total long, keys binary, counts binary"
 
 
-def places(keys: np.ndarray, level: int, shards: int, filter_bits: int) -> Iterator[np.ndarray]:
-    """The bits of event (n-gram, level): a key's bits lie in its shard's segment of the filter."""
-    seg = filter_bits // shards
-    base = (keys >> np.uint64(64 - (shards.bit_length() - 1))) * np.uint64(seg)
+def places(keys: np.ndarray, level: int, seg: int) -> Iterator[np.ndarray]:
+    """The bits of event (n-gram, level) within the segment of its shard."""
     with np.errstate(over="ignore"):
         x = mix64(keys + np.uint64(level) * _ODD)
         step = (x >> np.uint64(32)) | np.uint64(1)
         for _ in range(_PROBES):
-            yield base + (x & np.uint64(seg - 1))
+            yield x & np.uint64(seg - 1)
             x = x + step
 
 
-def _segments(shards: int, filter_bits: int):
+def _segments(seg: int):
     import pyarrow as pa
 
-    seg = filter_bits // shards
-
     def build(batches):
         """Rows come sorted by shard: one segment is held at a time."""
         now, own = -1, np.zeros(0, dtype=bool)
@@ -179,37 +272,35 @@ def _segments(shards: int, filter_bits: int):
                     now, own = shard, np.zeros(seg, dtype=bool)
                 k = np.frombuffer(keys, np.uint64)
                 for j in range(1, level + 1):
-                    for p in places(k, j, shards, filter_bits):
-                        own[(p & np.uint64(seg - 1)).astype(np.int64)] = True
+                    for p in places(k, j, seg):
+                        own[p.astype(np.int64)] = True
         if now >= 0:
             yield done()
 
     return build
 
 
-def levels(keys: np.ndarray, bits: np.ndarray, least: int, shards: int, filter_bits: int, first: int = 0) -> np.ndarray:
+def levels(keys: np.ndarray, shard: np.ndarray, bits: np.ndarray, seg: int, first: int = 0) -> np.ndarray:
     """The quantised level of each key, 0 where it isn't held: probes go up until one fails.
 
-    `bits` starts with the segment of shard `first` and has those of all the keys.
+    `bits` starts with the segment, of `seg` bits, of shard `first` and has those of all the keys.
     """
-    out = np.zeros(len(keys), dtype=np.int8)
+    out = np.zeros(len(keys), dtype=np.int16)
     live = np.arange(len(keys))
-    seg = np.uint64(filter_bits // shards)
-    shard = np.uint64(64 - (shards.bit_length() - 1))
+    base_of = (shard - first).astype(np.uint64) * np.uint64(seg)
     level = 0
-    while len(live) and level < 64:
+    while len(live) and level < 512:
         level += 1
         k = keys[live]
         with np.errstate(over="ignore"):
             x = mix64(k + np.uint64(level) * _ODD)
             step = (x >> np.uint64(32)) | np.uint64(1)
-            base = ((k >> shard) - np.uint64(first)) * seg
+            base = base_of[live]
             for _ in range(_PROBES):
-                p = base + (x & (seg - np.uint64(1)))
+                p = base + (x & np.uint64(seg - 1))
                 ok = ((bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
                 live, x, step, base = live[ok], x[ok] + step[ok], step[ok], base[ok]
         out[live] = level
-    out[out < least] = 0
     return out
 
 
@@ -221,17 +312,17 @@ def _taken(sent):
     return value
 
 
-def levels_in_runs(keys: np.ndarray, runs: list, per: int, shards: int, filter_bits: int) -> np.ndarray:
+def levels_in_runs(keys: np.ndarray, shard: np.ndarray, runs: list, per: int, seg: int) -> np.ndarray:
     """levels() of keys of all shards; `runs` are broadcasts of the bits of `per` shards each."""
     if len(runs) == 1:
-        return levels(keys, runs[0].value, 1, shards, filter_bits)
-    out = np.zeros(len(keys), dtype=np.int8)
-    run = ((keys >> np.uint64(64 - (shards.bit_length() - 1))) // np.uint64(per)).astype(np.int32)
+        return levels(keys, shard, runs[0].value, seg)
+    out = np.zeros(len(keys), dtype=np.int16)
+    run = (shard // per).astype(np.int32)
     order = np.argsort(run, kind="stable")
     edges = np.searchsorted(run[order], np.arange(len(runs) + 1))
     for i in np.flatnonzero(np.diff(edges)):
         own = order[edges[i] : edges[i + 1]]
-        out[own] = levels(keys[own], _taken(runs[i]), 1, shards, filter_bits, int(i) * per)
+        out[own] = levels(keys[own], shard[own], _taken(runs[i]), seg, int(i) * per)
     return out
 
 
@@ -250,6 +341,7 @@ def score(
     filter_bits: int = 1 << 28,
     head_words: int = 1 << 19,
     discount: float = 4.0,
+    room: int = 1,
 ) -> DataFrame:
     """Scores every row of `docs` by a model of the rows of `train`.
 
@@ -259,10 +351,12 @@ def score(
     each row of docs, repeated and null ids included.
 
     base_score is exact: sum of log10((c + 0.5) / (N + 0.5 (V + 1))). score is the
-    model's log10 probability: with pair and word counts read from the filter,
-    p(w|v) = (pair(v, w) + discount * p(w)) / (word(v) + discount), where a pair's
-    count is held to that of its first word and p(w) = (word(w) + 0.5) / (N + 0.5 (V + 1)).
-    The filter holds every counted n-gram; `filter_bits` is what is sent of it at once.
+    model's log10 probability, with all counts read from the filter:
+    p(w|v) = (pair(v, w) + discount * p(w)) / (total(v) + discount), where total(v) is
+    the sum of pair(v, .), and p(w) = (word(w) + 0.5) / (M + 0.5 (V + 1)), where M is the
+    sum of word(.). At a text's start v is no word. A pair's count is held to total(v).
+    The filter holds every counted n-gram, with false positives of 1 in 16 (`room` times
+    the bits make them fewer); `filter_bits` is what is sent of it at once.
 
     A null or empty text is one end token. With no training rows N and V are 0 and
     every token has probability 1. Other columns are not touched.
@@ -273,18 +367,22 @@ def score(
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = 1 << max(8, math.ceil(math.log2(2 * parts)))
     folder = shared_folder(spark)
-    blocks = train.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_counter("text", shards), "kind int, shard int, keys binary, counts binary")
-    blocks.repartition("kind", "shard").mapInArrow(_adder, _COUNTED).write.parquet(f"{folder}/counts")
+    blocks = train.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_counter("text", shards), "kind int, shard int, keys binary, counts binary, first binary")
+    blocks.repartition("kind", "shard").sortWithinPartitions("kind", "shard").mapInArrow(_adder, _COUNTED).write.parquet(f"{folder}/counts")
     counted = spark.read.parquet(f"{folder}/counts")
-    by_level = counted.groupBy("kind", "level").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()
+    sums = counted.where("kind = 3").select("keys", "counts").mapInArrow(_by_first(shards), "shard int, keys binary, counts binary")
+    sums.repartition("shard").sortWithinPartitions("shard").mapInArrow(_totals, _COUNTED).write.parquet(f"{folder}/totals")
+    counted = counted.where("kind < 3")
+    events = counted.unionByName(spark.read.parquet(f"{folder}/totals"))
+    by_level = events.groupBy("kind", "level").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()
     total = sum(r.total for r in by_level if r.kind == 1)
     vocabulary = sum(r.n for r in by_level if r.kind == 1)
-    top = max([r.level for r in by_level], default=0)
-    need = max(sum(r.n * r.level for r in by_level) * _PROBES / math.log(2), 64 * shards)
-    all_bits = 1 << math.ceil(math.log2(need))
-    width = all_bits // 8 // shards
+    top = max([r.level for r in by_level if r.kind == 1], default=0)
+    need = max(room * sum(r.n * r.level for r in by_level) * _PROBES / math.log(2), 64 * shards)
+    seg = (1 << math.ceil(math.log2(need))) // shards
+    width = seg // 8
     held = min(shards, max(1, filter_bits // 8 // width))
-    segments = counted.select("shard", "level", "keys").repartition("shard").sortWithinPartitions("shard").mapInArrow(_segments(shards, all_bits), "shard int, bits binary")
+    segments = events.select("shard", "level", "keys").repartition("shard").sortWithinPartitions("shard").mapInArrow(_segments(seg), "shard int, bits binary")
     if held < shards:
         segments.write.parquet(f"{folder}/segments")
         segments = spark.read.parquet(f"{folder}/segments")
@@ -303,6 +401,7 @@ def score(
     order = np.argsort(known)
     sent = spark.sparkContext.broadcast((known[order], known_n[order]))
     floor = total + 0.5 * (vocabulary + 1)
+    quantised = sum(r.n * float(typical(np.array([r.level]))[0]) for r in by_level if r.kind == 1) + 0.5 * (vocabulary + 1)
     names = ["_row_id", *carry]
 
     def scorer(batches):
@@ -310,29 +409,28 @@ def score(
         memo = WordHashes()
 
         def facts(h, before):
-            """Exact count (-1: not in the head) of each hash, and the filter's counts of each hash, of each pair and of the end."""
+            """Exact count (-1: not in the head) of each hash; the filter's counts of each hash, of each pair, and of all pairs with its first word."""
             u, where = np.unique(h, return_inverse=True)
+            f, first = np.unique(before, return_inverse=True)
             at = np.minimum(np.searchsorted(known, u), max(len(known) - 1, 0))
             exact = np.where(known[at] == u, known_n[at], -1) if len(known) else np.full(len(u), -1)
-            keys = np.concatenate([u, np.array([END], np.uint64), _bigrams(h, before)])
-            count = typical(levels_in_runs(keys, runs, held, shards, all_bits))
-            return exact[where], count[where], count[len(u) + 1 :], count[len(u)]
+            totals = _total_key(f)
+            keys = np.concatenate([u, _bigrams(h, before), totals])
+            shard = np.concatenate([_key_shard(u, shards), _pair_shard(h, before, shards), _key_shard(totals, shards)])
+            level = levels_in_runs(keys, shard, runs, held, seg)
+            return exact[where], typical(level[: len(u)])[where], typical(level[len(u) : -len(f)]), total_of(level[-len(f) :])[first]
 
         for b in batches:
             if not b.num_rows:
                 continue
             for texts, cols in _some(b, names, "_text", _SLICE * min(len(runs), 2)):
                 h, before, n = _tokens(texts, memo)
-                exact, count, pair, end = facts(h, before)
+                exact, count, pair, total_v = facts(h, before)
                 starts = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
                 sum_by = lambda x, starts=starts: np.add.reduceat(x, starts)
                 in_head = exact >= 0
                 base = sum_by(np.where(in_head, np.log10(np.where(in_head, exact, 0) + 0.5), 0.0) - math.log10(floor))
-                history = np.empty_like(count)
-                history[1:] = count[:-1]
-                history[starts] = end
-                pair = np.minimum(pair, history)
-                p = (pair + discount * (count + 0.5) / floor) / (history + discount)
+                p = (np.minimum(pair, total_v) + discount * (count + 0.5) / quantised) / (total_v + discount)
                 tail = h[~in_head].view(np.int64)
                 per = sum_by((~in_head).astype(np.int64))
                 rest = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32()), pa.array(tail, pa.int64()))

@@ -45,17 +45,46 @@ def test_lm_filter_in_many_runs_holds_every_ngram(docs):
     assert whole == runs
 
 
+def test_lm_score_against_brute_force(spark, docs):
+    """The formula of the docstring from plain counts; the filter has room enough for no false positive."""
+    some = docs.where("doc_id % 3 = 0")
+    texts = [r.text for r in some.select("text").collect()] + [None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    words, pairs = Counter(), Counter()
+    for t in texts:
+        own = _tokens(t)
+        words.update(own)
+        pairs.update(zip(["start", *own], own, strict=False))
+    quantised = lambda c: 1.5 * 2 ** (c.bit_length() - 1) - 0.5 if c else 0.0
+    total = Counter()
+    for (v, _), c in pairs.items():
+        total[v] += quantised(c)
+    up = lambda x: 2 ** (math.ceil(4 * math.log2(x) - 1e-9) / 4) if x else 0.0
+    floor = sum(map(quantised, words.values())) + 0.5 * (len(words) + 1)
+    p1 = lambda w: (quantised(words[w]) + 0.5) / floor
+    p2 = lambda v, w: (min(quantised(pairs[v, w]), up(total[v])) + 4 * p1(w)) / (up(total[v]) + 4)
+    assert math.isclose(sum(map(p1, words)) + 0.5 / floor, 1, rel_tol=1e-9)  # and one unknown word
+    for v in ["start", *itertools.islice(words, 0, None, 97)]:
+        assert 0.84 < sum(p2(v, w) for w in words) + 4 * 0.5 / floor / (up(total[v]) + 4) <= 1 + 1e-9
+    for options in ({"room": 256}, {"room": 256, "filter_bits": 1 << 20}):
+        for r in lm_bloom.score(df, df, **options).collect():
+            own = _tokens(texts[r.doc_id])
+            assert math.isclose(r.score, sum(math.log10(p2(v, w)) for v, w in zip(["start", *own], own, strict=False)), rel_tol=1e-9)
+
+
 def test_filter_reads_back_levels():
     rng = np.random.default_rng(0)
-    keys, level = rng.integers(0, 1 << 63, 5000).astype(np.uint64), rng.integers(1, 6, 5000)
+    keys, level, shard = rng.integers(0, 1 << 63, 5000).astype(np.uint64), rng.integers(1, 6, 5000), rng.integers(0, 64, 5000)
+    seg = (1 << 18) // 64
     bits = np.zeros((1 << 18) // 8, np.uint8)
-    for k, q in zip(keys, level, strict=True):
+    for k, q, s in zip(keys, level, shard, strict=True):
         for j in range(1, q + 1):
-            for p in lm_bloom.places(np.array([k]), j, 64, 1 << 18):
-                bits[int(p[0]) >> 3] |= 1 << (int(p[0]) & 7)
-    got = lm_bloom.levels(keys, bits, 1, 64, 1 << 18)
+            for p in lm_bloom.places(np.array([k]), j, seg):
+                at = int(p[0]) + int(s) * seg
+                bits[at >> 3] |= 1 << (at & 7)
+    got = lm_bloom.levels(keys, shard, bits, seg)
     assert (got >= level).all() and (got == level).mean() > 0.9
-    assert (lm_bloom.levels(rng.integers(0, 1 << 63, 5000).astype(np.uint64), bits, 1, 64, 1 << 18) == 0).mean() > 0.8
+    assert (lm_bloom.levels(rng.integers(0, 1 << 63, 5000).astype(np.uint64), shard, bits, seg) == 0).mean() > 0.8
 
 
 def _classes(fps, radius):
