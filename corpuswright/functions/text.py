@@ -94,10 +94,15 @@ def finding_identifiers(finding: Column) -> Column:
 
 def byte_offset_to_line(s: Column, offset: Column) -> Column:
     """1-based line of a byte offset into the UTF-8 text; offsets are held to the text."""
-    raw = F.encode(s, "UTF-8")
-    before = F.substring(F.hex(raw), F.lit(1), F.least(F.greatest(offset, F.lit(0)), F.octet_length(raw)) * 2)
-    pairs = F.regexp_replace(before, "(..)", "$1 ")
-    return (F.length(pairs) - F.length(F.replace(pairs, F.lit("0A "), F.lit("0A"))) + 1).cast("int")
+    before = F.substring(s.cast("binary"), F.lit(1), F.greatest(offset, F.lit(0)))
+    # read as text again only to be counted byte by byte: a cut character does no harm
+    return (F.octet_length(before) - F.octet_length(F.replace(before.cast("string"), F.lit("\n"), F.lit(""))) + 1).cast("int")
+
+
+def span_lines(s: Column, start: Column, length: Column) -> Column:
+    """The lines, in order, that a span of bytes touches; an empty span touches the one of its start."""
+    last = byte_offset_to_line(s, start + F.greatest(length - 1, F.lit(0)))
+    return F.sequence(byte_offset_to_line(s, start), last)
 
 
 def parse_span(src: Column) -> Column:

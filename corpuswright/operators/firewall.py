@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as X
 
@@ -24,9 +23,13 @@ def first_per_hash(df: DataFrame, path_col: str = "path") -> DataFrame:
 
 
 def drop_stem_collisions(df: DataFrame, stem_col: str = "contract_id", path_col: str = "path") -> DataFrame:
-    """Of rows of one stem, those of the first row's hash."""
-    w = Window.partitionBy(stem_col).orderBy(F.split(path_col, "/"))
-    return df.withColumn("_first", F.first("chash").over(w)).where("chash = _first").drop("_first")
+    """Of rows of one stem, those of the first row's hash.
+
+    The first is found by an aggregation, partial before the shuffle, and joined back,
+    so a common stem's rows meet in no window.
+    """
+    first = df.groupBy(F.col(stem_col).alias("_stem")).agg(F.min_by("chash", F.split(path_col, "/")).alias("_first"))
+    return df.join(first, F.col(stem_col) == F.col("_stem")).where("chash = _first").drop("_stem", "_first")
 
 
 def reserved_hashes(*manifests: DataFrame) -> DataFrame:

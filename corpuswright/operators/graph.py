@@ -5,9 +5,10 @@ nodes: (graph_id, nid, ...); edges: (graph_id, src, dst, etype). Edges are a bag
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 CONTROL, DATA = "control_flow", "data_flow"
 
@@ -76,6 +77,19 @@ def fit_vocabulary(nodes: DataFrame) -> list[str]:
     return [r.type for r in nodes.select("type").where("type IS NOT NULL").distinct().orderBy("type").collect()]
 
 
+def config_json(vocabulary: list[str], embed_dim: int = 64, structural: tuple[str, ...] = ("depth", "n_children", "in_degree", "out_degree")) -> str:
+    """A feature configuration as JSON."""
+    return json.dumps({"node_types": vocabulary, "embed_dim": embed_dim, "structural": list(structural)})
+
+
+def config_from_json(text: str) -> tuple[list[str], int, tuple[str, ...], int]:
+    """(vocabulary, embed_dim, structural, width of a node's vector) of a configuration; a missing width of embeddings is 64."""
+    d = json.loads(text)
+    structural = tuple(d.get("structural", ("depth", "n_children", "in_degree", "out_degree")))
+    dim = int(d.get("embed_dim", 64))
+    return list(d["node_types"]), dim, structural, len(d["node_types"]) + len(structural) + dim
+
+
 def encode_nodes(nodes: DataFrame, node_degrees: DataFrame, vocabulary: list[str]) -> DataFrame:
     """(graph_id, nid, features, unknown): one-hot type (unknown: zeros), depth, children, in and out degree."""
     rows = nodes.join(node_degrees, ["graph_id", "nid"])
@@ -103,9 +117,24 @@ def gcn_aggregate(nodes: DataFrame, edges: DataFrame, col: str = "x") -> DataFra
 
 def attention_weights(scored_edges: DataFrame) -> DataFrame:
     """scored_edges with alpha: softmax of e over the edges that share a destination."""
-    w = Window.partitionBy("graph_id", "dst")
-    shifted = scored_edges.withColumn("_x", F.exp(F.col("e") - F.max("e").over(w)))
-    return shifted.withColumn("alpha", F.col("_x") / F.sum("_x").over(w)).drop("_x")
+    ends = ["graph_id", "dst"]
+    tops = scored_edges.groupBy(*ends).agg(F.max("e").alias("_top"))
+    shifted = scored_edges.join(tops, ends).withColumn("_x", F.exp(F.col("e") - F.col("_top"))).drop("_top")
+    return shifted.join(shifted.groupBy(*ends).agg(F.sum("_x").alias("_all")), ends).withColumn("alpha", F.col("_x") / F.col("_all")).drop("_x", "_all")
+
+
+def hybrid(nodes: DataFrame, edges: DataFrame, layers: int = 2, col: str = "x") -> DataFrame:
+    """(graph_id, nid, value): layers - 1 steps of mean neighbours, each added to the node's own value, then one of attention.
+
+    The attention scores an edge by the sum of its ends' values.
+    """
+    state = nodes.select("graph_id", "nid", F.col(col).alias("x"))
+    for _ in range(layers - 1):
+        state = state.join(mean_neighbours(state, edges), ["graph_id", "nid"]).select("graph_id", "nid", (F.col("x") + F.col("mean")).alias("x"))
+    end = lambda name: state.select("graph_id", F.col("nid").alias(name), F.col("x").alias(f"x_{name}"))
+    scored = edges.select("graph_id", "src", "dst").join(end("src"), ["graph_id", "src"]).join(end("dst"), ["graph_id", "dst"]).withColumn("e", F.col("x_src") + F.col("x_dst"))
+    got = attention_weights(scored).groupBy("graph_id", F.col("dst").alias("nid")).agg(F.sum(F.col("alpha") * F.col("x_src")).alias("value"))
+    return state.select("graph_id", "nid").join(got, ["graph_id", "nid"], "left").select("graph_id", "nid", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
 def mean_pool(graphs: DataFrame, nodes: DataFrame, cols: list[str]) -> DataFrame:

@@ -50,9 +50,23 @@ def summary(state: DataFrame) -> DataFrame:
     return out.select(F.coalesce("tool", F.lit("all")).alias("tool"), F.coalesce("status", F.lit("all")).alias("status"), "n", "mean_ok_seconds")
 
 
-def silent_tools(state: DataFrame) -> DataFrame:
-    """Tools without one ok task."""
-    return state.groupBy("tool").agg(F.count_if(F.col("status") == "ok").alias("n_ok")).where("n_ok = 0").select("tool")
+def unlabellable(state: DataFrame) -> DataFrame:
+    """(cid): contracts of which no task is ok, so that nothing can label them."""
+    return state.groupBy("cid").agg(F.max((F.col("status") == "ok").cast("int")).alias("ok")).where("ok = 0").select("cid")
+
+
+def totals(state: DataFrame) -> DataFrame:
+    """One row: contracts, tasks_total, tasks_done (ok or skipped), unlabellable_contracts, tool_seconds_total."""
+    done = F.count_if(F.col("status").isin("ok", "skipped"))
+    each = state.groupBy("cid").agg(F.count("*").alias("n"), done.alias("done"), F.count_if(F.col("status") == "ok").alias("ok"), F.sum("seconds").alias("seconds"))
+    zero = F.lit(0).cast("long")
+    return each.agg(
+        F.count("*").alias("contracts"),
+        F.coalesce(F.sum("n"), zero).alias("tasks_total"),
+        F.coalesce(F.sum("done"), zero).alias("tasks_done"),
+        F.count_if(F.col("ok") == 0).alias("unlabellable_contracts"),
+        F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("tool_seconds_total"),
+    )
 
 
 def suspicious_tools(state: DataFrame, exempt: tuple[str, ...] = ("slither",), least: int = 50, seconds: float = 10.0) -> DataFrame:

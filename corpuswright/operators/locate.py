@@ -9,8 +9,9 @@ from pyspark.sql.window import Window
 
 def normalise(scores: DataFrame, by: tuple[str, ...] = ("contract", "branch"), col: str = "score") -> DataFrame:
     """Scores over their group's greatest; 0 if that isn't above 0."""
-    top = F.max(col).over(Window.partitionBy(*by))
-    return scores.withColumn(col, F.when(top > 0, F.col(col) / top).otherwise(0.0))
+    tops = scores.groupBy(*by).agg(F.max(col).alias("_top"))
+    rows = scores.join(tops, list(by))
+    return rows.withColumn(col, F.when(F.col("_top") > 0, F.col(col) / F.col("_top")).otherwise(0.0)).drop("_top")
 
 
 def line_scores(nodes: DataFrame) -> DataFrame:
@@ -87,3 +88,8 @@ def class_order_lines(ranked: DataFrame, k: int) -> DataFrame:
     """(contract, lines): lines in the order of class and rank, each once, the first k. ranked: (contract, class_idx, rank, line)."""
     rows = ranked.groupBy("contract").agg(F.array_sort(F.collect_list(F.struct("class_idx", "rank", "line"))).alias("r"))
     return rows.select("contract", F.slice(F.array_distinct(F.transform("r", lambda x: x["line"])), 1, k).alias("lines"))
+
+
+def targets(indexed: DataFrame, gold: DataFrame) -> DataFrame:
+    """(contract, lines): what accuracy is measured on: indexed contracts that have gold lines."""
+    return gold.where(F.size("lines") > 0).join(indexed.select("contract").distinct(), "contract", "left_semi").select("contract", "lines")

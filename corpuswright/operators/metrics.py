@@ -64,15 +64,20 @@ def summary(pred: DataFrame, by: tuple[str, ...] = (), mask: list[str] | None =
     return macro.join(exact, list(by)) if by else macro.join(F.broadcast(exact))
 
 
-def bootstrap(pred: DataFrame, n: int, resamples: int = 2000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+def bootstrap(pred: DataFrame, n: int, resamples: int = 2000, alpha: float = 0.05, seed: int = 42, classes: list[str] | None = None) -> DataFrame:
     """(class, low, high): percentile intervals of f1 by class and of macro f1 ('macro'), over resampled contracts.
 
-    pred: (pos, class, y_true, y_pred), pos 0 .. n - 1 numbering the contracts; with
-    n = 0 the result is empty. Draw d of replicate b is the contract of number
+    pred: (pos, class, y_true, y_pred), pos 0 .. n - 1 numbering the contracts. With
+    `classes` only these are reported, and the macro is over them. With n = 0 each of
+    the classes and the macro have 0 and 0 (without `classes`, the macro alone). Draw d of replicate b is the contract of number
     hash(seed:b:d) mod n. A replicate only needs how often each contract was drawn,
     so draws are counted before they meet the predictions.
     """
     spark = pred.sparkSession
+    if not n:
+        return spark.createDataFrame([(c, 0.0, 0.0) for c in [*(classes or []), "macro"]], "class string, low double, high double")
+    if classes is not None:
+        pred = pred.where(F.col("class").isin(classes))
     draws = spark.range(resamples * n).select(F.expr(f"int(id div {max(n, 1)})").alias("b"), F.expr(f"id % {max(n, 1)}").alias("d"))
     number = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("d").cast("string"))), 1, 12), 16, 10).cast("long") % max(n, 1)
     times = draws.select("b", number.alias("pos")).groupBy("b", "pos").agg(F.count("*").alias("times"))

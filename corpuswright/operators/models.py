@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .votes import corroboration, label_union
+
 
 def votes_model(train: DataFrame, rows: DataFrame, classes: list[str], kind: str = "logistic") -> DataFrame:
     """(contract, class, prob) for rows: one balanced model a class on `features` (an array); a constant class gives its constant.
@@ -73,27 +75,53 @@ def _posteriors(patterns: list[tuple[str, ...]], counts: np.ndarray, rounds: int
     return post
 
 
-def label_model(votes: DataFrame, threshold: float = 0.70) -> DataFrame:
-    """(contract, flaw, prob, label) from (contract, tool, flaw, vote): a model a class over patterns of votes.
+def label_model(votes: DataFrame, threshold: float = 0.70) -> tuple[DataFrame, DataFrame]:
+    """(labels, reliabilities): (contract, flaw, prob, label) and (flaw, tool, reliability), from (contract, tool, flaw, vote): a model a class over patterns of votes.
 
     The fit sees each distinct pattern and its count, at most 3 to the number of
-    tools; rows get their pattern's posterior by a join. With one tool active the
-    label is its vote, with none 0.
+    tools; rows get their pattern's posterior by a join. A tool without a row for a
+    contract abstains. A tool's reliability is how often it is right when it votes,
+    as fitted. With one tool active the label is its vote and it counts as reliable,
+    with none the label is 0.
     """
     spark = votes.sparkSession
-    pattern = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tool", F.col("vote").cast("int").alias("v")))), lambda x: x["v"].cast("string")), ",")
+    tools = [r.tool for r in votes.select("tool").distinct().orderBy("tool").collect()]
+    by_tool = [F.coalesce(F.max(F.when(F.col("tool") == t, F.col("vote").cast("int"))), F.lit(-1)).cast("string") for t in tools]
+    pattern = F.concat_ws(",", *by_tool)
     rows = votes.groupBy("contract", "flaw").agg(pattern.alias("pattern"))
     counts: dict[str, dict[str, int]] = {}
     for r in rows.groupBy("flaw", "pattern").agg(F.count("*").alias("n")).orderBy("flaw", "pattern").collect():
         counts.setdefault(r.flaw, {})[r.pattern] = r.n
-    table = []
+    table, reliable = [], []
     for flaw, found in counts.items():
         patterns = [tuple(p.split(",")) for p in found]
         active = [i for i in range(len(patterns[0])) if any(p[i] != "-1" for p in patterns)]
         if len(active) < 2:
-            probs = [float(active and p[active[0]] == "1") for p in patterns]
+            probs = [float(bool(active) and p[active[0]] == "1") for p in patterns]
+            reliable += [(flaw, tools[i], 1.0) for i in active]
         else:
-            probs = _posteriors([tuple(p[i] for i in active) for p in patterns], np.array(list(found.values()), float)).tolist()
+            n = np.array(list(found.values()), float)
+            post = _posteriors([tuple(p[i] for i in active) for p in patterns], n)
+            probs = post.tolist()
+            for i in active:
+                vote = np.array([int(p[i]) for p in patterns])
+                right = np.where(vote == 1, post, 1 - post)
+                reliable.append((flaw, tools[i], float((right * n)[vote >= 0].sum() / n[vote >= 0].sum())))
         table += [(flaw, p, float(x)) for p, x in zip(found, probs, strict=True)]
     known = spark.createDataFrame(table, "flaw string, pattern string, prob double")
-    return rows.join(F.broadcast(known), ["flaw", "pattern"]).select("contract", "flaw", "prob", (F.col("prob") >= threshold).cast("int").alias("label"))
+    labels = rows.join(known, ["flaw", "pattern"]).select("contract", "flaw", "prob", (F.col("prob") >= threshold).cast("int").alias("label"))
+    return labels, spark.createDataFrame(reliable, "flaw string, tool string, reliability double")
+
+
+def label_all(votes: DataFrame, method: str = "union", threshold: float = 0.70) -> tuple[DataFrame, DataFrame]:
+    """(labels, reliabilities) of all classes by one method: union (any tool) or model; another raises.
+
+    labels: (contract, flaw, prob, label); reliabilities: (flaw, tool, reliability), for
+    the union how often another tool fired too, null where none can.
+    """
+    if method == "union":
+        labels = label_union(votes).select("contract", "flaw", F.col("label").cast("double").alias("prob"), "label")
+        return labels, corroboration(votes).select("flaw", "tool", F.col("rate").alias("reliability"))
+    if method == "model":
+        return label_model(votes, threshold)
+    raise ValueError(f"unknown method {method!r}: union or model")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,3 +61,39 @@ def lookup(facts: DataFrame, model: str, split: str, metric: str = "macro_f1") -
     """One value of a fact, null-safe: None where there is none."""
     row = facts.where((F.col("model") == model) & (F.col("split") == split) & (F.col("metric") == metric)).select("value").first()
     return row.value if row else None
+
+
+def emit(artifacts: dict[str, Callable[[], DataFrame]], folder: str | None = None, skip: tuple[str, ...] = ()) -> list[tuple[str, str, int | None]]:
+    """(artifact, status, rows) of each report table, by name: written, skipped, or failed with the error's kind.
+
+    Tables are written as Parquet below the folder, if one is given, else only counted.
+    One that lacks its input never keeps the others from being made.
+    """
+    out: list[tuple[str, str, int | None]] = []
+    for name in sorted(artifacts):
+        if name in skip:
+            out.append((name, "skipped", None))
+            continue
+        try:
+            df = artifacts[name]()
+            if folder:
+                df.write.mode("overwrite").parquet(f"{folder}/{name}")
+                df = df.sparkSession.read.parquet(f"{folder}/{name}")
+            out.append((name, "written", df.count()))
+        except Exception as e:  # any missing input is a note here
+            out.append((name, f"failed: {type(e).__name__}", None))
+    return out
+
+
+def summary_lines(best: DataFrame, deltas: DataFrame, ensembles: DataFrame) -> DataFrame:
+    """(place, line): the results in three sentences: the best model, what the arm adds on average, what ensembles add.
+
+    best: (model, value); deltas: (delta); ensembles: (best_single, delta), of which the first by name counts.
+    """
+    three = lambda c: F.format_string("%.3f", c)
+    one = best.agg(F.max(F.struct("value", "model")).alias("x")).select(F.lit(0).alias("place"), F.coalesce(F.concat(F.lit("best: "), "x.model", F.lit(" "), three(F.col("x.value"))), F.lit("best: n/a")).alias("line"))
+    mean = F.avg("delta")
+    two = deltas.agg(F.when(mean.isNull(), "ablation incomplete").when(mean > 0, F.concat(F.lit("the arm helped by "), three(mean))).otherwise(F.concat(F.lit("the arm did not help: "), three(mean))).alias("line")).select(F.lit(1).alias("place"), "line")
+    x = F.min(F.struct("best_single", "delta")).alias("x")
+    verdict = F.when(F.col("x").isNull(), "no ensemble").otherwise(F.concat(F.when(F.col("x.delta") > 0, "the ensemble beats ").otherwise("the ensemble does not beat "), F.col("x.best_single"), F.lit(" by "), three(F.col("x.delta"))))
+    return one.unionByName(two).unionByName(ensembles.agg(x).select(F.lit(2).alias("place"), verdict.alias("line")))

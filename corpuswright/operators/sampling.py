@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import order_key
 from ..schema import QUOTAS
+from ..storage import durable
 
 
 def shuffled_limit(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
@@ -35,8 +36,8 @@ def quota_select(df: DataFrame, classes: list[str], n: int, id_col: str = "contr
     """(id): n ids, or all there are: each class's quota, scarcest first, then any others.
 
     df has a 0/1 column a class. A quota is its share of n rounded half to even, 1 at
-    least. Each class is a pass, for it depends on what the ones before chose. An
-    action a class counts what is chosen.
+    least. Each class is a pass, for it depends on what the ones before chose. What a
+    pass chooses is written to the shared folder, so no pass repeats another.
     """
     quotas = QUOTAS if quotas is None else quotas
     chosen, size = None, 0
@@ -44,9 +45,9 @@ def quota_select(df: DataFrame, classes: list[str], n: int, id_col: str = "contr
         take = min(max(1, round(quotas[c] * n)), n - size)
         if take <= 0:
             break
-        new = _take(df, chosen, F.col(c) == 1, take, id_col, seed)
+        new = durable(_take(df, chosen, F.col(c) == 1, take, id_col, seed))
         chosen = new if chosen is None else chosen.unionByName(new)
-        size = chosen.count()
+        size += new.count()
     if size < n:
         new = _take(df, chosen, F.lit(True), n - size, id_col, seed)
         chosen = new if chosen is None else chosen.unionByName(new)
@@ -57,7 +58,7 @@ def select_test(df: DataFrame, classes: list[str], target: int = 100, negative_r
     """(id): up to `target` new positives of each class, scarcest first, then negatives by ratio to the positives."""
     chosen = None
     for c, _ in _scarcity(df, classes):
-        new = _take(df, chosen, F.col(c) == 1, target, id_col, seed)
+        new = durable(_take(df, chosen, F.col(c) == 1, target, id_col, seed))
         chosen = new if chosen is None else chosen.unionByName(new)
     clean = ~F.greatest(*[F.col(c) for c in classes]).cast("boolean") if len(classes) > 1 else F.col(classes[0]) == 0
     return chosen.unionByName(_take(df, chosen, clean, round(negative_ratio * chosen.count()), id_col, seed))
@@ -73,7 +74,7 @@ def stratified_split(df: DataFrame, classes: list[str], test_share: float = 0.3,
     for c, positives in _scarcity(df, classes):
         if positives < 2:
             continue
-        new = _take(df, chosen, F.col(c) == 1, max(1, math.ceil(test_share * positives)), id_col, seed)
+        new = durable(_take(df, chosen, F.col(c) == 1, max(1, math.ceil(test_share * positives)), id_col, seed))
         chosen = new if chosen is None else chosen.unionByName(new)
     size = chosen.count() if chosen is not None else 0
     if size < target:
@@ -112,3 +113,15 @@ def positives_summary(df: DataFrame, classes: list[str], least: int = 60) -> Dat
     """(class, positives, short): positives of each class, and whether they fall short of `least`."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("class"), F.col(c).cast("long").alias("y")) for c in classes])).alias("x")).select("x.*")
     return long.groupBy("class").agg(F.sum("y").alias("positives")).withColumn("short", F.col("positives") < least)
+
+
+def select_experts(curated: DataFrame, classes: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows, report) of the expert set: every curated contract with its labels as columns, and the positives of each class.
+
+    curated: (contract_id, path, chash, y array). A contract without any class in scope
+    stays, as a negative.
+    """
+    rows = curated.select("contract_id", "path", "chash", *[F.get("y", F.lit(i)).cast("int").alias(c) for i, c in enumerate(classes)])
+    total = rows.agg(F.count("*").alias("contracts"), *[F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(c) for c in classes])
+    cells = F.array(*[F.struct(F.lit(c).alias("class"), F.col(c).alias("positives")) for c in classes])
+    return rows, total.select("contracts", F.explode(cells).alias("x")).select("contracts", "x.*")

@@ -116,3 +116,10 @@ def tool_predictions(contracts: DataFrame, votes: DataFrame, tools: list[str], f
     """(contract, tool, flaw, y): every mapped finding counts, whatever the coverage; not run is 0."""
     raw = vote_matrix(contracts, votes, votes.sparkSession.createDataFrame([], "tool string, flaw string"), tools, flaws, masked=False)
     return raw.select("contract", "tool", "flaw", (F.col("vote") == FIRED).cast("int").alias("y"))
+
+
+def observed_coverage(votes: DataFrame, coverage: DataFrame) -> DataFrame:
+    """(tool, flaw, declared, voted) for every pair that is declared or voted on: the two must agree."""
+    seen = votes.where(F.col("vote") != ABSTAIN).select("tool", "flaw").distinct().withColumn("voted", F.lit(True))
+    both = coverage.select("tool", "flaw").distinct().withColumn("declared", F.lit(True)).join(seen, ["tool", "flaw"], "full")
+    return both.select("tool", "flaw", F.coalesce("declared", F.lit(False)).alias("declared"), F.coalesce("voted", F.lit(False)).alias("voted"))

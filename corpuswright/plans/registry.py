@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus, evaluation, reporting, structure
+from . import corpus, evaluation, inventory, reporting, structure
 
-MODULES = (corpus, evaluation, structure, reporting)
+MODULES = (corpus, evaluation, structure, reporting, inventory)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -306,7 +306,7 @@ def ml_pca(spark, d):
 @query("ml_label_model")
 def ml_label_model(spark, d):
     """Posteriors of the tools' votes by estimated accuracies."""
-    return models.label_model(corpus.all_votes(spark, d))
+    return models.label_model(corpus.all_votes(spark, d))[0]
 
 
 @query("ml_wire")

@@ -88,13 +88,13 @@ def parse_tool_results(raw: DataFrame) -> DataFrame:
     return rows.groupBy("contract", "tool").agg(F.max_by("d.findings", "run").alias("findings"))
 
 
-def parse_legacy_result(raw: DataFrame) -> DataFrame:
-    """(contract, tool, idents) of (path, value): older field names; an empty field counts as missing."""
+def parse_legacy_result(raw: DataFrame, *carry: str) -> DataFrame:
+    """(carry, contract, tool, idents) of (path, value): older field names; an empty field counts as missing."""
     field = lambda *names: F.coalesce(*[F.nullif(F.get_json_object("value", f"$.{n}"), F.lit("")) for n in names])
     entries = F.from_json(F.coalesce(F.get_json_object("value", "$.findings"), F.get_json_object("value", "$.errors"), F.lit("[]")), "array<string>")
     own = lambda x, n: F.nullif(F.get_json_object(x, n), F.lit(""))
     ident = lambda x: F.when(x.startswith("{"), F.coalesce(own(x, "$.check"), own(x, "$.name"), own(x, "$['swc-id']"), own(x, "$.id"), F.lit(""))).otherwise(x)
-    return raw.select(F.coalesce(field("contract", "filename"), stem(F.col("path"))).alias("contract"), F.lower(F.coalesce(field("tool", "analysis"), F.lit(""))).alias("tool"), F.transform(entries, ident).alias("idents"))
+    return raw.select(*carry, F.coalesce(field("contract", "filename"), stem(F.col("path"))).alias("contract"), F.lower(F.coalesce(field("tool", "analysis"), F.lit(""))).alias("tool"), F.transform(entries, ident).alias("idents"))
 
 
 def parse_detectors(value: Column) -> Column:

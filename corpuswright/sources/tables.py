@@ -112,16 +112,22 @@ def wire_result(predictions: DataFrame) -> DataFrame:
     return rows.groupBy("source").agg(F.array_sort(F.collect_list(flaw)).alias("flaws"))
 
 
-def load_config(path: str) -> dict:
-    """A configuration file (JSON, or YAML if a parser is there), over the one it extends."""
-    with open(path, encoding="utf-8") as f:
-        text = f.read()
+def load_config(path: str, spark: SparkSession | None = None) -> dict:
+    """A configuration file (JSON, or YAML if a parser is there), over the one it extends.
+
+    The driver opens the path; with a session Spark reads it, from any store it reaches.
+    """
+    if spark is None:
+        with open(path, encoding="utf-8") as f:
+            text = f.read()
+    else:
+        text = spark.read.text(path, wholetext=True).first().value
     try:
         own = json.loads(text)
     except ValueError:
         own = _yaml(text)
     parent = own.pop("extends", None)
-    return (load_config(os.path.join(os.path.dirname(path), parent)) if parent else {}) | own
+    return (load_config(os.path.join(os.path.dirname(path), parent), spark) if parent else {}) | own
 
 
 def _yaml(text: str) -> dict:

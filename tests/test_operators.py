@@ -237,15 +237,17 @@ def test_ledger(spark):
     state = ledger.fold(tasks, log)
     assert {(r.cid, r.tool) for r in ledger.claim(state).collect()} == {(1, "mythril"), (2, "mythril"), (2, "slither")}
     assert ledger.enrol(spark.createDataFrame([(1,)], "cid int"), ["slither"], tasks).count() == 0
-    assert [r.tool for r in ledger.silent_tools(state).collect()] == ["mythril"]
+    assert [r.cid for r in ledger.unlabellable(state).collect()] == [2]
+    assert ledger.totals(state).first().asDict() == {"contracts": 2, "tasks_total": 4, "tasks_done": 1, "unlabellable_contracts": 1, "tool_seconds_total": 5.0}
+    assert ledger.totals(state.limit(0)).first().tasks_total == 0
     assert {(r.tool, r.status): r.n for r in ledger.summary(state).collect()}["all", "all"] == 4
 
 
 def test_label_model(spark):
     v = _votes(spark, {"a": [1, 1, 0, 0, 0, 1] * 5, "b": [1, 1, 0, 0, 0, 1] * 5, "c": [1, 0, 0, 0, 1, 1] * 5})
-    got = {int(r.contract) % 6: r.label for r in models.label_model(v).collect()}
+    got = {int(r.contract) % 6: r.label for r in models.label_model(v)[0].collect()}
     assert [got[i] for i in range(6)] == [1, 1, 0, 0, 0, 1]
-    assert [r.label for r in models.label_model(_votes(spark, {"a": [1, 0], "b": [-1, -1]})).orderBy("contract").collect()] == [1, 0]
+    assert [r.label for r in models.label_model(_votes(spark, {"a": [1, 0], "b": [-1, -1]}))[0].orderBy("contract").collect()] == [1, 0]
 
 
 def test_config_and_wire(spark, tmp_path):
