@@ -328,9 +328,10 @@ def _small_links(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.nd
 
 
 def _compared(keyed: DataFrame, words: int, radius: int) -> DataFrame:
-    """Links (a, b) of nodes that share a key and lie within the radius, from (t, key, node, fp0 ..).
+    """Links (a, b) of the labels of nodes that share a key and lie within the radius, from (t, key, node, label, fp0 ..).
 
-    A key with more than CHUNK nodes is cut into chunks by hash, and every pair of
+    Nodes of one label are known to belong together: a group of theirs alone is not
+    compared, and no link is made of them. A key with more than CHUNK nodes is cut into chunks by hash, and every pair of
     chunks is a group of its own, so nothing is dropped and no group grows with the
     data. Groups are compared bit-sliced; each task returns links that span its classes.
     """
@@ -341,7 +342,7 @@ def _compared(keyed: DataFrame, words: int, radius: int) -> DataFrame:
     dealt = keyed.join(sizes, ["t", "key"]).withColumn("c", F.ceil(F.col("m") / CHUNK).cast("int"))
     dealt = dealt.withColumn("mine", F.when(F.col("c") > 1, F.pmod(F.xxhash64("node"), F.col("c"))).otherwise(0).cast("int"))
     other = F.when(F.col("c") > 1, F.sequence(F.lit(0), F.col("c") - 1)).otherwise(F.array(F.lit(0)))
-    dealt = dealt.withColumn("o", F.explode(other)).select("t", "key", F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j"), "mine", "node", *names)
+    dealt = dealt.withColumn("o", F.explode(other)).select("t", "key", F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j"), "mine", "node", "label", *names)
     dealt = dealt.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j", "mine", "node")
 
     def compare(batches):
@@ -370,9 +371,11 @@ def _compared(keyed: DataFrame, words: int, radius: int) -> DataFrame:
         cut = np.concatenate([[True], (rows[:4, 1:] != rows[:4, :-1]).any(axis=0)])
         group = np.cumsum(cut) - 1
         size = np.bincount(group)
-        fp, label = np.ascontiguousarray(rows[6:].T).view(np.uint64), rows[5]
+        fp, label = np.ascontiguousarray(rows[7:].T).view(np.uint64), rows[6]
         one = rows[2] == rows[3]
-        small = np.flatnonzero((size[group] <= _LANES) & one)
+        starts = np.flatnonzero(cut)
+        open_ = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
+        small = np.flatnonzero((size[group] <= _LANES) & one & open_[group])
         a, b = [], []
         g = group[small]
         borders = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]])) if len(g) else np.zeros(1, int)
@@ -381,7 +384,7 @@ def _compared(keyed: DataFrame, words: int, radius: int) -> DataFrame:
             x, y = _small_links(fp[some], group[some], radius)
             a.append(label[some[x]])
             b.append(label[some[y]])
-        for g in np.flatnonzero((size > _LANES) | ~one[np.flatnonzero(cut)]):
+        for g in np.flatnonzero(((size > _LANES) | ~one[starts]) & open_):
             at = np.arange(*np.searchsorted(group, [g, g + 1]))
             left = right = at
             if not one[at[0]]:
@@ -412,7 +415,7 @@ def fingerprint_links(fps: DataFrame, radius: int = 2) -> DataFrame:
     edges = [64 * i // n for i in range(n + 1)]
     masks = [sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in pair) for pair in combinations(range(n), 2)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = fps.select(F.posexplode(F.array(*[F.col("fp0").bitwiseAND(F.lit(m)) for m in signed])).alias("t", "key"), F.col("fp0").alias("node"), "fp0")
+    keyed = fps.select(F.posexplode(F.array(*[F.col("fp0").bitwiseAND(F.lit(m)) for m in signed])).alias("t", "key"), F.col("fp0").alias("node"), F.col("fp0").alias("label"), "fp0")
     return _compared(keyed, 1, radius)
 
 
@@ -429,12 +432,14 @@ def keys_for(rows: int, similarity: float = 0.8, recall: float = 0.99) -> tuple[
     return bits, math.ceil(math.log(1 - recall) / math.log1p(-(p**bits)))
 
 
-def similar_classes(fps: DataFrame, rows: int, radius: int = 29, words: int = 2, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
-    """(node, root) of (node, fp0 .. ) that have any link: classes of fingerprints within `radius` of 64 x words bits.
+def similar_classes(fps: DataFrame, rows: int, radius: int = 29, words: int = 2, similarity: float = 0.8, recall: float = 0.99, first: int = 4) -> DataFrame:
+    """(node, root) of (node, fp0 .. ): classes of fingerprints within `radius` of 64 x words bits.
 
     A radius as wide as a similarity of 0.8 needs is beyond the pigeonhole. Keys are
     samples of the fingerprint's bits, dealt by a fixed seed; keys_for() says how
-    many of how many bits. All keys see all nodes.
+    many of how many bits. The `first` keys make classes; the others link only
+    different ones, so a large group isn't linked anew by every key. All keys see
+    all nodes.
     """
     key_bits, tables = keys_for(rows, similarity, recall)
     bits = np.random.default_rng(20240229)
@@ -443,8 +448,13 @@ def similar_classes(fps: DataFrame, rows: int, radius: int = 29, words: int = 2,
         chosen = bits.choice(64 * words, key_bits, replace=False)
         masks = [sum(1 << int(b % 64) for b in chosen if b // 64 == w) for w in range(words)]
         keys.append(F.xxhash64(*[F.col(f"fp{w}").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for w, m in enumerate(masks)]))
-    keyed = fps.select(F.posexplode(F.array(*keys)).alias("t", "key"), "node", *[f"fp{w}" for w in range(words)])
-    return connected_components(_compared(keyed, words, radius)).withColumnRenamed("component", "root")
+    names = [f"fp{w}" for w in range(words)]
+    classes = fps.select("node", *names, F.col("node").alias("label"))
+    for some in (keys[:first], keys[first:]):
+        keyed = classes.select(F.posexplode(F.array(*some)).alias("t", "key"), "node", "label", *names)
+        found = connected_components(_compared(keyed, words, radius)).select(F.col("node").alias("label"), "component")
+        classes = durable(classes.join(found, "label", "left").select("node", *names, F.coalesce("component", "label").alias("label")))
+    return classes.select("node", F.col("label").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, shingle: int = 3) -> DataFrame:
@@ -491,8 +501,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     choice = F.struct(F.col("id").isNull().alias("none"), "id", "own", "t")
     nodes = durable(rows.groupBy("node").agg(F.min(choice).alias("least"), F.min(F.struct(*fps)).alias("fp")).select("node", "least", "fp.*"))
     proposed = nodes.select("node", "least").join(similar_classes(nodes.select("node", *fps), nodes.count(), radius, words), "node")
-    proposed = durable(proposed)
-    many = proposed.groupBy("root").agg(F.ceil(F.count("*") / SET_CHUNK).cast("int").alias("c"))
+    many = proposed.groupBy("root").agg(F.ceil(F.count("*") / SET_CHUNK).cast("int").alias("c"), F.count("*").alias("m")).where("m > 1")
     asked = durable(proposed.join(many, "root").select("root", "c", F.pmod(F.xxhash64("node"), F.col("c")).cast("int").alias("mine"), "least.own", "least.t", "node"))
     sets = _sets(narrow, shingle, _maybe(asked, "t"))
     linked = connected_components(verified_links(sets.join(asked, ["own", "t"])))
