@@ -88,3 +88,40 @@ def plan_splits(pool: DataFrame, frozen: DataFrame, validation: DataFrame) -> Da
     val = validation.select("contract_id").distinct().withColumn("_val", F.lit(True))
     rest = free.join(val, "contract_id", "left").withColumn("split", F.when(F.col("_val"), "val").otherwise("train"))
     return rest.select("chash", "contract_id", "split").unionByName(frozen.select("chash", "contract_id", F.lit("test").alias("split")))
+
+
+#: Reserved items of at most so many bytes in all may travel to the texts as one literal.
+MOST_ITEM_BYTES = 8 << 20
+
+
+def holders(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_col: str = "item") -> DataFrame:
+    """(id, item id) of the texts that hold a reserved item whole, as a run of characters.
+
+    An item of five words or more is met at three words inside it, for its ends may lie
+    within a text's words; the item then decides. Shorter items have no such words: they
+    are looked for where the texts are read. Items are few as a rule: their keys and
+    short items travel to the texts, once their size is checked. Larger sets of keys
+    meet the texts' keys by shuffle; larger sets of short items raise.
+    """
+    probes = items.where(F.col(item_col).isNotNull() & (F.col(item_col) != "")).select(F.col(item_id).alias("_item_id"), F.col(item_col).alias("_item"), X.tokens(F.col(item_col)).alias("_words"))
+    size = probes.agg(F.sum(F.when(F.size("_words") < 5, F.octet_length("_item"))).alias("short"), F.count_if(F.size("_words") >= 5).alias("keyed")).first()
+    key = lambda w, i: F.xxhash64(*[F.get(w, i + k) for k in range(3)])
+    keyed = probes.where(F.size("_words") >= 5).select("_item_id", "_item", key(F.col("_words"), F.lit(1)).alias("_key"))
+    # three words a text, at every place, that might be an item's
+    grams = docs.select(F.col(id_col), F.col(text_col), X.tokens(F.col(text_col)).alias("_w")).where(F.size("_w") > 2)
+    every = F.transform(F.sequence(F.lit(0), F.size("_w") - 3), lambda i: key(F.col("_w"), i))
+    if size.keyed * 8 <= MOST_ITEM_BYTES // 64:
+        known = [r[0] for r in keyed.select("_key").distinct().collect()]
+        literal = F.split(F.lit(",".join(map(str, known))), ",").cast("array<bigint>")
+        met = grams.select(id_col, text_col, F.explode(F.array_intersect(every, literal)).alias("_key")) if known else grams.select(id_col, text_col, F.lit(0).cast("long").alias("_key")).limit(0)
+        found = met.join(F.broadcast(keyed), "_key").where(F.contains(text_col, "_item")).select(id_col, F.col("_item_id").alias(item_id))
+    else:
+        pairs = grams.select(id_col, F.explode(F.array_distinct(every)).alias("_key")).join(keyed, "_key").distinct()
+        found = pairs.join(docs.select(id_col, text_col), id_col).where(F.contains(text_col, "_item")).select(id_col, F.col("_item_id").alias(item_id))
+    if not size.short:
+        return found
+    if size.short > MOST_ITEM_BYTES:
+        raise ValueError(f"short items of {size.short} bytes; at most {MOST_ITEM_BYTES} can travel to the texts: look by parts of the table")
+    short = F.broadcast(probes.where(F.size("_words") < 5).agg(F.collect_list(F.struct("_item_id", "_item")).alias("_short")))
+    held = F.filter("_short", lambda x: F.contains(F.col(text_col), x["_item"]))
+    return found.unionByName(docs.join(short).select(id_col, F.explode(held).alias("_x")).select(id_col, F.col("_x._item_id").alias(item_id)))

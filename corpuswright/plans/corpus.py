@@ -75,17 +75,8 @@ def leak_report(spark, d):
 
 @query("leak_benchmark", "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def leak_benchmark(spark, d):
-    """Documents that hold a reserved text whole: they meet at its first five words, then the text decides."""
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
-    bench = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.col("text").alias("item"))
-    bench = bench.withColumn("words", X.tokens(F.col("item")))
-    # inner words only: the text's ends may lie within a document's words
-    key = lambda w, i: F.xxhash64(*[F.get(w, i + k) for k in range(3)])
-    probes = bench.select("item_id", "item", key(F.col("words"), F.lit(1)).alias("key"))
-    grams = docs.select("doc_id", X.tokens(F.col("text")).alias("w")).where("size(w) > 2")
-    grams = grams.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: key(F.col("w"), i)))).alias("key"))
-    pairs = grams.join(probes, "key").select("doc_id", "item_id", "item").distinct()
-    return pairs.join(docs, "doc_id").where(F.contains("text", "item")).select("doc_id", "item_id")
+    return firewall.holders(docs, spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.col("text").alias("item")))
 
 
 @query("reserved_hashes", with_("SELECT DISTINCT chash FROM h WHERE doc_id % 7 = 0 OR doc_id % 11 = 0", c=fx.CONTRACTS, h=_HASHED))
@@ -132,7 +123,10 @@ def signal_detect(spark, d):
     return contracts(spark, d).select("contract_id", F.length("source").cast("long").alias("n"), F.array_join(X.detect_signals(F.col("source")), ",").alias("signals"))
 
 
-@query("pragma_versions", with_("SELECT contract_id, CASE doc_id % 5 WHEN 0 THEN '0.4' WHEN 1 THEN '0.4' WHEN 2 THEN '0.5' WHEN 3 THEN '0.8' END AS minor, CASE doc_id % 5 WHEN 1 THEN '0.4.25' WHEN 3 THEN '0.8.19' END AS exact, CASE doc_id % 5 WHEN 0 THEN '/b/0.4.26' WHEN 1 THEN '/b/0.4.25' WHEN 2 THEN '/b/0.5.17' END AS compiler FROM c", c=fx.CONTRACTS))
+_PIN = r"SELECT contract_id, nullif(regexp_extract(spec, '(\d+\.\d+)\.\d+', 1), '') AS minor, nullif(regexp_extract(trim(regexp_replace(spec, '\s', ' ', 'g')), '^=?\s*(\d+\.\d+\.\d+)$', 1), '') AS exact FROM (SELECT contract_id, regexp_extract(substr(source, 1, 4096), 'pragma\s+solidity\s+([^;]+);', 1) AS spec FROM c)"
+
+
+@query("pragma_versions", with_("SELECT contract_id, minor, exact, CASE WHEN exact IS NOT NULL THEN CASE exact WHEN '0.4.25' THEN '/b/0.4.25' END ELSE CASE minor WHEN '0.4' THEN '/b/0.4.26' WHEN '0.5' THEN '/b/0.5.17' END END AS compiler FROM p", c=fx.CONTRACTS, p=_PIN))
 def pragma_versions(spark, d):
     by_minor = F.create_map(F.lit("0.4"), F.lit("/b/0.4.26"), F.lit("0.5"), F.lit("/b/0.5.17"))
     exact = F.create_map(F.lit("0.4.25"), F.lit("/b/0.4.25"))
@@ -148,7 +142,7 @@ def pragma_newest(spark, d):
     return files.newest_by_minor(installed)
 
 
-@query("pin_counts", with_("SELECT CASE doc_id % 5 WHEN 1 THEN '0.4.25' ELSE '0.8.19' END AS pin, count(*) AS n FROM c WHERE doc_id % 5 = 3 GROUP BY ALL", c=fx.CONTRACTS))
+@query("pin_counts", with_("SELECT exact AS pin, count(*) AS n FROM p WHERE exact IS NOT NULL AND exact <> '0.4.25' GROUP BY ALL", c=fx.CONTRACTS, p=_PIN))
 def pin_counts(spark, d):
     """Pinned versions that aren't installed, and how many sources pin them."""
     installed = spark.createDataFrame([("0.4.25",)], "pin string")

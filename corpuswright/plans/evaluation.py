@@ -107,18 +107,18 @@ def ensemble_max(spark, d):
 @query("bootstrap_interval", with_(
     f"""SELECT class, round(quantile_cont(f1, 0.025), 6) AS low, round(quantile_cont(f1, 0.975), 6) AS high FROM (SELECT * FROM f UNION ALL SELECT b, 'macro' AS class, avg(f1) FROM f GROUP BY b) GROUP BY class""",
     t=fx.TEN, n="SELECT contract, row_number() OVER (ORDER BY contract::BIGINT) - 1 AS pos FROM (SELECT DISTINCT contract FROM t)",
-    dr="SELECT b, ('0x' || substr(md5('42:' || b || ':' || d), 1, 12))::BIGINT % (SELECT count(*) FROM n) AS pos FROM range(60) x(b), (SELECT unnest(range((SELECT count(*) FROM n))) AS d)",
+    dr="SELECT b, ('0x' || substr(md5('42:' || b || ':' || d), 1, 12))::BIGINT % (SELECT count(*) FROM n) AS pos FROM range(200) x(b), (SELECT unnest(range((SELECT count(*) FROM n))) AS d)",
     f=f"SELECT b, class, {_F1} AS f1 FROM (SELECT b, class, {_CONF} FROM dr JOIN n USING (pos) JOIN t USING (contract) GROUP BY ALL)"))
 def bootstrap_interval(spark, d):
-    """60 replicates over the vectors as contracts; numbers come from ids, which here are 0 .. n - 1."""
+    """200 replicates over the vectors as contracts; numbers come from ids, which here are 0 .. n - 1."""
     ten = run(spark, d, fx.TEN).withColumn("pos", F.col("contract").cast("long"))
     n = spark.read.parquet(f"{d}/embeddings.parquet").count()
-    return rounded(metrics.bootstrap(ten, n, resamples=60))
+    return rounded(metrics.bootstrap(ten, n, resamples=200))
 
 
-@query("bootstrap_interval_full", QUERIES["bootstrap_interval"][1].replace("range(60)", "range(2000)"))
+@query("bootstrap_interval_full", QUERIES["bootstrap_interval"][1].replace("range(200)", "range(2000)"))
 def bootstrap_interval_full(spark, d):
-    """The operator's own 2000 replicates; the SQL of bootstrap_interval draws 60."""
+    """The operator's own 2000 replicates; bootstrap_interval draws 200."""
     ten = run(spark, d, fx.TEN).withColumn("pos", F.col("contract").cast("long"))
     return rounded(metrics.bootstrap(ten, spark.read.parquet(f"{d}/embeddings.parquet").count()))
 

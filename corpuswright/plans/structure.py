@@ -181,15 +181,8 @@ def graph_mean_neighbours(spark, d):
 
 @query("graph_gcn", with_(
     "SELECT graph_id, ev.dst AS nid, round(sum((length(src) * 3 % 7)::DOUBLE / sqrt(a.k)) / sqrt(any_value(b.k)), 6) AS value FROM ev JOIN dg a USING (graph_id) JOIN dg b USING (graph_id) WHERE a.nid = src AND b.nid = ev.dst GROUP BY ALL",
-    e=fx.ORDER_EDGES, n=_N, ev="SELECT graph_id, src, dst FROM e WHERE graph_id < 5 UNION ALL SELECT graph_id, nid, nid FROM n WHERE graph_id < 5", dg="SELECT graph_id, dst AS nid, count(*) AS k FROM ev GROUP BY ALL"))
+    e=fx.ORDER_EDGES, n=_N, ev="SELECT graph_id, src, dst FROM e UNION ALL SELECT graph_id, nid, nid FROM n", dg="SELECT graph_id, dst AS nid, count(*) AS k FROM ev GROUP BY ALL"))
 def graph_gcn(spark, d):
-    n, e = _scored(spark, d)
-    return rounded(graph.gcn_aggregate(n.where("graph_id < 5"), e.where("graph_id < 5")))
-
-
-@query("graph_gcn_all", QUERIES["graph_gcn"][1].replace(" WHERE graph_id < 5", ""))
-def graph_gcn_all(spark, d):
-    """Over all graphs; the SQL of graph_gcn takes the first five."""
     return rounded(graph.gcn_aggregate(*_scored(spark, d)))
 
 
@@ -230,7 +223,7 @@ def state(spark, d):
     return ledger.fold(tasks, log(spark, d))
 
 
-_TASKS = "SELECT cid, tool FROM range(200) r(cid), (VALUES ('slither'), ('mythril'), ('securify'), ('osiris')) x(tool)"
+_TASKS = "SELECT cid, tool FROM (SELECT cid FROM range(200) r(cid) UNION SELECT user_id FROM events WHERE user_id IS NOT NULL), (VALUES ('slither'), ('mythril'), ('securify'), ('osiris')) x(tool)"
 _STATE = "SELECT cid, tool, coalesce(st, 'pending') AS status, coalesce(n, 0) AS attempts, sec AS seconds FROM k LEFT JOIN (SELECT cid, tool, count(*) AS n, arg_max(status, struct_pack(a := ts, b := seq)) AS st, arg_max(seconds, struct_pack(a := ts, b := seq)) AS sec FROM g GROUP BY ALL) USING (cid, tool)"
 
 

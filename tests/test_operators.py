@@ -160,11 +160,6 @@ def test_thresholds(spark):
     assert t == {"a": (0.35, 1.0), "b": (0.05, 0.0)}  # ties go low, and a class without positives too
 
 
-def test_bootstrap_is_empty_for_nothing(spark):
-    empty = spark.createDataFrame([], "pos long, class string, y_true int, y_pred int")
-    assert metrics.bootstrap(empty, 0).collect() == []
-
-
 def test_best_epoch(spark):
     h = spark.createDataFrame([(1, e, v) for e, v in enumerate([0.1, 0.5, 0.4, 0.5, 0.3, 0.9])], "run int, epoch int, value double")
     assert tuple(metrics.best_epoch(h, 3).first()) == (1, 1, 0.5, 4)
@@ -286,7 +281,7 @@ def test_gcn_query_over_all_graphs_against_brute_force(spark, tmp_path):
     want = defaultdict(float)
     for g, a, b in every:
         want[g, b] += len(a) * 3 % 7 / math.sqrt(deg[g, a] * deg[g, b])
-    got = {(r.graph_id, r.nid): r.value for r in structure.graph_gcn_all(spark, str(tmp_path)).collect()}
+    got = {(r.graph_id, r.nid): r.value for r in structure.graph_gcn(spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys() and {g for g, _ in got} == set(range(50))
     assert all(math.isclose(got[k], v, abs_tol=2e-6) for k, v in want.items())
 
@@ -310,3 +305,61 @@ def test_bootstrap_query_of_2000_replicates_against_brute_force(spark, tmp_path)
     assert len(got) == 11
     for k, name in enumerate([*(f"k{i}" for i in range(10)), "macro"]):
         assert np.allclose(got[name], (low[k], high[k]), atol=2e-6)
+
+
+def test_holders_of_short_and_long_items(spark):
+    docs = spark.createDataFrame([(1, "xone two three four fivey"), (2, "a red fox"), (3, "ared foxb"), (4, None), (5, "one two three four five")], "doc_id int, text string")
+    items = spark.createDataFrame([(10, "one two three four five"), (11, "red fox"), (12, ""), (13, None), (14, "fox")], "item_id int, item string")
+    got = {tuple(r) for r in firewall.holders(docs, items).collect()}
+    assert got == {(1, 10), (5, 10), (2, 11), (3, 11), (2, 14), (3, 14)}
+    assert firewall.holders(docs, items.limit(0)).count() == 0
+
+
+def test_label_model_against_brute_force(spark):
+    """Expectation maximisation over rows one by one, with a tool that lacks rows."""
+    import random
+
+    rng = random.Random(3)
+    truth = [rng.random() < 0.4 for _ in range(120)]
+    right = {"a": 0.9, "b": 0.8, "c": 0.7}
+    cells = {(i, t): int(y if rng.random() < right[t] else not y) for i, y in enumerate(truth) for t in right if rng.random() < 0.8}
+    rows = [(str(i), t, "dos", v) for (i, t), v in cells.items()]
+    labels, reliable = models.label_model(spark.createDataFrame(rows, "contract string, tool string, flaw string, vote int"))
+    ids = sorted({i for i, _ in cells})
+    prior, acc, post = 0.5, {(t, y): 0.9 for t in right for y in (0, 1)}, {}
+    for _ in range(200):
+        for i in ids:
+            like = {y: prior if y else 1 - prior for y in (0, 1)}
+            for t in right:
+                if (i, t) in cells:
+                    for y in (0, 1):
+                        like[y] *= acc[t, y] if cells[i, t] == y else 1 - acc[t, y]
+            post[i] = like[1] / (like[0] + like[1])
+        prior = min(max(sum(post.values()) / len(ids), 1e-3), 1 - 1e-3)
+        for t in right:
+            for y in (0, 1):
+                w = {i: post[i] if y else 1 - post[i] for i in ids if (i, t) in cells}
+                acc[t, y] = min(max(sum(x for i, x in w.items() if cells[i, t] == y) / sum(w.values()), 0.05), 0.95)
+    for r in labels.collect():
+        assert abs(r.prob - post[int(r.contract)]) < 1e-4 and r.label == (r.prob >= 0.7)
+    for r in reliable.collect():
+        own = [post[i] if v else 1 - post[i] for (i, t), v in cells.items() if t == r.tool]
+        assert abs(r.reliability - sum(own) / len(own)) < 1e-4
+    with pytest.raises(ValueError, match="unknown method"):
+        models.label_all(labels, "vote")
+
+
+def test_pca_against_brute_force(spark):
+    import numpy as np
+
+    x = np.random.default_rng(1).normal(size=(40, 6)) * [5, 3, 2, 1, 1, 1]
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "vec_id int, v array<double>")
+    got = np.array([r.reduced for r in models.pca(df, df, "v", 3).orderBy("vec_id").collect()])
+    _, _, vt = np.linalg.svd(x - x.mean(axis=0))
+    want = (x - x.mean(axis=0)) @ vt[:3].T
+    assert np.allclose(np.abs(got), np.abs(want), atol=1e-6)
+
+
+def test_bootstrap_of_nothing(spark):
+    none = spark.createDataFrame([], "pos long, class string, y_true int, y_pred int")
+    assert sorted(map(tuple, metrics.bootstrap(none, 0, classes=["x"]).collect())) == [("macro", 0.0, 0.0), ("x", 0.0, 0.0)]
