@@ -4,11 +4,12 @@ For every prefix of a piece, its BPE encoding ends in one token, the last token
 that prefix. The last token of prefix i is the unique vocabulary token t that ends
 at i such that t may follow the last token of the prefix before it: side by side
 the two encode to themselves, which a pair test tells by undoing merges. A suffix
-automaton over the vocabulary (with failure links) yields all tokens that end at
-each place. Back-pointers from the last place give the ids.
+automaton of the vocabulary yields all tokens that end at each place.
+Back-pointers from the last place give the ids.
 
 The vocabulary must be one that merges have trained: every merged token is then
-its own encoding.
+its own encoding. Its file must ask for this family's byte-level splitting and
+for no normalizer, or it is refused.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import fresh
+
 #: Fixed value: the published split pattern of this tokenizer family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Fixed value: the white space of that pattern. Its pieces never run from other characters into white space.
@@ -53,13 +56,83 @@ class _Remembered(dict):
         return got
 
 
+class SuffixAutomaton:
+    """The suffix automaton of a set of words: a state a class of substrings that end at the same places.
+
+    next_[state] leads on by a byte; link[state] is the state of the longest suffix
+    in another class; words[state] are (length, id), longest first, of the words in the
+    class and of those that are suffixes of its shortest substring.
+    """
+
+    def __init__(self, words: dict[bytes, int]):
+        self.next_: list[dict[int, int]] = [{}]
+        self.link, self.length = [-1], [0]
+        for w in sorted(words):
+            last = 0
+            for c in w:
+                last = self._extended(last, c)
+        own: list[tuple[tuple[int, int], ...]] = [()] * len(self.link)
+        for w, i in words.items():
+            at = 0
+            for c in w:
+                at = self.next_[at][c]
+            own[at] = tuple(sorted((*own[at], (len(w), i)), reverse=True))
+        self.words: list[tuple[tuple[int, int], ...]] = [()] * len(self.link)
+        for s in sorted(range(1, len(self.link)), key=self.length.__getitem__):
+            parent = self.words[self.link[s]]
+            self.words[s] = own[s] + parent if own[s] else parent
+
+    def _new(self, length: int, edges: dict[int, int], link: int) -> int:
+        self.next_.append(edges)
+        self.link.append(link)
+        self.length.append(length)
+        return len(self.link) - 1
+
+    def _extended(self, last: int, c: int) -> int:
+        """The state of the words read so far, with one more byte."""
+        q = self.next_[last].get(c)
+        if q is not None:
+            return q if self.length[q] == self.length[last] + 1 else self._split(last, c, q)
+        new, p = self._new(self.length[last] + 1, {}, 0), last
+        while p >= 0 and c not in self.next_[p]:
+            self.next_[p][c] = new
+            p = self.link[p]
+        if p >= 0:
+            q = self.next_[p][c]
+            self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, c, q)
+        return new
+
+    def _split(self, p: int, c: int, q: int) -> int:
+        """Parts from q's class the substrings that p leads to."""
+        copy = self._new(self.length[p] + 1, dict(self.next_[q]), self.link[q])
+        self.link[q] = copy
+        while p >= 0 and self.next_[p].get(c) == q:
+            self.next_[p][c] = copy
+            p = self.link[p]
+        return copy
+
+    def ends(self, text: bytes):
+        """For each place of the text, (length, id) of the words that end there, longest first."""
+        state, matched = 0, 0
+        for c in text:
+            while state and c not in self.next_[state]:
+                state = self.link[state]
+                matched = self.length[state]
+            state = self.next_[state].get(c, 0)
+            matched = matched + 1 if state else 0
+            yield [x for x in self.words[state] if x[0] <= matched]
+
+
+#: Pairs of tokens whose test is remembered, at most.
+_MOST_PAIRS = 2_000_000
+
+
 class ByteBPE:
     """Encoder and decoder of a vocabulary file's text; remembers some `most` pieces' ids."""
 
     def __init__(self, vocabulary: str, most: int = 150_000):
-        import ahocorasick
-
         spec = json.loads(vocabulary)
+        self._check(spec)
         back = {c: b for b, c in byte_letters().items()}
         to_bytes = lambda s: bytes(back[c] for c in s)
         model = spec["model"]
@@ -77,17 +150,25 @@ class ByteBPE:
             self.merge[pair] = rank
             if whole not in self.parts:
                 self.parts[whole], self.rank[whole] = pair, rank
-        self.automaton = ahocorasick.Automaton()
-        for token, i in id_of.items():
-            if len(token) == 1 or i in self.parts:
-                self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
-        self.automaton.make_automaton()
+        self.automaton = SuffixAutomaton({t: i for t, i in id_of.items() if len(t) == 1 or i in self.parts})
         self.split = regex.compile(PATTERN)
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.name_bytes = {str(i): b for i, b in self.bytes_of.items()}
         self.chunks = _Remembered(self._chunk, most)
         self.pieces = _Remembered(self._piece, most // 2)
-        self.after: list[dict[int, bool]] = [{} for _ in range(max(id_of.values()) + 1)]
+        self.known: dict[int, bool] = {}
+        self.n_ids = max(id_of.values()) + 1
+
+    @staticmethod
+    def _check(spec: dict) -> None:
+        """Raises unless the file asks for what is built here."""
+        split = spec.get("pre_tokenizer") or {}
+        steps = split.get("pretokenizers", [split])
+        own = [x for x in steps if x.get("type") == "ByteLevel" and x.get("use_regex", True) and not x.get("add_prefix_space")]
+        if spec["model"].get("type", "BPE") != "BPE" or spec.get("normalizer") or len(steps) != 1 or not own:
+            raise ValueError("this vocabulary asks for another normalizer, split or model than byte-level BPE with the published pattern")
+        if any(spec["model"].get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback")):
+            raise ValueError("this vocabulary asks for an option of BPE that is not built")
 
     def fits(self, left: int, right: int) -> bool:
         """Whether two tokens stay side by side: no merge across their border comes first.
@@ -111,19 +192,30 @@ class ByteBPE:
         """Ids of one piece of the split text."""
         n = len(piece)
         last, size = [0] * n, [0] * n
-        after, fits = self.after, self.fits
-        for end, (token, length) in self.automaton.iter(piece.decode("latin-1")):
-            if size[end]:  # the prefix has its last token: there is only one
-                continue
-            if end >= length:
-                left = last[end - length]
-                known = after[left]
-                if token not in known:
-                    known[token] = fits(left, token)
-                if not known[token]:
+        auto, known, fits, n_ids = self.automaton, self.known, self.fits, self.n_ids
+        next_, link, length, words = auto.next_, auto.link, auto.length, auto.words
+        state, matched, end = 0, 0, 0
+        for c in piece:
+            while c not in next_[state]:  # every byte is a token, so the first state has all
+                state = link[state]
+                matched = length[state]
+            state = next_[state][c]
+            matched += 1
+            for long, token in words[state]:
+                if long > matched:
                     continue
-            last[end] = token
-            size[end] = length
+                if long <= end:
+                    pair = last[end - long] * n_ids + token
+                    ok = known.get(pair)
+                    if ok is None:
+                        if len(known) >= _MOST_PAIRS:
+                            known.clear()
+                        known[pair] = ok = fits(last[end - long], token)
+                    if not ok:
+                        continue
+                last[end], size[end] = token, long  # the prefix has one last token
+                break
+            end += 1
         out, at = [], n - 1
         while at >= 0:
             out.append(last[at])
@@ -169,6 +261,18 @@ class ByteBPE:
             return "".join(out) + b"".join(run).decode(errors="replace")
 
 
+class Encoder:
+    """A vocabulary on its way to the workers: each builds its tables once, and drops them with the broadcast."""
+
+    def __init__(self, vocabulary: str):
+        self.vocabulary, self.built = vocabulary, None
+
+    def get(self) -> ByteBPE:
+        if self.built is None:
+            self.built = ByteBPE(self.vocabulary)
+        return self.built
+
+
 def _read_driver_file(path: str) -> str:
     with open(path, encoding="utf-8") as f:
         return f.read()
@@ -188,19 +292,20 @@ def encode(docs: DataFrame, vocabulary_path: str, text_col: str = "text", ids: b
 
     The vocabulary file, of a fixed size, is read on the driver and sent to the
     workers. Each text is encoded whole in the task that reads it: no shuffle. A
-    null or empty text has no ids. Columns that had these names are replaced.
+    null or empty text has no ids. Columns that had these names are replaced. A
+    vocabulary that asks for another split or a normalizer raises.
     """
     import numpy as np
     import pyarrow as pa
 
-    sent = docs.sparkSession.sparkContext.broadcast(_read_driver_file(vocabulary_path))
+    sent = docs.sparkSession.sparkContext.broadcast(Encoder(_read_driver_file(vocabulary_path)))
     new = {"n_tokens": "long"} | ({"token_ids": "array<int>"} if ids else {}) | ({"ids_sha256": "string", "decoded_sha256": "string"} if digests else {})
     docs = docs.drop(*(c for c in new if c != text_col))
     schema = _extended(docs.schema, **new)
     names = [f.name for f in schema]
 
     def run(batches):
-        bpe = ByteBPE(sent.value)
+        bpe = sent.value.get()
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for b in batches:
             texts = b.column(b.schema.get_field_index(text_col)).cast(pa.string()).to_pylist()
@@ -220,16 +325,18 @@ def encode(docs: DataFrame, vocabulary_path: str, text_col: str = "text", ids: b
 
 
 def decode(df: DataFrame, vocabulary_path: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
-    """df with the text of each row's ids as out_col; null ids give an empty text."""
+    """df with the text of each row's ids as out_col (a column of that name is replaced); null ids give an empty text."""
     import pyarrow as pa
 
-    sent = df.sparkSession.sparkContext.broadcast(_read_driver_file(vocabulary_path))
-    df = df.drop(out_col).withColumn("_ids", F.array_join(F.col(ids_col).cast("array<string>"), ","))
-    schema = _extended(df.drop("_ids").schema, **{out_col: "string"})
+    sent = df.sparkSession.sparkContext.broadcast(Encoder(_read_driver_file(vocabulary_path)))
+    (ids,) = fresh(df, "_ids")
+    df = df.withColumn(ids, F.array_join(F.col(ids_col).cast("array<string>"), ","))
+    df = df.select(*(c for c in df.columns if c not in (out_col, ids)), ids)
+    schema = _extended(df.drop(ids).schema, **{out_col: "string"})
     names = [f.name for f in schema]
 
     def run(batches):
-        bpe = ByteBPE(sent.value)
+        bpe = sent.value.get()
         for b in batches:
             texts = [bpe.decode(x or "") for x in b.column(b.num_columns - 1).cast(pa.string()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], names)

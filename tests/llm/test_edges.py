@@ -66,3 +66,32 @@ def test_pages_and_vectors(spark):
     got = [tuple(r) for r in mih.top_k(v, v.where("vec_id % 100 = 0"), k=3).orderBy("query_id", "rank").collect()]
     assert got[:3] == [(100, 1, 1, 0), (100, 2, 1, 0), (100, 3, 100, 0)] and got[3] == (200, 1, 200, 0) and len(got) == 9
     assert mih.top_k(v.limit(0), v.limit(0)).collect() == []
+
+
+def test_near_copies_and_redaction_on_odd_rows(odd, none, ratios):
+    kept = simhash.drop_near_copies(odd)
+    assert kept.columns == odd.columns
+    # of 1, 1 and 8 one stays, of the texts without words (2, 3, 4) one, and all others
+    assert sorted((r.doc_id or 0, r.fp0, r.node) for r in kept.collect()) == [(i, "x", "x") for i in (0, 1, 2, 5, 6, 7)]
+    assert simhash.drop_near_copies(none).collect() == []
+    out = secrets.redact(odd, ratios)
+    assert out.columns == odd.columns and out.count() == 10 and secrets.redact(none, ratios).collect() == []
+    assert {r.found for r in out.collect()} == {"x"} and [r.text for r in out.collect() if r.doc_id == 2] == [None]
+    found = secrets.find(odd, ratios)
+    assert found.columns.count("found") == 1 and found.where("doc_id = 5").first().found[0].kind == "assign"
+
+
+def test_the_classifier_on_odd_rows(spark, odd, none):
+    labels = spark.createDataFrame([(i, 1) for i in (1, 2, 3, 5, 6, 7)] + [(None, 1), (4, 0), (1, 1)], "doc_id long, quality int")
+    for docs, n in ((odd, 10), (none, 0)):
+        for table in (labels, labels.limit(0)):
+            trusted = kneser_ney.trusted_ids(table)
+            model = kneser_ney.fit(kneser_ney.fit_rows(docs, trusted))
+            scored = kneser_ney.with_perplexity(docs.withColumn("perplexity", F.lit("x")), model)
+            out = kneser_ney.judge(scored, kneser_ney.thresholds(scored, trusted)).collect()
+            assert len(out) == n and all(r.kept is not None for r in out)
+
+
+def test_decoding_keeps_other_columns(spark, odd):
+    out = bpe.decode(bpe.encode(odd, tokenizer_path()).withColumn("_ids", F.lit("x")), tokenizer_path())
+    assert {r._ids for r in out.collect()} == {"x"} and all(r.decoded == (r.text or "") for r in out.collect())

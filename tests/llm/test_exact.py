@@ -214,17 +214,40 @@ def test_bpe_round_trip(spark, docs):
     assert out.where("decoded <> text OR n_tokens <> size(token_ids)").count() == 0
 
 
-def test_bpe_digests(spark, sf, docs):
+def test_bpe_digests(spark, sf):
+    """All rows against the tokenizers library."""
     from tokenizers import Tokenizer
 
+    sf = sf.replace("0.001", "0.01")
     t = Tokenizer.from_file(queries.tokenizer_path())
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    for r in queries.op7_bpe(spark, sf).limit(40).collect():
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = queries.op7_bpe(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
         ids = t.encode(texts[r.doc_id], add_special_tokens=False).ids
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_suffix_automaton_finds_every_word():
+    rng = random.Random(2)
+    for _ in range(60):
+        words = {bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 6))): i for i in range(rng.randint(1, 25))}
+        auto = bpe.SuffixAutomaton(words)
+        text = bytes(rng.choice(b"abcd") for _ in range(60))
+        for end, got in enumerate(auto.ends(text), 1):
+            assert got == sorted(((len(w), i) for w, i in words.items() if text[:end].endswith(w)), reverse=True)
+
+
+def test_bpe_refuses_other_vocabularies():
+    import json
+
+    spec = json.loads(open(queries.tokenizer_path(), encoding="utf-8").read())
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"model": spec["model"] | {"ignore_merges": True}}):
+        with pytest.raises(ValueError, match="vocabulary asks"):
+            bpe.ByteBPE(json.dumps(spec | change))
+
+
 def test_quality_classifier(spark, sf):
     """Held-out: nearly all trusted documents stay, most junk goes."""
     sf = sf.replace("0.001", "0.01")
@@ -343,6 +366,174 @@ def test_top_k_is_exact(spark, dims):
         assert [x[1:] for x in sorted(rows)] == want
 
 
+def _kneser_ney(texts):
+    """An independent interpolated modified Kneser-Ney trigram model: p(word, history of two)."""
+    three = Counter()
+    for t in texts:
+        own = ["<", "<", *t.split(), ">"]
+        three.update(zip(own, own[1:], own[2:], strict=False))
+    two = Counter((b, c) for _, b, c in three)
+    one = Counter(c for _, c in two)
+
+    def discount(counts):
+        n = [sum(v == i for v in counts.values()) for i in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.0
+        d = [0.0] + [min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.0), float(i)) if n[i] else 0.0 for i in (1, 2, 3)]
+        return lambda c: d[min(c, 3)]
+
+    d3, d2, d1 = discount(three), discount(two), discount(one)
+
+    def order(counts, d, lower):
+        total, left = Counter(), Counter()
+        for g, c in counts.items():
+            total[g[:-1]] += c
+            left[g[:-1]] += d(c)
+
+        def p(word, history):
+            if not total[history]:
+                return lower(word, history[1:])
+            c = counts[(*history, word)]
+            return (c - d(c) if c else 0.0) / total[history] + left[history] / total[history] * lower(word, history[1:])
+
+        return p
+
+    total = sum(one.values())
+    unknown = sum(map(d1, one.values())) / total / (len(one) + 1)
+    p1 = lambda word, _: ((one[word] - d1(one[word])) / total if word in one else 0.0) + unknown
+    return order(three, d3, order(two, d2, p1)), set(one)
+
+
+def test_kneser_ney_against_brute_force(spark, docs):
+    some = [r.text for r in docs.orderBy("doc_id").limit(60).collect()]
+    small = ["a b c a b d a b c", "b c a b c", "a a b", "c d a b", "d d", "a b c d", "b a"]
+    for fitted, scored in ((some[:30], [*some[25:], "", "never seen words", "x"]), (small, [*small, "a", "d b unseen a b", ""])):
+        model = kneser_ney.fit(spark.createDataFrame([(t,) for t in fitted], "text string"))
+        p, vocabulary = _kneser_ney(fitted)
+        logs, n = kneser_ney.log10_probability([t.encode() for t in scored], model, kneser_ney.WordHashes())
+        for t, got, size in zip(scored, logs, n, strict=True):
+            own = ["<", "<", *t.split(), ">"]
+            want = sum(math.log10(p(c, (a, b))) for a, b, c in zip(own, own[1:], own[2:], strict=False))
+            assert size == len(own) - 2 and math.isclose(got, want, rel_tol=2e-6)
+        for history in (("<", "<"), ("a", "b"), ("<", "a"), ("zzz", "b"), ("zzz", "zzz"), tuple(fitted[0].split()[:2])):
+            assert abs(sum(p(w, history) for w in vocabulary) + p("never seen", history) - 1) < 1e-6
+
+
+def test_fit_is_bounded_in_bytes(spark):
+    texts = [(f"{i} " * 50,) for i in range(20)]
+    small = kneser_ney.fit(spark.createDataFrame(texts, "text string"), most_bytes=500)
+    whole = kneser_ney.fit(spark.createDataFrame(texts, "text string"))
+    assert 0 < len(small.words.keys) < len(whole.words.keys)
+
+
+def test_thresholds_fall_back_to_fit_rows(spark):
+    labels = spark.createDataFrame([(i, 1) for i in range(6)] + [(None, 1), (3, 1), (9, 0)], "doc_id long, quality int")
+    trusted = kneser_ney.trusted_ids(labels)
+    assert trusted.where("fit").count() == 3 and trusted.count() == 6
+    fit = [r.doc_id for r in trusted.where("fit").collect()]
+    rest = [i for i in range(6) if i not in fit]
+    rows = [(fit[0], "de", 5.0), (fit[1], "en", 9.0), (rest[0], "en", 2.0), (rest[1], None, 3.0), (100, "fr", 1.0)]
+    scored = spark.createDataFrame(rows, "doc_id long, lang string, perplexity double")
+    limits = kneser_ney.thresholds(scored, trusted)
+    assert {tuple(r) for r in limits.collect()} == {("de", 5.0), ("en", 2.0), (None, 3.0)}
+    kept = {(r.lang, r.perplexity): r.kept for r in kneser_ney.judge(scored.withColumn("kept", F.lit("x")), limits).collect()}
+    assert kept == {("de", 5.0): True, ("en", 9.0): False, ("en", 2.0): True, (None, 3.0): True, ("fr", 1.0): True}
+
+
+def _spans_by_hand(text, ratios):
+    patterns = [("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[1]) >= 6), ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 24)]
+    out = [(m.start(), n, k, m.end()) for n, (k, p, ok) in enumerate(patterns) for m in re.finditer(p, text) if ok(m)]
+    for m in re.finditer(secrets.CANDIDATE, text):
+        mean = sum(ratios[ord(a) * 128 + ord(b)] for a, b in itertools.pairwise(m[0])) / (len(m[0]) - 1)
+        if mean >= 0.5 and not any(a < m.end() and m.start() < e for a, _, _, e in out if _ != 3):
+            out.append((m.start(), 3, "random", m.end()))
+    return sorted(out)
+
+
+def test_secrets_of_every_kind_by_hand(spark, docs):
+    rng = random.Random(11)
+    ratios = secrets.fit(secrets.random_samples(spark).unionByName(secrets.identifier_samples(docs)))
+    parts = ["plain words", "é漢😀", "a" * 30, "AKIA" + "Q" * 20, "password=hunter22", "token:'x", "deadbeefapi_key=abcdef1", *("".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(k)) for k in (19, 20, 33, 70)), "some_ordinary_identifier_name", "\n", "=", " "]
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", "", "/", "."]) for _ in range(rng.randint(0, 30))) for _ in range(300)] + [None, "", " ".join(parts * 100)]
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, found string, _assign string")
+    for r in secrets.scan(df, ratios).collect():
+        spans = _spans_by_hand(texts[r.doc_id] or "", ratios)
+        assert r.spans == ",".join(f"{k}:{a}:{e}" for a, _, k, e in spans), texts[r.doc_id]
+    for r in secrets.redact(df, ratios).collect():
+        t = texts[r.doc_id]
+        out, at = [], 0
+        for a, _, _, e in _spans_by_hand(t or "", ratios):
+            if a >= at:
+                out += [t[at:a], "[SECRET]"]
+            at = max(at, e)
+        assert r.text == (None if t is None else "".join(out) + t[at:]) and (r.found, r._assign) == ("x", "y")
+
+
+def test_long_texts_take_linear_time(spark):
+    import time
+
+    ratios = [0.0] * (128 * 128)
+    rng = random.Random(1)
+    run = "".join(rng.choice("ABCDEFabcdef0123456789+/") for _ in range(2_000_000))
+    many = "é password=abcdef1234567 x " * 20_000
+    df = spark.createDataFrame([(1, run), (2, many)], "doc_id long, text string")
+    began = time.time()
+    rows = {r.doc_id: r for r in secrets.scan(df, ratios).collect()}
+    assert rows[2].n_assign == 20_000 and time.time() - began < 40
+    began = time.time()
+    pages = spark.createDataFrame([(1, "http://a.org/" + "x/y" * 66_000), (2, "http://b.de/" + "ab1" * 66_000)], "page_id long, url string")
+    assert url_filter.judge(pages).count() == 2 and time.time() - began < 40
+
+
+def test_url_verdicts_by_hand(spark, sf):
+    """Every address that no rule fits, by the fitted weights and grams made here."""
+    import xxhash
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    df = pages.select(url_filter.host_of(F.col("url")).alias("host"), url_filter.path_of(F.col("url")).alias("path"))
+    rule = url_filter.rule_of(F.col("host"), F.col("path"))
+    weights = url_filter.fit(df.where(rule.isNotNull()).select("host", "path", (rule["verdict"] == "allow").alias("allowed")))
+
+    def bucket(tag, gram):
+        h = xxhash.xxh64_intdigest(gram.encode(), xxhash.xxh64_intdigest(tag.encode(), 42))
+        return (h - (1 << 64) if h >> 63 else h) % url_filter.BUCKETS
+
+    for r in url_filter.judge(pages).collect():
+        found = set()
+        for tag, s in (("host", f"^{r.host}$"), ("path", f"^{r.path}$")):
+            for n in (3, 4):
+                found |= {bucket(tag, s[i : i + n]) for i in range(max(len(s) - n, 0) + 1)}
+        margin = sum(float(f"{weights[i]:.9g}") for i in found) + float(f"{weights[-1]:.9g}")
+        assert math.isclose(r.probability, 1 / (1 + math.exp(-margin)), abs_tol=1e-8)
+        if r.rule is None:
+            assert r.verdict == ("allow" if r.probability >= 0.5 else "block")
+
+
+def test_near_dedup_against_all_pairs(spark, sf):
+    """Recall and precision on whole tables: groups closed over pairs of 0.8 or more."""
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    rows = sorted((r.doc_id, set(simhash.shingles((r.text or "").encode(), 5).tolist())) for r in docs.collect())
+    parent = {i: i for i, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for (i, a), (j, b) in itertools.combinations(rows, 2):
+        if a == b or 5 * len(a & b) >= 4 * len(a | b):
+            x, y = root(i), root(j)
+            parent[max(x, y)] = min(x, y)
+    stays = {i for i, _ in rows if root(i) == i}
+    kept = {r.doc_id for r in simhash.drop_near_copies(docs).collect()}
+    assert stays <= kept and len(kept - stays) <= 0.1 * (len(rows) - len(stays))
+
+
+def test_keys_follow_the_rows():
+    assert simhash.keys_for(1000)[0] == simhash.keys_for(4_000_000)[0] == 16
+    bits, keys = zip(*(simhash.keys_for(10**k) for k in range(6, 12)), strict=True)
+    assert list(bits) == sorted(bits) and list(keys) == sorted(keys) and bits[-1] > 28
+
+
 def test_kneser_ney_sums_to_one(spark):
     """After any history the words, the end and one unknown word have probability one in all."""
     texts = ["a b c a b d a b c", "b c a b c", "a a b", "c d a b", "d d", "a b c d", "b a"]
