@@ -95,3 +95,8 @@ def argmax_or_above(probs: DataFrame, least: float = 0.30, forced: tuple[str, ..
     """Rows to explain: each contract's likeliest class (the first of equals), classes at `least` or more, forced ones."""
     top = probs.groupBy("contract").agg(F.min(F.struct((-F.col("prob")).alias("p"), F.col("class"))).alias("x")).select("contract", F.col("x.class").alias("_top"))
     return probs.join(top, "contract").where((F.col("class") == F.col("_top")) | (F.col("prob") >= least) | F.col("class").isin(list(forced))).drop("_top")
+
+
+def cross_validate(rows: DataFrame, k: int, train_one_fold: Callable[[DataFrame, DataFrame], float]) -> list[tuple[int, float]]:
+    """(fold, score) of outside training: train_one_fold gets the other folds' rows and its own. rows has a column fold, 0 .. k - 1."""
+    return [(i, float(train_one_fold(rows.where(F.col("fold") != i), rows.where(F.col("fold") == i)))) for i in range(k)]

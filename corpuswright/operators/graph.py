@@ -141,3 +141,20 @@ def mean_pool(graphs: DataFrame, nodes: DataFrame, cols: list[str]) -> DataFrame
     """A row a graph with its nodes' means; an empty graph has zeros."""
     pooled = nodes.groupBy("graph_id").agg(*[F.avg(c).alias(c) for c in cols])
     return graphs.select("graph_id").join(pooled, "graph_id", "left").na.fill(0.0, cols)
+
+
+def dual_head(ast: DataFrame, cfg: DataFrame, w1: list[list[float]], b1: list[float], w2: list[list[float]], b2: list[float], classes: list[str]) -> DataFrame:
+    """(graph_id, class, prob): both views' pooled vectors side by side, a layer with a ramp, and a sigmoid a class.
+
+    ast, cfg: (graph_id, v array). A graph that lacks a view has zeros there. w1 has a row
+    a hidden unit, w2 a row a class.
+    """
+    half = len(w1[0]) // 2
+    zeros = F.array(*[F.lit(0.0)] * half)
+    rows = ast.select("graph_id", F.col("v").alias("a")).join(cfg.select("graph_id", F.col("v").alias("c")), "graph_id", "full")
+    dot = lambda x, row, b: F.aggregate(F.zip_with(x, F.array(*map(F.lit, row)), lambda p, q: p * q), F.lit(b), lambda s, p: s + p)
+    rows = rows.select("graph_id", F.concat(F.coalesce("a", zeros), F.coalesce("c", zeros)).alias("x"))
+    hidden = F.array(*[F.greatest(dot(F.col("x"), row, b), F.lit(0.0)) for row, b in zip(w1, b1, strict=True)])
+    rows = rows.select("graph_id", hidden.alias("h"))
+    probs = [F.struct(F.lit(c).alias("class"), (1 / (1 + F.exp(-dot(F.col("h"), row, b)))).alias("prob")) for c, row, b in zip(classes, w2, b2, strict=True)]
+    return rows.select("graph_id", F.explode(F.array(*probs)).alias("x")).select("graph_id", "x.*")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,3 +81,27 @@ def suspicious_tools(state: DataFrame, exempt: tuple[str, ...] = ("slither",), l
 def remaining(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Work whose keys aren't done."""
     return work.join(done.select(*keys).distinct(), keys, "left_anti")
+
+
+def snapshot(state: DataFrame, folder: str) -> DataFrame:
+    """A consistent copy of the state in a new folder: one job writes it, and its files appear whole or not at all."""
+    path = f"{folder}/{uuid.uuid4().hex}"
+    state.write.parquet(path)
+    return state.sparkSession.read.parquet(path)
+
+
+def archive(rows: DataFrame, batch_col: str, folder: str, sums: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the batches that the archive's ledger lacks, then the ledger: (batch, n, sums).
+
+    Rows go to <folder>/rows by batch, the ledger to <folder>/ledger once they are there;
+    a batch whose ledger row is missing after a failure is written again over itself.
+    """
+    spark = rows.sparkSession
+    try:
+        known = spark.read.parquet(f"{folder}/ledger")
+        rows = rows.join(known.select(batch_col), batch_col, "left_anti")
+    except AnalysisException:  # the first batch of all
+        pass
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(batch_col).parquet(f"{folder}/rows")
+    rows.groupBy(batch_col).agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in sums]).write.mode("append").parquet(f"{folder}/ledger")
+    return spark.read.parquet(f"{folder}/ledger")

@@ -212,3 +212,9 @@ def max_pool(window_logits: DataFrame) -> DataFrame:
 def truncation_rate(lengths: DataFrame, most: int, col: str = "n_tokens") -> DataFrame:
     """(rate): share of rows longer than `most`, 0 of none."""
     return lengths.agg(F.coalesce(F.avg((F.col(col) > most).cast("int")), F.lit(0.0)).alias("rate"))
+
+
+def thresholds_for(tuned: DataFrame, classes: list[str], fallback: float = 0.5) -> DataFrame:
+    """(class, threshold) of every class: the tuned one, or the fallback."""
+    every = tuned.sparkSession.createDataFrame([(c,) for c in classes], "class string")
+    return every.join(tuned.select("class", "threshold"), "class", "left").select("class", F.coalesce("threshold", F.lit(fallback)).alias("threshold"))

@@ -328,7 +328,7 @@ FROM (SELECT doc_id, w, len(w) AS n, unnest(range(0, greatest(len(w), 1), 384)[1
 def window_tokens(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", X.tokens(F.col("text")).alias("w"))
     w = docs.select("doc_id", F.posexplode(X.windows(F.col("w"))).alias("window_idx", "t"))
-    return w.select("doc_id", "window_idx", F.size("t").alias("n_tokens"), (F.size(X.pad(F.col("t"), 512)) - F.size("t")).alias("padding"), F.md5(F.array_join("t", " ")).alias("digest"))
+    return w.select("doc_id", "window_idx", F.size("t").alias("n_tokens"), (F.lit(512) - F.size("t")).alias("padding"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 
 @query("cache_misses", with_("SELECT chash, count(*) AS n FROM h WHERE chash NOT IN (SELECT chash FROM h WHERE doc_id % 2 = 0) GROUP BY chash", c=fx.CONTRACTS, h=_HASHED))

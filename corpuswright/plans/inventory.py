@@ -12,6 +12,7 @@ from ..operators import extract, graph, ledger, locate, metrics, models, reports
 from ..schema import CATEGORIES, CLASSES, DISPLAY_NAMES, coverage, display_name
 from ..sources import files, tables
 from ..storage import shared_folder
+from ..streaming import attempts
 from . import corpus, evaluation, structure
 from . import fixtures as fx
 from .fixtures import rounded, run, with_
@@ -367,3 +368,98 @@ def bootstrap_masked(spark, d):
     n = pred.select("contract").distinct().count()
     return rounded(metrics.bootstrap(pred.withColumn("pos", F.col("contract").cast("long")), n, resamples=200, classes=["k1", "k2"]))
 
+
+
+_HEAD = {"w1": [[0.5, -0.25, 1.0, 0.125], [-1.0, 0.5, 0.25, 2.0], [0.0, 1.0, -0.5, -0.125]], "b1": [0.1, -0.2, 0.3], "w2": [[1.0, -0.5, 0.25], [-0.75, 0.5, 1.5]], "b2": [0.05, -0.1]}
+
+
+def _dense(names: list[str], row: list[float], b: float) -> str:
+    return " + ".join([f"({b}::DOUBLE)", *(f"{n} * ({x}::DOUBLE)" for n, x in zip(names, row, strict=True))])
+
+
+_HIDDEN = ", ".join(f"greatest({_dense(['x0', 'x1', 'x2', 'x3'], row, b)}, 0.0::DOUBLE) AS h{i}" for i, (row, b) in enumerate(zip(_HEAD["w1"], _HEAD["b1"], strict=True)))
+
+
+@query("graph_dual_head", with_(
+    " UNION ALL ".join(f"SELECT graph_id, '{c}' AS class, round(1 / (1 + exp(-({_dense(['h0', 'h1', 'h2'], _HEAD['w2'][i], _HEAD['b2'][i])}))), 6) AS prob FROM h" for i, c in enumerate(("reentrancy", "dos"))),
+    e=fx.ORDER_EDGES, n=structure._N, a="SELECT graph_id, avg((length(nid) * 3 % 7)::DOUBLE) AS x0, count(*) / 1000::DOUBLE AS x1 FROM n GROUP BY graph_id", k="SELECT graph_id, count(*) / 1000::DOUBLE AS x2, count_if(etype = 'data_flow') / 1000::DOUBLE AS x3 FROM e WHERE graph_id % 3 > 0 GROUP BY graph_id",
+    x="SELECT graph_id, x0, x1, coalesce(x2, 0) AS x2, coalesce(x3, 0) AS x3 FROM a LEFT JOIN k USING (graph_id)", h=f"SELECT graph_id, {_HIDDEN} FROM x"))
+def graph_dual_head(spark, d):
+    """Pooled vectors of two views through the head; every third graph lacks the second view."""
+    n, e = structure._scored(spark, d)
+    ast = n.groupBy("graph_id").agg(F.array(F.avg("x"), F.count("*") / 1000).alias("v"))
+    cfg = e.where("graph_id % 3 > 0").groupBy("graph_id").agg(F.array(F.count("*") / 1000, F.count_if(F.col("etype") == "data_flow") / 1000).alias("v"))
+    return rounded(graph.dual_head(ast, cfg, **_HEAD, classes=["reentrancy", "dos"]))
+
+
+@query("cv_folds", with_("SELECT fold, round(avg(CASE WHEN arithmetic = CASE WHEN (SELECT avg(o.arithmetic) FROM w o JOIN f g USING (contract_id) WHERE g.fold <> f.fold) >= 0.5 THEN 1 ELSE 0 END THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS score FROM w JOIN f USING (contract_id) GROUP BY fold", w=fx.WIDE, f=corpus.QUERIES["fold_stratified"][1]))
+def cv_folds(spark, d):
+    """Outside training over stratified folds; here the majority of the other folds."""
+    rows = run(spark, d, fx.WIDE).join(corpus.fold_stratified(spark, d).select("contract_id", "fold"), "contract_id")
+
+    def train_one_fold(train, held):
+        majority = int(train.agg(F.avg("arithmetic")).first()[0] >= 0.5)
+        return held.agg(F.avg((F.col("arithmetic") == majority).cast("int"))).first()[0]
+
+    return rounded(spark.createDataFrame(extract.cross_validate(rows, 5, train_one_fold), "fold int, score double"))
+
+
+@query("ledger_snapshot", with_("SELECT status, count(*) AS n, sum(attempts)::BIGINT AS attempts FROM s GROUP BY status", k=structure._TASKS, g=fx.LOG, s=structure._STATE))
+def ledger_snapshot(spark, d):
+    copy = ledger.snapshot(structure.state(spark, d), shared_folder(spark))
+    return copy.groupBy("status").agg(F.count("*").alias("n"), F.sum("attempts").cast("long").alias("attempts"))
+
+
+@query("stream_sync", with_("SELECT tool, status, count(*) AS n FROM g GROUP BY ALL", g=fx.LOG))
+def stream_sync(spark, d):
+    """The log copied as it arrives; a second call finds nothing new."""
+    folder = shared_folder(spark)
+    attempts.sync(attempts.read(spark, d), folder)
+    return attempts.sync(attempts.read(spark, d), folder).groupBy("tool", "status").agg(F.count("*").alias("n"))
+
+
+@query("archive_batches", "SELECT (doc_id % 12)::INT AS batch, count(*) AS n, sum(n_chars)::BIGINT AS n_chars FROM documents GROUP BY ALL")
+def archive_batches(spark, d):
+    """An archive by batch with its ledger: half of the batches first, then all, of which only the others are added."""
+    folder = shared_folder(spark)
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "n_chars", (F.col("doc_id") % 12).cast("int").alias("batch"))
+    ledger.archive(docs.where("batch < 6"), "batch", folder, ("n_chars",))
+    ledger.archive(docs, "batch", folder, ("n_chars",))
+    rows = spark.read.parquet(f"{folder}/rows").groupBy("batch").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"))
+    return rows.join(spark.read.parquet(f"{folder}/ledger"), ["batch", "n", "n_chars"])
+
+
+@query("release_manifest", with_("SELECT folder, CASE WHEN folder % 7 = 0 THEN 'changed' WHEN folder = 3 THEN 'extra' ELSE 'missing' END AS problem FROM (SELECT DISTINCT folder FROM l UNION SELECT 99) WHERE folder % 7 = 0 OR folder IN (3, 99)", l=_LINES))
+def release_manifest(spark, d):
+    """A release's files against a manifest: some changed, one extra, one missing."""
+    now = files.file_manifest(spark, _line_files(spark, d), "*.txt").select(_folder(), "size", "sha256")
+    was = now.where("folder <> 3").withColumn("sha256", F.when(F.col("folder") % 7 == 0, "0").otherwise(F.col("sha256")))
+    was = was.select("folder", "sha256").unionByName(spark.createDataFrame([(99, "1")], "folder int, sha256 string"))
+    return files.manifest_problems(was, now, "folder")
+
+
+@query("thresholds_for_all", with_("SELECT class, CASE WHEN class = 'quality' THEN round(avg(prob), 6) ELSE 0.5 END AS threshold FROM p GROUP BY class", p=fx.PROBS))
+def thresholds_for_all(spark, d):
+    """Tuned thresholds, and the fallback of a class without."""
+    tuned = run(spark, d, fx.PROBS).where("class = 'quality'").groupBy("class").agg(F.avg("prob").alias("threshold"))
+    return rounded(metrics.thresholds_for(tuned, ["quality", "toxic"]))
+
+
+_RESULT = " UNION ALL ".join(f"SELECT contract AS source, '{c}' AS type, ((contract::BIGINT * 7 + {i * 13}) % 100) / 100::DOUBLE AS confidence FROM t WHERE ((contract::BIGINT * 7 + {i * 13}) % 100) / 100::DOUBLE >= {0.3 + 0.1 * i:.1f}" for i, c in enumerate(CLASSES))
+
+
+@query("analyse_sources", with_("SELECT source, type, confidence, lines FROM r JOIN t ON source = contract", n=fx.NODES, ls=structure._LS, m=structure._MERGED, t="SELECT contract, array_to_string(list(line ORDER BY rank), ',') AS lines FROM m WHERE rank <= 5 GROUP BY contract", r=_RESULT))
+def analyse_sources(spark, d):
+    """Probabilities, thresholds by class and localised lines as wire results."""
+    top = locate.merge_lines(structure.locate_line_scores(spark, d), 5)
+    lines = top.groupBy("contract").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]).alias("lines"))
+    cells = [F.struct(F.lit(c).alias("type"), (((F.col("contract").cast("long") * 7 + i * 13) % 100) / 100).alias("confidence"), F.lit(round(0.3 + 0.1 * i, 1)).alias("threshold")) for i, c in enumerate(CLASSES)]
+    rows = lines.select(F.col("contract").alias("source"), "lines", F.explode(F.array(*cells)).alias("x")).select("source", "lines", "x.*")
+    flaws = tables.wire_result(rows).select("source", F.explode("flaws").alias("f")).select("source", "f.type", "f.confidence", "f.lines")
+    return flaws.withColumn("lines", F.array_join(F.col("lines").cast("array<string>"), ","))
+
+
+@query("provenance")
+def provenance(spark, d):
+    """Versions of what made a result."""
+    return spark.createDataFrame(tables.provenance(spark), "package string, version string")

@@ -124,3 +124,15 @@ def newest_by_minor(installed: DataFrame) -> DataFrame:
 
 def results_path(*parts: Column) -> Column:
     return F.concat_ws("/", *parts)
+
+
+def file_manifest(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """(path, size, sha256) of all files below a folder: what a release holds."""
+    return scan(spark, root, glob, skip_resource_forks=False).select("path", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
+def manifest_problems(manifest: DataFrame, now: DataFrame, key: str = "path") -> DataFrame:
+    """(key, problem): missing, changed or extra files of a release against its manifest."""
+    both = manifest.select(key, F.col("sha256").alias("was")).join(now.select(key, F.col("sha256").alias("is")), key, "full")
+    problem = F.when(F.col("is").isNull(), "missing").when(F.col("was").isNull(), "extra").when(F.col("was") != F.col("is"), "changed")
+    return both.select(key, problem.alias("problem")).where("problem IS NOT NULL")

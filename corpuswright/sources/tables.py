@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
+import platform
+from importlib import metadata
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -152,3 +155,12 @@ def history_rows(value: Column) -> Column:
     record = "array<struct<epoch:int,train_loss:double,val_macro_f1:double>>"
     lists = F.from_json(value, "epoch array<int>, train_loss array<double>, val_macro_f1 array<double>")
     return F.when(F.ltrim(value).startswith("["), F.from_json(value, record)).otherwise(F.arrays_zip(lists["epoch"], lists["train_loss"], lists["val_macro_f1"]).cast(record))
+
+
+def provenance(spark: SparkSession, packages: tuple[str, ...] = ("pyspark", "pyarrow", "numpy", "pandas")) -> list[tuple[str, str]]:
+    """(package, version) of what makes a result; packages that aren't there are left out."""
+    found = [("python", platform.python_version()), ("spark", spark.version)]
+    for p in packages:
+        with contextlib.suppress(metadata.PackageNotFoundError):
+            found.append((p, metadata.version(p)))
+    return found

@@ -45,3 +45,10 @@ def to_end(stream: DataFrame, mode: str = "complete") -> DataFrame:
     q = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(put).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def sync(log: DataFrame, folder: str) -> DataFrame:
+    """Copies what has arrived since the last call to <folder>/rows, and returns all that is there. Calls may repeat at any time."""
+    q = log.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint").format("parquet").option("path", f"{folder}/rows").start()
+    q.awaitTermination()
+    return log.sparkSession.read.schema(log.schema).parquet(f"{folder}/rows")
