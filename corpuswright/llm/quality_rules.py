@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACE, durable, words_of
+from ._common import SPACE, durable, fresh, words_of
 
 #: A host fails if its shrunk failure rate is above this.
 HOST_LIMIT = 0.6
@@ -48,20 +48,22 @@ def text_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed.
 
     A null text counts as empty: no words, and failed. Lines are cut at \\n; a line
-    counts if it has a word. Long texts cost n log n in their words.
+    counts if it has a word. Long texts cost n log n in their words. Columns of docs
+    with these names are replaced, all others stay.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = docs.withColumn("_words", words_of(text)).withColumn("_lines", lines)
+    w, r = fresh(docs, "_words", "_lines")
+    df = docs.withColumn(w, words_of(text)).withColumn(r, lines)
     df = df.withColumns(
         {
-            "n_words": F.size("_words").cast("long"),
+            "n_words": F.size(w).cast("long"),
             "word_chars": F.length(F.regexp_replace(text, SPACE, "")).cast("long"),
             "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": _repeat_words(F.col("_words"), F.size("_words")),
+            "n_dup_lines": (F.size(r) - F.size(F.array_distinct(r))).cast("long"),
+            "n_repeat_words": _repeat_words(F.col(w), F.size(w)),
         }
-    ).drop("_words", "_lines")
+    ).drop(w, r)
     return df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
