@@ -92,6 +92,8 @@ def plan_splits(pool: DataFrame, frozen: DataFrame, validation: DataFrame) -> Da
 
 #: Reserved items of at most so many bytes in all may travel to the texts as one literal.
 MOST_ITEM_BYTES = 8 << 20
+#: Keys of items that may stand in a plan, at most.
+MOST_KEYS = 16_384
 
 
 def holders(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_col: str = "item") -> DataFrame:
@@ -104,13 +106,13 @@ def holders(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     meet the texts' keys by shuffle; larger sets of short items raise.
     """
     probes = items.where(F.col(item_col).isNotNull() & (F.col(item_col) != "")).select(F.col(item_id).alias("_item_id"), F.col(item_col).alias("_item"), X.tokens(F.col(item_col)).alias("_words"))
-    size = probes.agg(F.sum(F.when(F.size("_words") < 5, F.octet_length("_item"))).alias("short"), F.count_if(F.size("_words") >= 5).alias("keyed")).first()
+    size = probes.agg(F.sum(F.when(F.size("_words") < 5, F.octet_length("_item"))).alias("short"), F.count_if(F.size("_words") >= 5).alias("keyed"), F.sum(F.octet_length("_item")).alias("all")).first()
     key = lambda w, i: F.xxhash64(*[F.get(w, i + k) for k in range(3)])
     keyed = probes.where(F.size("_words") >= 5).select("_item_id", "_item", key(F.col("_words"), F.lit(1)).alias("_key"))
     # three words a text, at every place, that might be an item's
     grams = docs.select(F.col(id_col), F.col(text_col), X.tokens(F.col(text_col)).alias("_w")).where(F.size("_w") > 2)
     every = F.transform(F.sequence(F.lit(0), F.size("_w") - 3), lambda i: key(F.col("_w"), i))
-    if size.keyed * 8 <= MOST_ITEM_BYTES // 64:
+    if size.keyed <= MOST_KEYS and (size.all or 0) <= MOST_ITEM_BYTES:
         known = [r[0] for r in keyed.select("_key").distinct().collect()]
         literal = F.split(F.lit(",".join(map(str, known))), ",").cast("array<bigint>")
         met = grams.select(id_col, text_col, F.explode(F.array_intersect(every, literal)).alias("_key")) if known else grams.select(id_col, text_col, F.lit(0).cast("long").alias("_key")).limit(0)

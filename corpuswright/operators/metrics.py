@@ -24,7 +24,7 @@ def predict(probs: DataFrame, thresholds: DataFrame | None = None, scalar: float
     """probs with y_pred: prob at or above its class's threshold, or above the scalar if that is given."""
     if scalar is not None:
         return probs.withColumn("y_pred", (F.col("prob") >= scalar).cast("int"))
-    return probs.join(F.broadcast(thresholds), "class").withColumn("y_pred", (F.col("prob") >= F.col("threshold")).cast("int")).drop("threshold")
+    return probs.join(thresholds, "class").withColumn("y_pred", (F.col("prob") >= F.col("threshold")).cast("int")).drop("threshold")
 
 
 def confusion(pred: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -165,7 +165,7 @@ def base_rates(truth: DataFrame) -> DataFrame:
 
 def trivial_predictions(truth: DataFrame, rates: DataFrame, kind: str, seed: int = 42, hard: bool = False) -> DataFrame:
     """(contract, class, prob) of a majority, stratified or all-positive baseline; hard draws stratified ones by hash."""
-    rows = truth.select("contract", "class").join(F.broadcast(rates), "class")
+    rows = truth.select("contract", "class").join(rates, "class")
     if kind == "majority":
         prob = F.col("majority").cast("double")
     elif kind == "positive":

@@ -13,7 +13,7 @@ ABSTAIN, CLEAN, FIRED = -1, 0, 1
 def map_findings(findings: DataFrame, mapping: DataFrame) -> DataFrame:
     """(contract, tool, flaw), distinct, from (contract, tool, ident). Tools match in any case, identifiers exactly; others drop."""
     f = findings.withColumn("tool", F.lower("tool"))
-    return f.join(F.broadcast(mapping), ["tool", "ident"]).select("contract", "tool", "flaw").distinct()
+    return f.join(mapping, ["tool", "ident"]).select("contract", "tool", "flaw").distinct()
 
 
 def tool_flaws(results: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -72,7 +72,7 @@ def corroboration(votes: DataFrame) -> DataFrame:
     )
     active = per.groupBy("flaw").agg(F.sum("active").alias("n_active"))
     rate = F.when(F.col("n_active") >= 2, F.try_divide("backed", "fired"))
-    return per.where("active = 1").join(F.broadcast(active), "flaw").select("flaw", "tool", "fired", rate.alias("rate"))
+    return per.where("active = 1").join(active, "flaw").select("flaw", "tool", "fired", rate.alias("rate"))
 
 
 def tool_summary(votes: DataFrame) -> DataFrame:

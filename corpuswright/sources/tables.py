@@ -22,8 +22,8 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_manifest(rows: DataFrame, path: str, force: bool = False) -> None:
-    """One CSV of the manifest's columns by id; an existing one stands unless forced."""
-    rows.select(*MANIFEST_COLUMNS).orderBy("contract_id").coalesce(1).write.mode("overwrite" if force else "errorifexists").csv(path, header=True)
+    """A CSV table of the manifest's columns, its files in the order of ids; an existing one stands unless forced."""
+    rows.select(*MANIFEST_COLUMNS).orderBy("contract_id").write.mode("overwrite" if force else "errorifexists").csv(path, header=True)
 
 
 def write_labels(labels: DataFrame, path: str) -> None:
@@ -35,14 +35,17 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def report(df: DataFrame) -> DataFrame:
-    """(json): the rows as one JSON array, by their text. For small tables."""
+def report(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """(json): the rows as one JSON array, by their text. More than `most` rows raise: they would meet in one task."""
+    n = df.count()
+    if n > most:
+        raise ValueError(f"{n} rows are no report; at most {most}")
     return df.agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(F.to_json(F.struct(*df.columns)))), ","), F.lit("]")).alias("json"))
 
 
 def write_curve(history: DataFrame, path: str) -> None:
-    """Training curves as one CSV, columns by name."""
-    history.select(*sorted(history.columns)).coalesce(1).write.mode("overwrite").csv(path, header=True)
+    """Training curves as a CSV table, columns by name."""
+    history.select(*sorted(history.columns)).write.mode("overwrite").csv(path, header=True)
 
 
 def cache_misses(needed: DataFrame, cache: DataFrame) -> DataFrame:
