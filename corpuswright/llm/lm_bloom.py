@@ -28,12 +28,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER_BYTES, WordHashes, binary_column, drop_folder, durable, mix64, shared_folder
+from ._common import LOWER_BYTES, WordHashes, drop_folder, durable, mix64, shared_folder
 
 #: Stands for the end of a text; no word hashes to it but by a 64-bit accident.
 END = 0x656E642D6F662D74
@@ -73,14 +74,18 @@ def _tokens(texts: list[bytes | None], memo: WordHashes) -> tuple[np.ndarray, np
 
 
 def _some(batch, names: list[str], text: str, most: int = _SLICE) -> Iterator[tuple]:
-    """Slices of a batch of about `most` bytes."""
-    texts = binary_column(batch, text)
+    """Slices of a batch of about `most` bytes; texts leave Arrow a slice at a time."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    col = batch.column(batch.schema.get_field_index(text))
+    col = col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary())
     cols = [batch.column(batch.schema.get_field_index(n)) for n in names]
     start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or b"")
-        if size > most or i == len(texts) - 1:
-            yield texts[start : i + 1], [c.slice(start, i + 1 - start) for c in cols]
+    for i, n in enumerate(pc.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False).tolist()):
+        size += n
+        if size > most or i == len(col) - 1:
+            yield col.slice(start, i + 1 - start).to_pylist(), [c.slice(start, i + 1 - start) for c in cols]
             start, size = i + 1, 0
 
 
@@ -91,14 +96,14 @@ def _total_key(h: np.ndarray) -> np.ndarray:
 
 
 def _key_shard(keys: np.ndarray, shards: int) -> np.ndarray:
-    return (keys >> np.uint64(64 - (shards.bit_length() - 1))).astype(np.int64)
+    return (keys >> np.uint64(64 - (shards.bit_length() - 1))).astype(np.int32)
 
 
 def _pair_shard(h: np.ndarray, before: np.ndarray, shards: int) -> np.ndarray:
     """Five bits of the second word, the others of the first."""
     rest = np.uint64(64 - (shards.bit_length() - 1 - 5))
     with np.errstate(over="ignore"):
-        return ((mix64(before + _ODD) >> rest << np.uint64(5)) | (h >> np.uint64(59))).astype(np.int64)
+        return ((mix64(before + _ODD) >> rest << np.uint64(5)) | (h >> np.uint64(59))).astype(np.int32)
 
 
 _NO_KEYS = np.zeros(0, np.uint64)
@@ -107,7 +112,9 @@ _NO_KEYS = np.zeros(0, np.uint64)
 def _blocks(keys: np.ndarray, shard: np.ndarray, first: np.ndarray, kind: int, shards: int):
     """The distinct keys, their counts and first words, cut by shard and sorted by first word."""
     uniq, at, count = np.unique(keys, return_index=True, return_counts=True)
+    del keys
     shard, first = shard[at], (first[at] if len(first) else first)
+    del at
     order = np.lexsort((first, shard)) if len(first) else np.argsort(shard, kind="stable")
     uniq, count, shard, first = uniq[order], count[order].astype(np.uint32), shard[order], (first[order] if len(first) else first)
     edges = np.searchsorted(shard, np.arange(shards + 1))
@@ -128,8 +135,11 @@ def _counter(text: str, shards: int):
 
         def out():
             h, before = (np.concatenate([x[k] for x in held]) for k in (0, 1))
-            for rows in (_blocks(h, _key_shard(h, shards), _NO_KEYS, 1, shards), _blocks(_bigrams(h, before), _pair_shard(h, before, shards), before, 2, shards)):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], names)
+            held.clear()
+            for kind in (1, 2):
+                rows = _blocks(h, _key_shard(h, shards), _NO_KEYS, 1, shards) if kind == 1 else _blocks(_bigrams(h, before), _pair_shard(h, before, shards), before, 2, shards)
+                for some in batched(rows, 16):  # small batches: what crosses to the JVM is held there too
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), types, strict=True)], names)
 
         for b in batches:
             for texts, _ in _some(b, [], text):
@@ -138,7 +148,7 @@ def _counter(text: str, shards: int):
                 size += len(h)
                 if size >= _CHUNK:
                     yield from out()
-                    held, size = [], 0
+                    size = 0
         if held:
             yield from out()
 
