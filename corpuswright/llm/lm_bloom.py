@@ -38,11 +38,13 @@ from ._common import LOWER_BYTES, WordHashes, drop_folder, durable, mix64, share
 
 #: Stands for the end of a text; no word hashes to it but by a 64-bit accident.
 END = 0x656E642D6F662D74
-#: Words counted together before their blocks go out.
-_CHUNK = 2_500_000
+#: Words counted together before their blocks go out: a worker's arrays for them take some 100 bytes a word.
+_CHUNK = 1_500_000
 #: Bytes of text cut into words at a time (a single text may hold more).
 _SLICE = 4 << 20
 _PROBES = 4
+#: Keys probed together, which bounds what a probe's arrays take.
+_PROBED = 1 << 17
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -106,6 +108,28 @@ def _pair_shard(h: np.ndarray, before: np.ndarray, shards: int) -> np.ndarray:
         return ((mix64(before + _ODD) >> rest << np.uint64(5)) | (h >> np.uint64(59))).astype(np.int32)
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system: a reused worker would else keep each stage's peak through all later ones."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def _frugal(run):
+    """run, a function of batches, that gives freed memory back when a task begins and when it is over."""
+
+    def wrapped(batches):
+        _give_back()
+        yield from run(batches)
+        _give_back()
+
+    return wrapped
+
+
 _NO_KEYS = np.zeros(0, np.uint64)
 
 
@@ -135,7 +159,7 @@ def _counter(text: str, shards: int):
 
         def out():
             h, before = (np.concatenate([x[k] for x in held]) for k in (0, 1))
-            held.clear()
+            held.clear()  # the parts go before the sorts
             for kind in (1, 2):
                 rows = _blocks(h, _key_shard(h, shards), _NO_KEYS, 1, shards) if kind == 1 else _blocks(_bigrams(h, before), _pair_shard(h, before, shards), before, 2, shards)
                 for some in batched(rows, 16):  # small batches: what crosses to the JVM is held there too
@@ -148,6 +172,7 @@ def _counter(text: str, shards: int):
                 size += len(h)
                 if size >= _CHUNK:
                     yield from out()
+                    _give_back()
                     size = 0
         if held:
             yield from out()
@@ -295,6 +320,13 @@ def levels(keys: np.ndarray, shard: np.ndarray, bits: np.ndarray, seg: int, firs
 
     `bits` starts with the segment, of `seg` bits, of shard `first` and has those of all the keys.
     """
+    out = np.zeros(len(keys), dtype=np.int16)
+    for i in range(0, len(keys), _PROBED):
+        out[i : i + _PROBED] = _levels(keys[i : i + _PROBED], shard[i : i + _PROBED], bits, seg, first)
+    return out
+
+
+def _levels(keys: np.ndarray, shard: np.ndarray, bits: np.ndarray, seg: int, first: int) -> np.ndarray:
     out = np.zeros(len(keys), dtype=np.int16)
     live = np.arange(len(keys))
     base_of = (shard - first).astype(np.uint64) * np.uint64(seg)
@@ -377,11 +409,11 @@ def score(
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = 1 << max(8, math.ceil(math.log2(2 * parts)))
     folder = shared_folder(spark)
-    blocks = train.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_counter("text", shards), "kind int, shard int, keys binary, counts binary, first binary")
-    blocks.repartition("kind", "shard").sortWithinPartitions("kind", "shard").mapInArrow(_adder, _COUNTED).write.parquet(f"{folder}/counts")
+    blocks = train.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_frugal(_counter("text", shards)), "kind int, shard int, keys binary, counts binary, first binary")
+    blocks.repartition("kind", "shard").sortWithinPartitions("kind", "shard").mapInArrow(_frugal(_adder), _COUNTED).write.parquet(f"{folder}/counts")
     counted = spark.read.parquet(f"{folder}/counts")
-    sums = counted.where("kind = 3").select("keys", "counts").mapInArrow(_by_first(shards), "shard int, keys binary, counts binary")
-    sums.repartition("shard").sortWithinPartitions("shard").mapInArrow(_totals, _COUNTED).write.parquet(f"{folder}/totals")
+    sums = counted.where("kind = 3").select("keys", "counts").mapInArrow(_frugal(_by_first(shards)), "shard int, keys binary, counts binary")
+    sums.repartition("shard").sortWithinPartitions("shard").mapInArrow(_frugal(_totals), _COUNTED).write.parquet(f"{folder}/totals")
     counted = counted.where("kind < 3")
     events = counted.unionByName(spark.read.parquet(f"{folder}/totals"))
     by_level = events.groupBy("kind", "level").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()
@@ -392,7 +424,7 @@ def score(
     seg = (1 << math.ceil(math.log2(need))) // shards
     width = seg // 8
     held = min(shards, max(1, filter_bits // 8 // width))
-    segments = events.select("shard", "level", "keys").repartition("shard").sortWithinPartitions("shard").mapInArrow(_segments(seg), "shard int, bits binary")
+    segments = events.select("shard", "level", "keys").repartition("shard").sortWithinPartitions("shard").mapInArrow(_frugal(_segments(seg)), "shard int, bits binary")
     if held < shards:
         segments.write.parquet(f"{folder}/segments")
         segments = spark.read.parquet(f"{folder}/segments")
@@ -433,7 +465,7 @@ def score(
         for b in batches:
             if not b.num_rows:
                 continue
-            for texts, cols in _some(b, names, "_text", _SLICE * min(len(runs), 2)):
+            for texts, cols in _some(b, names, "_text"):
                 h, before, n = _tokens(texts, memo)
                 exact, count, pair, total_v = facts(h, before)
                 starts = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
@@ -448,7 +480,7 @@ def score(
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([f"`_row_id` {kinds[id_col]}", *(f"`{c}` {kinds[c]}" for c in carry)]) + ", n_tokens long, n_head long, head_score double, score double, tail array<long>"
-    scored = docs.select(F.col(id_col).alias("_row_id"), *(F.col(c) for c in carry), F.col(text_col).cast("string").alias("_text")).mapInArrow(scorer, schema)
+    scored = docs.select(F.col(id_col).alias("_row_id"), *(F.col(c) for c in carry), F.col(text_col).cast("string").alias("_text")).mapInArrow(_frugal(scorer), schema)
     # the ids of rows are dealt after the write, so they hold if a task runs again
     scored = durable(scored).withColumn("_row", F.monotonically_increasing_id())
     rare = counted.where((F.col("kind") == 1) & (F.col("level") < cut)).select("shard", "keys", "counts").mapInArrow(_unpacked, "key long, c long")

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -87,6 +88,19 @@ def test_filter_reads_back_levels():
     assert (lm_bloom.levels(rng.integers(0, 1 << 63, 5000).astype(np.uint64), shard, bits, seg) == 0).mean() > 0.8
 
 
+def test_probes_take_bounded_memory():
+    """Beside its result, what probing takes doesn't follow the number of keys."""
+    keys = np.random.default_rng(1).integers(0, 1 << 63, 1 << 21).astype(np.uint64)
+    shard, bits = np.zeros(len(keys), np.int32), np.full(1 << 10, 0x55, np.uint8)
+    tracemalloc.start()
+    got = lm_bloom.levels(keys, shard, bits, 1 << 13)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < got.nbytes + (16 << 20)
+    some = slice(1 << 17, (1 << 17) + 100)
+    assert (got[some] == lm_bloom.levels(keys[some], shard[some], bits, 1 << 13)).all() and 0 < (got > 0).mean() < 0.2
+
+
 def _classes(fps, radius):
     parent = dict(zip(fps, fps, strict=True))
 
