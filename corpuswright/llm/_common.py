@@ -111,6 +111,14 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def taken(sent):
+    """A broadcast's value, read anew from its file each time, so that a worker holds one at a time."""
+    value = sent.value
+    if getattr(sent, "_path", None):
+        sent.__dict__.pop("_value", None)
+    return value
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (the published splitmix64 constants), vectorised."""
     with np.errstate(over="ignore"):

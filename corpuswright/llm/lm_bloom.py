@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER_BYTES, WordHashes, drop_folder, durable, mix64, shared_folder
+from ._common import LOWER_BYTES, WordHashes, drop_folder, durable, mix64, shared_folder, taken
 
 #: Stands for the end of a text; no word hashes to it but by a 64-bit accident.
 END = 0x656E642D6F662D74
@@ -346,14 +346,6 @@ def _levels(keys: np.ndarray, shard: np.ndarray, bits: np.ndarray, seg: int, fir
     return out
 
 
-def _taken(sent):
-    """A broadcast's value, read anew from its file each time, so that a worker holds one at a time."""
-    value = sent.value
-    if getattr(sent, "_path", None):
-        sent.__dict__.pop("_value", None)
-    return value
-
-
 def levels_in_runs(keys: np.ndarray, shard: np.ndarray, runs: list, per: int, seg: int) -> np.ndarray:
     """levels() of keys of all shards; `runs` are broadcasts of the bits of `per` shards each."""
     if len(runs) == 1:
@@ -364,7 +356,7 @@ def levels_in_runs(keys: np.ndarray, shard: np.ndarray, runs: list, per: int, se
     edges = np.searchsorted(run[order], np.arange(len(runs) + 1))
     for i in np.flatnonzero(np.diff(edges)):
         own = order[edges[i] : edges[i + 1]]
-        out[own] = levels(keys[own], shard[own], _taken(runs[i]), seg, int(i) * per)
+        out[own] = levels(keys[own], shard[own], taken(runs[i]), seg, int(i) * per)
     return out
 
 

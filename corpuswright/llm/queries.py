@@ -44,7 +44,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Perplexity and verdict of all documents by a model of 2,000 trusted ones."""
+    """Perplexity and verdict of all documents by a model of half of all trusted ones, thresholds by the other half."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     trusted = kneser_ney.trusted_ids(labels)
     model = kneser_ney.fit(kneser_ney.fit_rows(docs, trusted))

@@ -439,6 +439,24 @@ def test_fit_is_bounded_in_bytes(spark):
     assert 0 < len(small.words.keys) < len(whole.words.keys)
 
 
+def test_the_fit_is_half_of_all_trusted_rows(spark):
+    """No number of rows or bytes bounds it, and a model in runs says what a whole one does."""
+    labels = spark.range(9001).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    trusted = kneser_ney.trusted_ids(labels)
+    want = sorted(range(9001), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())[:4501]
+    assert {r.doc_id for r in trusted.where("fit").collect()} == set(want) and trusted.count() == 9001
+    docs = spark.range(9001).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.col("id") % 7, F.col("id") % 11, "id").alias("text"))
+    rows = kneser_ney.fit_rows(docs, trusted)
+    assert rows.count() == 4501
+    large = kneser_ney.fit(rows.withColumn("text", F.concat("text", F.repeat(F.lit(" x"), 2000))))  # 18 MB
+    assert len(large.words.keys) > 4480
+    whole, runs = (kneser_ney.fit(rows, run=n) for n in (1 << 21, 1000))
+    assert not whole.runs and len(runs.runs) > 8
+    a, b = ({(r.doc_id, r.perplexity) for r in kneser_ney.with_perplexity(docs, m).collect()} for m in (whole, runs))
+    assert len(a) == 9001 and a == b
+    runs.release()
+
+
 def test_thresholds_fall_back_to_fit_rows(spark):
     labels = spark.createDataFrame([(i, 1) for i in range(6)] + [(None, 1), (3, 1), (9, 0)], "doc_id long, quality int")
     trusted = kneser_ney.trusted_ids(labels)
