@@ -91,7 +91,7 @@ def test_filter_reads_back_levels():
 def test_probes_take_bounded_memory():
     """Beside its result, what probing takes doesn't follow the number of keys."""
     keys = np.random.default_rng(1).integers(0, 1 << 63, 1 << 21).astype(np.uint64)
-    shard, bits = np.zeros(len(keys), np.int32), np.full(1 << 10, 0x55, np.uint8)
+    shard, bits = np.zeros(len(keys), np.int32), np.random.default_rng(2).integers(0, 256, 1 << 10).astype(np.uint8)
     tracemalloc.start()
     got = lm_bloom.levels(keys, shard, bits, 1 << 13)
     most = tracemalloc.get_traced_memory()[1]
