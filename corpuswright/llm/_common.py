@@ -18,6 +18,8 @@ LOWER = UPPER.lower()
 #: bytes.translate table that lower-cases A-Z; bytes of other code points stay.
 LOWER_BYTES = bytes(range(256)).replace(UPPER.encode(), LOWER.encode())
 _U64 = np.uint64
+#: Bounds what crosses to Python at once by bytes: an Arrow batch is held there and in the JVM.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 def let(value: Column, use) -> Column:
@@ -105,6 +107,19 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """The session's settings as given; at the end they are what they were."""
+    were = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in were.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -119,6 +134,28 @@ def taken(sent):
     return value
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a reused worker would else keep each stage's peak through all later ones."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def frugal(run):
+    """run, a function of batches, that gives freed memory back when a task begins and when it is over."""
+
+    def wrapped(batches):
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (the published splitmix64 constants), vectorised."""
     with np.errstate(over="ignore"):

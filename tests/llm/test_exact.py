@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import pathlib
 import random
 import re
 import tracemalloc
@@ -457,6 +458,24 @@ def test_the_fit_is_half_of_all_trusted_rows(spark):
     runs.release()
 
 
+def test_a_fit_keeps_little_on_disk(spark):
+    """All that it writes to the shared folder goes, and n-grams travel in 6 bytes at most, exactly."""
+    base = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    held = lambda: sum(x.stat().st_size for x in base.rglob("*") if x.is_file())
+    rows = spark.range(3000).select(F.concat_ws(" ", F.col("id") % 7, F.col("id") * 31 % 1009, "id", F.col("id") % 11).alias("text"))
+    before = held()
+    model = kneser_ney.fit(rows)
+    assert held() - before < 10_000
+    for table in (model.words, model.pairs, model.contexts, model.triples):
+        packed = kneser_ney.Packed.of(table)
+        if len(table.keys) > 8000:
+            assert packed.low.nbytes + sum(len(x) for _, _, x in packed.rest[1:]) < 6 * len(table.keys)
+        again = packed.table()
+        assert all(np.array_equal(x, y) for x, y in zip((table.keys, *table.values), (again.keys, *again.values), strict=True))
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2))
+    assert np.array_equal(kneser_ney._decoded(kneser_ney._coded(keys)), keys >> np.uint64(16))
+
+
 def test_thresholds_fall_back_to_fit_rows(spark):
     labels = spark.createDataFrame([(i, 1) for i in range(6)] + [(None, 1), (3, 1), (9, 0)], "doc_id long, quality int")
     trusted = kneser_ney.trusted_ids(labels)
