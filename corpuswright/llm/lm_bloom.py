@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER_BYTES, WordHashes, drop_folder, durable, mix64, shared_folder, taken
+from ._common import LOWER_BYTES, SMALL_BATCHES, WordHashes, drop_folder, durable, frugal, give_back, mix64, settings, shared_folder, taken
 
 #: Stands for the end of a text; no word hashes to it but by a 64-bit accident.
 END = 0x656E642D6F662D74
@@ -108,28 +108,6 @@ def _pair_shard(h: np.ndarray, before: np.ndarray, shards: int) -> np.ndarray:
         return ((mix64(before + _ODD) >> rest << np.uint64(5)) | (h >> np.uint64(59))).astype(np.int32)
 
 
-def _give_back() -> None:
-    """Returns freed memory to the system: a reused worker would else keep each stage's peak through all later ones."""
-    import ctypes
-
-    import pyarrow as pa
-
-    pa.default_memory_pool().release_unused()
-    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-        libc.malloc_trim(0)
-
-
-def _frugal(run):
-    """run, a function of batches, that gives freed memory back when a task begins and when it is over."""
-
-    def wrapped(batches):
-        _give_back()
-        yield from run(batches)
-        _give_back()
-
-    return wrapped
-
-
 _NO_KEYS = np.zeros(0, np.uint64)
 
 
@@ -172,7 +150,7 @@ def _counter(text: str, shards: int):
                 size += len(h)
                 if size >= _CHUNK:
                     yield from out()
-                    _give_back()
+                    give_back()
                     size = 0
         if held:
             yield from out()
@@ -395,17 +373,22 @@ def score(
     A null or empty text is one end token. With no training rows N and V are 0 and
     every token has probability 1. Other columns are not touched.
     """
+    with settings(docs.sparkSession, SMALL_BATCHES):
+        return _score(train, docs, id_col, text_col, carry, filter_bits, head_words, discount, room)
+
+
+def _score(train: DataFrame, docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...], filter_bits: int, head_words: int, discount: float, room: int) -> DataFrame:
     import pyarrow as pa
 
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = 1 << max(8, math.ceil(math.log2(2 * parts)))
     folder = shared_folder(spark)
-    blocks = train.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_frugal(_counter("text", shards)), "kind int, shard int, keys binary, counts binary, first binary")
-    blocks.repartition("kind", "shard").sortWithinPartitions("kind", "shard").mapInArrow(_frugal(_adder), _COUNTED).write.parquet(f"{folder}/counts")
+    blocks = train.select(F.col(text_col).cast("string").alias("text")).mapInArrow(frugal(_counter("text", shards)), "kind int, shard int, keys binary, counts binary, first binary")
+    blocks.repartition("kind", "shard").sortWithinPartitions("kind", "shard").mapInArrow(frugal(_adder), _COUNTED).write.parquet(f"{folder}/counts")
     counted = spark.read.parquet(f"{folder}/counts")
-    sums = counted.where("kind = 3").select("keys", "counts").mapInArrow(_frugal(_by_first(shards)), "shard int, keys binary, counts binary")
-    sums.repartition("shard").sortWithinPartitions("shard").mapInArrow(_frugal(_totals), _COUNTED).write.parquet(f"{folder}/totals")
+    sums = counted.where("kind = 3").select("keys", "counts").mapInArrow(frugal(_by_first(shards)), "shard int, keys binary, counts binary")
+    sums.repartition("shard").sortWithinPartitions("shard").mapInArrow(frugal(_totals), _COUNTED).write.parquet(f"{folder}/totals")
     counted = counted.where("kind < 3")
     events = counted.unionByName(spark.read.parquet(f"{folder}/totals"))
     by_level = events.groupBy("kind", "level").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()
@@ -416,7 +399,7 @@ def score(
     seg = (1 << math.ceil(math.log2(need))) // shards
     width = seg // 8
     held = min(shards, max(1, filter_bits // 8 // width))
-    segments = events.select("shard", "level", "keys").repartition("shard").sortWithinPartitions("shard").mapInArrow(_frugal(_segments(seg)), "shard int, bits binary")
+    segments = events.select("shard", "level", "keys").repartition("shard").sortWithinPartitions("shard").mapInArrow(frugal(_segments(seg)), "shard int, bits binary")
     if held < shards:
         segments.write.parquet(f"{folder}/segments")
         segments = spark.read.parquet(f"{folder}/segments")
@@ -472,7 +455,7 @@ def score(
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([f"`_row_id` {kinds[id_col]}", *(f"`{c}` {kinds[c]}" for c in carry)]) + ", n_tokens long, n_head long, head_score double, score double, tail array<long>"
-    scored = docs.select(F.col(id_col).alias("_row_id"), *(F.col(c) for c in carry), F.col(text_col).cast("string").alias("_text")).mapInArrow(_frugal(scorer), schema)
+    scored = docs.select(F.col(id_col).alias("_row_id"), *(F.col(c) for c in carry), F.col(text_col).cast("string").alias("_text")).mapInArrow(frugal(scorer), schema)
     # the ids of rows are dealt after the write, so they hold if a task runs again
     scored = durable(scored).withColumn("_row", F.monotonically_increasing_id())
     rare = counted.where((F.col("kind") == 1) & (F.col("level") < cut)).select("shard", "keys", "counts").mapInArrow(_unpacked, "key long, c long")

@@ -458,6 +458,28 @@ def test_the_fit_is_half_of_all_trusted_rows(spark):
     runs.release()
 
 
+def test_texts_reach_the_model_in_small_batches(spark, monkeypatch):
+    real = lm_bloom._counter
+
+    def checked(text, shards):
+        count = real(text, shards)
+
+        def run(batches):
+            def small():
+                for b in batches:
+                    assert b.num_rows <= 1000
+                    yield b
+
+            yield from count(small())
+
+        return run
+
+    monkeypatch.setattr(lm_bloom, "_counter", checked)
+    docs = spark.range(0, 5000, 1, 1).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.col("id") % 7, "id").alias("text"))
+    assert lm_bloom.score(docs, docs).count() == 5000
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+
+
 def test_a_fit_keeps_little_on_disk(spark):
     """All that it writes to the shared folder goes, and n-grams travel in 6 bytes at most, exactly."""
     base = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
