@@ -6,12 +6,14 @@ asks for all segment values that differ from its own in r bits; Spark joins thes
 probes to the index by (segment, value), and the codes met are verified by their
 full distance. A code that shares no segment within r bits lies at segments x (r + 1)
 or further, so a query closes once its k-th verified distance is less than that.
-DataFrame functions only.
+Rounds of many probes go segment by segment: each covers one bit of distance more,
+and most queries close before the last. DataFrame functions only.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -39,6 +41,18 @@ def segments(dims: int, codes: int) -> list[tuple[int, int, int]]:
     return out
 
 
+#: Probes of a segment beyond which a round goes segment by segment.
+_MOST = 1024
+
+
+def steps(parts: list[tuple[int, int, int]]) -> Iterator[tuple[int, list[int], int]]:
+    """(radius, segments probed together, the distance up to which all codes have been met then)."""
+    for r in range(max(width for _, _, width in parts) + 1):
+        own = [i for i, s in enumerate(parts) if r <= s[2]]
+        for some in [[i] for i in own] if max(math.comb(parts[i][2], r) for i in own) > _MOST else [own]:
+            yield r, some, len(parts) * (r + (some[-1] == own[-1])) + (-1 if some[-1] == own[-1] else some[-1])
+
+
 def _longs(values: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")  # folded to one literal
 
@@ -69,10 +83,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     open_ = asked.select(*q).distinct()
     best, closed = None, []
     nearest = Window.partitionBy(*q).orderBy("distance", "least")
-    for r in range(max(width for _, _, width in parts) + 1):
-        masks = {width: _longs([sum(1 << i for i in x) for x in combinations(range(width), r)]) for width in {s[2] for s in parts} if r <= width}
+    for r, some, covered in steps(parts):
+        masks = {width: _longs([sum(1 << i for i in x) for x in combinations(range(width), r)]) for width in {parts[i][2] for i in some}}
         probe = lambda i, s: F.transform(masks[s[2]], lambda m: F.struct(F.lit(i).alias("s"), value(q, s).bitwiseXOR(m).alias("v")))
-        probes = [probe(i, s) for i, s in enumerate(parts) if s[2] in masks]
+        probes = [probe(i, parts[i]) for i in some]
         met = open_.select(*q, F.explode(F.concat(*probes)).alias("p")).select(*q, "p.*").join(index, ["s", "v"])
         apart = [F.bit_count(value(q, s).bitwiseXOR(value(c, s))) for s in parts]
         # a code counts at the least radius of its segments, in the first segment that has it
@@ -84,7 +98,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
         # k codes a query are enough: an answer has a row of each of its codes' least ids
         best = found if best is None else best.unionByName(found)
         best = durable(best.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k).drop("n"))
-        covered = len(parts) * (r + 1) - 1
         done = best.where(F.col("distance") <= covered).groupBy(*q).agg(F.sum("weight").alias("w")).where(F.col("w") >= k).select(*q)
         closed.append(best.join(done, q, "left_semi"))
         open_ = durable(open_.join(done, q, "left_anti"))

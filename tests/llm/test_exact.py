@@ -458,6 +458,18 @@ def test_the_fit_is_half_of_all_trusted_rows(spark):
     runs.release()
 
 
+def test_wide_rounds_go_segment_by_segment(spark, monkeypatch):
+    """The same neighbours as all pairs give, and no more segments than the distance asks for."""
+    assert [(len(some), covered) for r, some, covered in mih.steps([(0, 0, 16)] * 4) if r in (3, 4)] == [(4, 15), (1, 16), (1, 17), (1, 18), (1, 19)]
+    monkeypatch.setattr(mih, "_MOST", 1)
+    rng = random.Random(5)
+    rows = [(i, [rng.choice((-1.0, 1.0)) for _ in range(20)]) for i in range(120)]
+    code = {i: [x > 0 for x in v] for i, v in rows}
+    want = {(q, *x) for q in range(0, 120, 10) for x in [(n, d) for d, n in sorted((sum(a != b for a, b in zip(code[q], c, strict=True)), i) for i, c in code.items())[:5]]}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {(r.query_id, r.neighbor_id, r.distance) for r in mih.top_k(df, df.where("vec_id % 10 = 0"), k=5).collect()} == want
+
+
 def test_texts_reach_the_model_in_small_batches(spark, monkeypatch):
     real = lm_bloom._counter
 
