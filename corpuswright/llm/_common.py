@@ -145,6 +145,23 @@ def give_back() -> None:
         libc.malloc_trim(0)
 
 
+def give_back_heap(spark: SparkSession) -> None:
+    """Returns the driver's heap beyond its least free share to the system.
+
+    What results leave when they pass through would else have the heap grow to its limit
+    and stay there. For that one collection, the most free share (a setting that a running
+    JVM may change) is the least one.
+    """
+    jvm = spark.sparkContext._jvm
+    options = jvm.java.lang.management.ManagementFactory.getPlatformMXBean(jvm.java.lang.Class.forName("com.sun.management.HotSpotDiagnosticMXBean"))
+    most = options.getVMOption("MaxHeapFreeRatio").getValue()
+    options.setVMOption("MaxHeapFreeRatio", options.getVMOption("MinHeapFreeRatio").getValue())
+    try:
+        jvm.System.gc()
+    finally:
+        options.setVMOption("MaxHeapFreeRatio", most)
+
+
 def frugal(run):
     """run, a function of batches, that gives freed memory back when a task begins and when it is over."""
 

@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpuswright.llm import bpe, kneser_ney, license_scan, lm_bloom, mih, queries, secrets, simhash, url_filter
+from corpuswright.llm import _common, bpe, kneser_ney, license_scan, lm_bloom, mih, queries, secrets, simhash, url_filter
 from corpuswright.llm._common import LOWER_BYTES
 from corpuswright.llm.components import connected_components
 
@@ -510,6 +510,35 @@ def test_a_fit_keeps_little_on_disk(spark):
     assert np.array_equal(kneser_ney._decoded(kneser_ney._coded(keys)), keys >> np.uint64(16))
 
 
+def test_runs_are_packed_by_executors(spark, monkeypatch):
+    """The driver sorts and packs nothing, and a run of several routes has no more n-grams than asked for."""
+    rows = spark.range(3000).select(F.concat_ws(" ", F.col("id") % 7, F.col("id") * 31 % 1009, "id", F.col("id") % 11).alias("text"))
+    whole = kneser_ney.fit(rows, run=1 << 21)
+
+    def refused(table):
+        raise AssertionError("packed on the driver")
+
+    monkeypatch.setattr(kneser_ney.Packed, "of", refused)
+    model = kneser_ney.fit(rows, run=1500)
+    # words are dealt by their hashes, so that a run has its share nearly
+    for runs, table, most in ((model.words, whole.words, 1650), (model.pairs, whole.pairs, 1500), (model.triples, whole.triples, 1500)):
+        parts = [kneser_ney.taken(x).table() for x in runs.sent]
+        assert len(parts) > 1 and max(len(x.keys) for x in parts) <= most
+        again = kneser_ney.Table.of(np.concatenate([x.keys for x in parts]), [np.concatenate([x.values[i] for x in parts]) for i in range(runs.values)])
+        assert all(np.array_equal(x, y) for x, y in zip((again.keys, *again.values), (table.keys, *table.values), strict=True))
+    model.release()
+    assert kneser_ney._starts([3, 0, 4, 9, 1, 1], 7) == [0, 3, 4] and kneser_ney._starts([0, 0], 7) == [0]
+
+
+def test_the_drivers_heap_goes_back(spark):
+    memory = spark._jvm.java.lang.management.ManagementFactory.getMemoryMXBean()
+    assert len(spark._jvm.java.util.Arrays.copyOf(bytearray(1), 80 << 20)) == 80 << 20  # passes through as text, several times as large
+    before = memory.getHeapMemoryUsage().getCommitted()
+    _common.give_back_heap(spark)
+    after = memory.getHeapMemoryUsage()
+    assert after.getCommitted() < before and after.getCommitted() < 2 * after.getUsed() + (64 << 20)
+
+
 def test_thresholds_fall_back_to_fit_rows(spark):
     labels = spark.createDataFrame([(i, 1) for i in range(6)] + [(None, 1), (3, 1), (9, 0)], "doc_id long, quality int")
     trusted = kneser_ney.trusted_ids(labels)
