@@ -146,11 +146,12 @@ def give_back() -> None:
 
 
 def give_back_heap(spark: SparkSession) -> None:
-    """Returns the driver's heap beyond its least free share to the system.
+    """Returns the driver's heap beyond its least free share to the system, and freed native memory.
 
     What results leave when they pass through would else have the heap grow to its limit
     and stay there. For that one collection, the most free share (a setting that a running
-    JVM may change) is the least one.
+    JVM may change) is the least one. The collection also frees what Spark keeps of
+    shuffles and plans that are gone.
     """
     jvm = spark.sparkContext._jvm
     options = jvm.java.lang.management.ManagementFactory.getPlatformMXBean(jvm.java.lang.Class.forName("com.sun.management.HotSpotDiagnosticMXBean"))
@@ -160,6 +161,31 @@ def give_back_heap(spark: SparkSession) -> None:
         jvm.System.gc()
     finally:
         options.setVMOption("MaxHeapFreeRatio", most)
+    trim_native(spark)
+
+
+def trim_native(spark: SparkSession) -> bool:
+    """Has the driver's JVM return its C library's freed memory, which its compiler leaves; False if it has no such command."""
+    from py4j.protocol import Py4JJavaError
+
+    jvm, new_array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    kind = jvm.java.lang.Class.forName
+
+    def array(of, values):
+        out = new_array(of, len(values))
+        for i, x in enumerate(values):
+            out[i] = x
+        return out
+
+    # the server's class isn't public, its interface is
+    types = ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")
+    invoke = kind("javax.management.MBeanServer").getMethod("invoke", array(jvm.java.lang.Class, [kind(x) for x in types]))
+    name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    try:
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), array(jvm.java.lang.Object, [name, "systemTrimNativeHeap", None, None]))
+    except Py4JJavaError:
+        return False
+    return True
 
 
 def frugal(run):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import durable
+from ._common import durable, give_back_heap
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -21,6 +21,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     e = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     e = durable(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while _chains(e):
+        give_back_heap(e.sparkSession)  # each round has plans and shuffles of its own
         e = _star(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), large=True)
         e = durable(_star(e, large=False).distinct())
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

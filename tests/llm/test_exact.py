@@ -14,6 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from corpuswright.llm import _common, bpe, kneser_ney, license_scan, lm_bloom, mih, queries, secrets, simhash, url_filter
 from corpuswright.llm._common import LOWER_BYTES
 from corpuswright.llm.components import connected_components
@@ -539,6 +540,18 @@ def test_the_drivers_heap_goes_back(spark):
     assert after.getCommitted() < before and after.getCommitted() < 2 * after.getUsed() + (64 << 20)
 
 
+def test_components_and_stages_give_the_drivers_memory_back(spark, docs, sf):
+    assert _common.trim_native(spark)
+    memory = spark._jvm.java.lang.management.ManagementFactory.getMemoryMXBean()
+    chain = spark.createDataFrame([(i, i + 1) for i in range(5)], "a long, b long")
+    for step in (lambda: connected_components(chain), lambda: corpus_pipeline.tokens(spark, docs, sf), lambda: corpus_pipeline.mix(spark, docs, sf)):
+        assert len(spark._jvm.java.util.Arrays.copyOf(bytearray(1), 80 << 20)) == 80 << 20  # passes through as text, several times as large
+        before = memory.getHeapMemoryUsage().getCommitted()
+        step()
+        after = memory.getHeapMemoryUsage()
+        assert after.getCommitted() < before and after.getCommitted() < 2 * after.getUsed() + (128 << 20)
+
+
 def test_thresholds_fall_back_to_fit_rows(spark):
     labels = spark.createDataFrame([(i, 1) for i in range(6)] + [(None, 1), (3, 1), (9, 0)], "doc_id long, quality int")
     trusted = kneser_ney.trusted_ids(labels)
