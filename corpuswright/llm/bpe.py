@@ -1,11 +1,11 @@
-"""Byte-level BPE encoding and decoding by dynamic programming over prefixes.
+"""Byte-level BPE encoding and decoding, from left to right.
 
-For every prefix of a piece, its BPE encoding ends in one token, the last token of
-that prefix. The last token of prefix i is the unique vocabulary token t that ends
-at i such that t may follow the last token of the prefix before it: side by side
-the two encode to themselves, which a pair test tells by undoing merges. A suffix
-automaton of the vocabulary yields all tokens that end at each place.
-Back-pointers from the last place give the ids.
+For every prefix of a piece, its BPE encoding ends in one token, and the tokens before
+it are the encoding of the prefix before. Tokens are the encoding if each two side by
+side encode to themselves, which a pair test tells by undoing merges. So the longest
+token of a trie that may follow is taken at each place, then shorter ones; a place from
+which none leads on is dead for good, and the token before it is taken back. Each place
+is entered once, so the work is linear in a piece.
 
 The vocabulary must be one that merges have trained: every merged token is then
 its own encoding. Its file must ask for this family's byte-level splitting and
@@ -57,7 +57,7 @@ class _Remembered(dict):
 
 
 class SuffixAutomaton:
-    """The suffix automaton of a set of words: a state a class of substrings that end at the same places.
+    """The suffix automaton of a set of words: a state a class of substrings that end at the same places. (Encoding uses a trie.)
 
     next_[state] leads on by a byte; link[state] is the state of the longest suffix
     in another class; words[state] are (length, id), longest first, of the words in the
@@ -128,9 +128,9 @@ _MOST_PAIRS = 2_000_000
 
 
 class ByteBPE:
-    """Encoder and decoder of a vocabulary file's text; remembers some `most` pieces' ids."""
+    """Encoder and decoder of a vocabulary file's text; remembers the ids of some `most` chunks and pieces."""
 
-    def __init__(self, vocabulary: str, most: int = 150_000):
+    def __init__(self, vocabulary: str, most: int = 225_000):
         spec = json.loads(vocabulary)
         self._check(spec)
         back = {c: b for b, c in byte_letters().items()}
@@ -150,14 +150,31 @@ class ByteBPE:
             self.merge[pair] = rank
             if whole not in self.parts:
                 self.parts[whole], self.rank[whole] = pair, rank
-        self.automaton = SuffixAutomaton({t: i for t, i in id_of.items() if len(t) == 1 or i in self.parts})
+        self.n_ids = max(id_of.values()) + 1
+        #: The tokens that merges make, and the bytes.
+        self.own = {t: i for t, i in id_of.items() if len(t) == 1 or i in self.parts}
+        self.longest = max(map(len, self.own))
+        #: Of each token its bytes, and the longest other token that it starts with (-1: none).
+        self.size, self.shorter = [0] * self.n_ids, [-1] * self.n_ids
+        self.trie = self._grown()
         self.split = regex.compile(PATTERN)
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        self.names = list(map(str, range(self.n_ids)))
         self.name_bytes = {str(i): b for i, b in self.bytes_of.items()}
         self.chunks = _Remembered(self._chunk, most)
-        self.pieces = _Remembered(self._piece, most // 2)
         self.known: dict[int, bool] = {}
-        self.n_ids = max(id_of.values()) + 1
+
+    def _grown(self) -> dict:
+        """The tokens' trie: a node has nodes by byte, and at -1 the longest token on the way to it."""
+        root: dict = {-1: -1}
+        for word in sorted(self.own):  # a word's prefixes come before it
+            node = root
+            for c in word[:-1]:
+                node = node.setdefault(c, {-1: node[-1]})
+            token = self.own[word]
+            self.size[token], self.shorter[token] = len(word), node[-1]
+            node[word[-1]] = {-1: token}
+        return root
 
     @staticmethod
     def _check(spec: dict) -> None:
@@ -190,47 +207,59 @@ class ByteBPE:
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one piece of the split text."""
+        whole = self.own.get(piece)
+        if whole is not None:
+            return [whole]
         n = len(piece)
-        last, size = [0] * n, [0] * n
-        auto, known, fits, n_ids = self.automaton, self.known, self.fits, self.n_ids
-        next_, link, length, words = auto.next_, auto.link, auto.length, auto.words
-        state, matched, end = 0, 0, 0
-        for c in piece:
-            while c not in next_[state]:  # every byte is a token, so the first state has all
-                state = link[state]
-                matched = length[state]
-            state = next_[state][c]
-            matched += 1
-            for long, token in words[state]:
-                if long > matched:
-                    continue
-                if long <= end:
-                    pair = last[end - long] * n_ids + token
+        root, size, shorter = self.trie, self.size, self.shorter
+        known, fits, n_ids, longest = self.known, self.fits, self.n_ids, self.longest
+        out: list[int] = []
+        dead = bytearray(n + 1)
+        at, left, token = 0, -1, -1
+        while at < n:
+            if token < 0:
+                node = root[piece[at]]  # every byte is a token
+                for c in piece[at + 1 : at + longest]:
+                    after = node.get(c)
+                    if after is None:
+                        break
+                    node = after
+                token = node[-1]
+            while token >= 0:
+                end = at + size[token]
+                if not dead[end]:
+                    if left < 0:
+                        break
+                    pair = left * n_ids + token
                     ok = known.get(pair)
                     if ok is None:
                         if len(known) >= _MOST_PAIRS:
                             known.clear()
-                        known[pair] = ok = fits(last[end - long], token)
-                    if not ok:
-                        continue
-                last[end], size[end] = token, long  # the prefix has one last token
-                break
-            end += 1
-        out, at = [], n - 1
-        while at >= 0:
-            out.append(last[at])
-            at -= size[at]
-        out.reverse()
+                        known[pair] = ok = fits(left, token)
+                    if ok:
+                        break
+                token = shorter[token]
+            if token >= 0:
+                out.append(token)
+                at, left, token = end, token, -1
+            else:  # this prefix's one encoding leads nowhere: back to a shorter one of its last token
+                dead[at] = 1
+                token = out.pop()
+                at -= size[token]
+                left = out[-1] if out else -1
         return out
 
     def _piece(self, piece: str) -> str:
-        return ",".join(map(str, self.encode_piece(piece.encode())))
+        return ",".join(map(self.names.__getitem__, self.encode_piece(piece.encode())))
 
     def _chunk(self, chunk: str) -> str:
+        word = chunk[1:] if chunk[0] == " " else chunk
+        if word.isascii() and word.isalpha():  # one piece, as most chunks are
+            return self._piece(chunk)
         pieces = self.split.findall(chunk)
-        if len(chunk) > 256:  # not worth remembering
+        if len(pieces) == 1 or len(chunk) > 256:  # not worth remembering
             return ",".join(map(self._piece, pieces))
-        return ",".join(map(self.pieces.__getitem__, pieces))
+        return ",".join(map(self.chunks.__getitem__, pieces))  # a piece by itself is split no further
 
     def encode(self, text: str) -> str:
         """A text's ids, decimal and joined by commas."""

@@ -245,6 +245,25 @@ def test_bpe_digests(spark, sf):
         assert r.decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_bpe_tests_pairs_only_where_tokens_may_end():
+    """Tokens and ASCII words need no pair test and no split; pieces that make it go back agree with the merges."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    own, theirs, rng = bpe.ByteBPE(open(path, encoding="utf-8").read()), Tokenizer.from_file(path), random.Random(4)
+    words = [" " + "".join(w) for w in itertools.product("athe", "oni", "st", "erw", "ing")]
+    odd = ["".join(rng.choice(["=", "==", "-", "_", "wW", "é", "漢", "😀", "er", "the"]) for _ in range(rng.randint(1, 30))) for _ in range(600)]
+    for t in words + odd:
+        assert own.encode(t) == ",".join(map(str, theirs.encode(t, add_special_tokens=False).ids))
+    want = [own.encode(w) for w in words]
+    own.split = None
+    own.chunks.clear()
+    assert [own.encode(w) for w in words] == want
+    own.fits = None
+    own.known.clear()
+    assert all(own.encode_piece(b) == [i] for i, b in own.bytes_of.items())
+
+
 def test_suffix_automaton_finds_every_word():
     rng = random.Random(2)
     for _ in range(60):
