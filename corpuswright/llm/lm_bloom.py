@@ -306,38 +306,62 @@ def levels(keys: np.ndarray, shard: np.ndarray, bits: np.ndarray, seg: int, firs
 
 def _levels(keys: np.ndarray, shard: np.ndarray, bits: np.ndarray, seg: int, first: int) -> np.ndarray:
     out = np.zeros(len(keys), dtype=np.int16)
-    live = np.arange(len(keys))
-    base_of = (shard - first).astype(np.uint64) * np.uint64(seg)
+    live, base = np.arange(len(keys)), (shard - first).astype(np.uint64) * np.uint64(seg)
+    inside, seven = np.uint64(seg - 1), np.uint64(7)
     level = 0
     while len(live) and level < 512:
         level += 1
-        k = keys[live]
         with np.errstate(over="ignore"):
-            x = mix64(k + np.uint64(level) * _ODD)
+            x = mix64(keys + np.uint64(level) * _ODD)
             step = (x >> np.uint64(32)) | np.uint64(1)
-            base = base_of[live]
+            held = None  # those of live that no probe missed; None: all
             for _ in range(_PROBES):
-                p = base + (x & np.uint64(seg - 1))
-                ok = ((bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-                live, x, step, base = live[ok], x[ok] + step[ok], step[ok], base[ok]
+                p = (x & inside) + base
+                bit = bits.take((p >> np.uint64(3)).view(np.int64)) >> (p & seven).astype(np.uint8) & np.uint8(1)
+                ok = np.flatnonzero(bit.view(bool))
+                if len(ok) < len(p):
+                    held = ok if held is None else held.take(ok)
+                    x, step, base = x.take(ok), step.take(ok), base.take(ok)
+                x += step
+        if held is not None:
+            live, keys = live.take(held), keys.take(held)
         out[live] = level
     return out
 
 
 def levels_in_runs(keys: np.ndarray, shard: np.ndarray, runs: list, per: int, seg: int) -> np.ndarray:
-    """levels() of keys of all shards; `runs` are broadcasts of the bits of `per` shards each."""
-    if len(runs) == 1:
-        return levels(keys, shard, runs[0].value, seg)
+    """levels() of keys of all shards; `runs` are broadcasts of the bits of `per` shards each.
+
+    Keys go shard by shard, so that probes which follow each other stay within a segment.
+    """
     out = np.zeros(len(keys), dtype=np.int16)
-    run = (shard // per).astype(np.int32)
-    order = np.argsort(run, kind="stable")
-    edges = np.searchsorted(run[order], np.arange(len(runs) + 1))
+    order = np.argsort(shard.astype(np.min_scalar_type(int(shard.max(initial=0)))), kind="stable")
+    edges = np.searchsorted(shard, np.arange(len(runs) + 1) * per, sorter=order)
     for i in np.flatnonzero(np.diff(edges)):
-        own = order[edges[i] : edges[i + 1]]
-        out[own] = levels(keys[own], shard[own], taken(runs[i]), seg, int(i) * per)
+        bits = runs[0].value if len(runs) == 1 else taken(runs[i])
+        for j in range(edges[i], edges[i + 1], _PROBED):
+            own = order[j : min(j + _PROBED, edges[i + 1])]
+            out[own] = _levels(keys[own], shard[own], bits, seg, int(i) * per)
     return out
 
 
+def looked_up(h: np.ndarray, before: np.ndarray, starts: np.ndarray, shards: int, levels_of) -> tuple[np.ndarray, ...]:
+    """The distinct hashes, each place's number among them, and the filter's counts at each place: of its hash, of its pair, and of all pairs with its first word.
+
+    levels_of(keys, shards) is asked once for each distinct key. Frequent pairs have many levels, so a
+    pair looked up at each of its places would cost the most.
+    """
+    u, where = np.unique(h, return_inverse=True)
+    pairs, at, pair_at = np.unique(_bigrams(h, before), return_index=True, return_inverse=True)
+    totals = _total_key(np.append(u, np.uint64(0)))
+    shard = np.concatenate([_key_shard(u, shards), _pair_shard(h[at], before[at], shards), _key_shard(totals, shards)])
+    level = levels_of(np.concatenate([u, pairs, totals]), shard)
+    first = np.concatenate([where[-1:], where[:-1]])  # the word before is the hash at the place before, none (0) at a start
+    first[starts] = len(u)
+    n, m = len(u), len(u) + len(pairs)
+    return u, where, typical(level[:n])[where], typical(level[n:m])[pair_at], total_of(level[m:])[first]
+
+
 def typical(level: np.ndarray) -> np.ndarray:
     """The count that a level stands for: the middle of 2^(q-1) .. 2^q - 1, 0 for none."""
     q = level.astype(np.float64)
@@ -425,25 +449,22 @@ def _score(train: DataFrame, docs: DataFrame, id_col: str, text_col: str, carry:
         known, known_n = sent.value
         memo = WordHashes()
 
-        def facts(h, before):
+        levels_of = lambda keys, shard: levels_in_runs(keys, shard, runs, held, seg)
+
+        def facts(h, before, starts):
             """Exact count (-1: not in the head) of each hash; the filter's counts of each hash, of each pair, and of all pairs with its first word."""
-            u, where = np.unique(h, return_inverse=True)
-            f, first = np.unique(before, return_inverse=True)
+            u, where, count, pair, total_v = looked_up(h, before, starts, shards, levels_of)
             at = np.minimum(np.searchsorted(known, u), max(len(known) - 1, 0))
             exact = np.where(known[at] == u, known_n[at], -1) if len(known) else np.full(len(u), -1)
-            totals = _total_key(f)
-            keys = np.concatenate([u, _bigrams(h, before), totals])
-            shard = np.concatenate([_key_shard(u, shards), _pair_shard(h, before, shards), _key_shard(totals, shards)])
-            level = levels_in_runs(keys, shard, runs, held, seg)
-            return exact[where], typical(level[: len(u)])[where], typical(level[len(u) : -len(f)]), total_of(level[-len(f) :])[first]
+            return exact[where], count, pair, total_v
 
         for b in batches:
             if not b.num_rows:
                 continue
             for texts, cols in _some(b, names, "_text"):
                 h, before, n = _tokens(texts, memo)
-                exact, count, pair, total_v = facts(h, before)
                 starts = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
+                exact, count, pair, total_v = facts(h, before, starts)
                 sum_by = lambda x, starts=starts: np.add.reduceat(x, starts)
                 in_head = exact >= 0
                 base = sum_by(np.where(in_head, np.log10(np.where(in_head, exact, 0) + 0.5), 0.0) - math.log10(floor))

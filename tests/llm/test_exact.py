@@ -90,6 +90,36 @@ def test_filter_reads_back_levels():
     assert (lm_bloom.levels(rng.integers(0, 1 << 63, 5000).astype(np.uint64), shard, bits, seg) == 0).mean() > 0.8
 
 
+def test_each_distinct_key_is_looked_up_once():
+    rng = np.random.default_rng(3)
+    texts = [b" ".join(rng.choice([b"a", b"b", b"c", b"d"], int(n))) for n in rng.integers(0, 60, 50)]
+    h, before, n = lm_bloom._tokens(texts, _common.WordHashes())
+    asked = []
+
+    def levels_of(keys, shard):
+        asked.extend(zip(keys.tolist(), shard.tolist(), strict=True))
+        return (keys % np.uint64(7)).astype(np.int16)
+
+    starts = np.cumsum(n) - n
+    u, where, count, pair, total = lm_bloom.looked_up(h, before, starts, 256, levels_of)
+    assert len(asked) == len(set(asked)) < len(h) / 5 and (u[where] == h).all()
+    pairs, firsts = lm_bloom._bigrams(h, before), lm_bloom._total_key(before)
+    assert set(zip(pairs.tolist(), lm_bloom._pair_shard(h, before, 256).tolist(), strict=True)) <= set(asked)
+    of = lambda k: (k % np.uint64(7)).astype(np.int16)
+    assert (count == lm_bloom.typical(of(h))).all() and (pair == lm_bloom.typical(of(pairs))).all() and (total == lm_bloom.total_of(of(firsts))).all()
+    # in runs, the keys' order aside, as without
+    keys, shard = np.array([k for k, _ in asked], np.uint64), np.array([s for _, s in asked], np.int32)
+    bits = rng.integers(0, 256, 256 * 16).astype(np.uint8) | rng.integers(0, 256, 256 * 16).astype(np.uint8)
+
+    class Sent:
+        def __init__(self, value):
+            self.value = value
+
+    runs = [Sent(bits[i * 100 * 16 : (i + 1) * 100 * 16]) for i in range(3)]
+    want = lm_bloom.levels(keys, shard, bits, 128)
+    assert (lm_bloom.levels_in_runs(keys, shard, runs, 100, 128) == want).all() and (lm_bloom.levels_in_runs(keys, shard, [Sent(bits)], 256, 128) == want).all() and want.any()
+
+
 def test_probes_take_bounded_memory():
     """Beside its result, what probing takes doesn't follow the number of keys."""
     keys = np.random.default_rng(1).integers(0, 1 << 63, 1 << 21).astype(np.uint64)
